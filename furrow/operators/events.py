@@ -16,17 +16,22 @@ EVENT_KEY = ["event_uuid", "plot_id"]
 def parse(records: DataFrame) -> DataFrame:
     """Add the parsed event, and `bad_record` holding the text that does not fit the contract.
 
-    One parse yields both; text that is no JSON object, or whose types differ, is bad.
+    One parse yields both; text that is no JSON object, or whose types differ, is bad. The parse
+    result passes through a generator, which keeps the optimizer from repeating the parse in every
+    filter and column above it.
     """
-    event = F.from_json(
-        F.col("value").cast("string"), f"{C.EVENT_DDL}, bad_record string",
-        {"columnNameOfCorruptRecord": "bad_record"},
-    )
-    parsed = records.withColumn("event", event)
-    bad = F.when(F.col("event").isNull(), F.coalesce(F.col("value").cast("string"), F.lit("")))
+    body = F.col("value").cast("string")
+    parsed = once(records, "event", F.from_json(
+        body, f"{C.EVENT_DDL}, bad_record string", {"columnNameOfCorruptRecord": "bad_record"}))
+    bad = F.when(F.col("event").isNull(), F.coalesce(body, F.lit("")))
     return parsed.withColumn("bad_record", F.coalesce(F.col("event.bad_record"), bad))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column so that it is evaluated one time per row."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def flatten(parsed: DataFrame, *keep: str) -> DataFrame:
     """Typed columns of parsed records, along with the named columns of the record itself."""
     e = F.col("event")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from furrow import contracts as C
+from furrow.operators.events import once
 
 REQUIRED = ["event_uuid", "event_type", "ts"]
 
@@ -110,7 +111,7 @@ def contract_drift(records: DataFrame) -> DataFrame:
     spark = records.sparkSession
     event = F.from_json("value", C.RAW_EVENT_DDL)
     seen = (
-        records.select(event.alias("e")).filter(F.col("e.event_type").isNotNull())
+        once(records.select("value"), "e", event).filter(F.col("e.event_type").isNotNull())
         .select(F.col("e.event_type").alias("event_type"),
                 F.explode(F.json_object_keys("e.data")).alias("data_key"))
         .groupBy("event_type", "data_key").agg(F.count(F.lit(1)).alias("n"))

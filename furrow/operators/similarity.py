@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,36 +25,36 @@ def _query_blocks(queries: DataFrame, size: int):
         yield np.asarray(ids, dtype="int64"), np.asarray(vectors, dtype="float64")
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
+def _scorer(query_ids: np.ndarray, query_vectors: np.ndarray, k: int):
+    """Per task: the k best of its rows for each query, kept while the batches stream by.
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k greatest scores, equal scores by lower id."""
-    if len(scores) > k:
-        kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-        pool = np.flatnonzero(scores >= kth)
-    else:
-        pool = np.arange(len(scores))
-    return pool[np.lexsort((ids[pool], -scores[pool]))[:k]]
+    The function carries all it needs, so the workers need not have this package.
+    """
 
+    def unit(m):
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
-def _scorer(query_ids: np.ndarray, query_vectors: np.ndarray, k: int):
-    """Per task: the k best of its rows for each query, kept while the batches stream by."""
-    wanted = _unit(query_vectors)
+    def best(scores, ids):
+        """Positions of the k greatest scores, equal scores by lower id."""
+        pool = np.arange(len(scores))
+        if len(scores) > k:
+            kth = np.partition(scores, len(scores) - k)[len(scores) - k]
+            pool = np.flatnonzero(scores >= kth)
+        return pool[np.lexsort((ids[pool], -scores[pool]))[:k]]
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches):
+        wanted = unit(query_vectors)
         kept = [(np.empty(0), np.empty(0, dtype="int64")) for _ in query_ids]
         for pdf in batches:
             if pdf.empty:
                 continue
             ids = pdf["vec_id"].to_numpy(dtype="int64")
-            block = wanted @ _unit(np.asarray(pdf["embedding"].tolist(), dtype="float64")).T
+            block = wanted @ unit(np.asarray(pdf["embedding"].tolist(), dtype="float64")).T
             for q, (old_scores, old_ids) in enumerate(kept):
                 s, i = np.concatenate([old_scores, block[q]]), np.concatenate([old_ids, ids])
-                best = _best(s, i, k)
-                kept[q] = s[best], i[best]
+                top = best(s, i)
+                kept[q] = s[top], i[top]
         for q, (s, i) in zip(query_ids, kept):
             if len(s):
                 yield pd.DataFrame({"query_id": q, "vec_id": i, "score": s})

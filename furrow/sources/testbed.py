@@ -8,7 +8,7 @@ also functions of k.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow import contracts as C
@@ -37,12 +37,62 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, **options) -> Data
     )
 
 
-def _pick(values: list[str], k: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), ((k % len(values)) + 1).cast("int"))
-
-
-def _only(kind: str, value: Column) -> Column:
-    return F.when(F.col("event_type") == kind, value)
+def _pick(values: list[str], index: str) -> str:
+    items = ", ".join(f"'{v}'" for v in values)
+    return f"element_at(array({items}), cast({index} % {len(values)} as int) + 1)"
+
+
+def _scaled(base: int, step: int, scale: int) -> str:
+    return f"cast({base} + k * {step} as double) / {float(scale)}D"
+
+
+# event type -> column -> SQL over k, plot_id, event_uuid and measure
+_COLUMNS = {
+    C.SATELLITE: {
+        "ndvi": _scaled(200, 6, 1000),
+        "evi": _scaled(150, 4, 1000),
+        "cloud_cover": "cast(k % 41 as double) / 100.0D",
+    },
+    C.WEATHER: {
+        "temperature_c": _scaled(200, 2, 10),
+        "humidity_pct": _scaled(400, 5, 10),
+        "precipitation_mm": _scaled(0, 50, 100),
+        "wind_speed_kmh": _scaled(50, 2, 10),
+        "temp_max": _scaled(250, 1, 10),
+        "rain_probability": _scaled(0, 1, 100),
+    },
+    C.SOIL: {
+        "temperature_c": _scaled(220, 1, 10),
+        "moisture_pct": _scaled(200, 4, 10),
+        "ph": _scaled(550, 2, 100),
+        "nitrogen_ppm": _scaled(2000, 20, 10),
+        "phosphorus_ppm": _scaled(1500, 25, 100),
+        "potassium_ppm": _scaled(1500, 15, 10),
+        "battery_level": _scaled(600, 4, 10),
+        "soil_type": _pick(C.SOIL_TYPES, "k"),
+    },
+    C.REPORT: {
+        "crop": _pick(C.CROPS, "k"),
+        "report_type": _pick(C.REPORT_TYPES, "k"),
+        "description":
+            f"concat('Observed ', {_pick(C.PESTS, 'k')}, ' on ', {_pick(C.CROPS, 'k')})",
+        "language": _pick(C.LANGUAGES, "k"),
+        "severity": _pick(C.SEVERITIES, "k"),
+        "image_url":
+            "if(k % 2 = 0, concat('s3://field-images/', plot_id, '/', event_uuid, '.jpg'), null)",
+        "farmer_id": "plot_id",
+        "channel": _pick(C.CHANNELS, "k"),
+        "lat": _scaled(200, 1, 10),
+        "lon": _scaled(800, 1, 10),
+    },
+    C.MARKET: {
+        "crop": _pick(C.CROPS, "k"),
+        "price_per_quintal_inr": "measure",
+        "arrival_quantity_mt": _scaled(500, 45, 10),
+        "price_change_pct": _scaled(-500, 10, 100),
+        "market_location": _pick(C.MARKETS, "k"),
+    },
+}
 
 
 def as_events(raw: DataFrame, types: list[str] | None = None) -> DataFrame:
@@ -52,59 +102,22 @@ def as_events(raw: DataFrame, types: list[str] | None = None) -> DataFrame:
     """
     if types:
         raw = raw.filter(F.col("event_type").isin([r for r, t in RAW_TYPES.items() if t in types]))
-    k = F.get_json_object("props", "$.k").cast("int")
-    plot = F.col("user_id").cast("string")
-    base = raw.select(
-        F.col("event_id").cast("string").alias("event_uuid"),
-        text.lookup(F.col("event_type"), RAW_TYPES).alias("event_type"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.when(F.col("event_type") != "purchase", plot).alias("plot_id"),
-        F.col("value"),
-        k.alias("k"),
-    )
-    k = F.col("k")
-
-    def scaled(base_units: int, step: int, scale: int) -> Column:
-        return (F.lit(base_units) + k * F.lit(step)).cast("double") / F.lit(float(scale))
-
-    return base.select(
-        "event_uuid", "event_type", "ts", "plot_id", "k",
-        F.when(F.col("event_type").isin(C.REPORT, C.MARKET), _pick(C.CROPS, k)).alias("crop"),
-        _only(C.SATELLITE, scaled(200, 6, 1000)).alias("ndvi"),
-        _only(C.SATELLITE, scaled(150, 4, 1000)).alias("evi"),
-        _only(C.SATELLITE, (k % 41).cast("double") / 100.0).alias("cloud_cover"),
-        F.when(F.col("event_type") == C.WEATHER, scaled(200, 2, 10))
-         .when(F.col("event_type") == C.SOIL, scaled(220, 1, 10)).alias("temperature_c"),
-        _only(C.WEATHER, scaled(400, 5, 10)).alias("humidity_pct"),
-        _only(C.WEATHER, scaled(0, 50, 100)).alias("precipitation_mm"),
-        _only(C.WEATHER, scaled(50, 2, 10)).alias("wind_speed_kmh"),
-        _only(C.WEATHER, scaled(250, 1, 10)).alias("temp_max"),
-        _only(C.WEATHER, scaled(0, 1, 100)).alias("rain_probability"),
-        _only(C.SOIL, scaled(200, 4, 10)).alias("moisture_pct"),
-        _only(C.SOIL, scaled(550, 2, 100)).alias("ph"),
-        _only(C.SOIL, scaled(2000, 20, 10)).alias("nitrogen_ppm"),
-        _only(C.SOIL, scaled(1500, 25, 100)).alias("phosphorus_ppm"),
-        _only(C.SOIL, scaled(1500, 15, 10)).alias("potassium_ppm"),
-        _only(C.SOIL, scaled(600, 4, 10)).alias("battery_level"),
-        _only(C.SOIL, _pick(C.SOIL_TYPES, k)).alias("soil_type"),
-        _only(C.REPORT, _pick(C.REPORT_TYPES, k)).alias("report_type"),
-        _only(C.REPORT, F.concat(F.lit("Observed "), _pick(C.PESTS, k), F.lit(" on "),
-                                 _pick(C.CROPS, k))).alias("description"),
-        _only(C.REPORT, _pick(C.LANGUAGES, k)).alias("language"),
-        _only(C.REPORT, _pick(C.SEVERITIES, k)).alias("severity"),
-        _only(C.REPORT, F.when(k % 2 == 0, F.concat(
-            F.lit("s3://field-images/"), F.col("plot_id"), F.lit("/"), F.col("event_uuid"),
-            F.lit(".jpg")))).alias("image_url"),
-        _only(C.REPORT, F.col("plot_id")).alias("farmer_id"),
-        _only(C.REPORT, _pick(C.CHANNELS, k)).alias("channel"),
-        _only(C.REPORT, scaled(200, 1, 10)).alias("lat"),
-        _only(C.REPORT, scaled(800, 1, 10)).alias("lon"),
-        _only(C.MARKET, F.col("value")).alias("price_per_quintal_inr"),
-        _only(C.MARKET, scaled(500, 45, 10)).alias("arrival_quantity_mt"),
-        _only(C.MARKET, scaled(-500, 10, 100)).alias("price_change_pct"),
-        _only(C.MARKET, _pick(C.MARKETS, k)).alias("market_location"),
-        F.col("value").alias("measure"),
+    kind = " ".join(f"when '{r}' then '{t}'" for r, t in RAW_TYPES.items())
+    base = raw.selectExpr(
+        "cast(event_id as string) as event_uuid",
+        f"case event_type {kind} end as event_type",
+        "cast(ts as timestamp) as ts",
+        "if(event_type <> 'purchase', cast(user_id as string), null) as plot_id",
+        "value as measure",
+        "cast(get_json_object(props, '$.k') as int) as k",
     )
+    cases: dict[str, list[str]] = {}
+    for of_type, columns in _COLUMNS.items():
+        for name, value in columns.items():
+            cases.setdefault(name, []).append(f"when '{of_type}' then {value}")
+    return base.selectExpr(
+        "event_uuid", "event_type", "ts", "plot_id", "k", "measure",
+        *[f"case event_type {' '.join(whens)} end as {name}" for name, whens in cases.items()])
 
 
 def events(spark: SparkSession, sf_dir: str, types: list[str] | None = None) -> DataFrame:
@@ -184,7 +197,7 @@ def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
             owner.alias("plot_id"),
             F.col("r_name").alias("state"),
             F.col("n_name").alias("district"),
-            _pick(C.CROPS, F.col("c_custkey")).alias("crop_type"),
+            F.expr(_pick(C.CROPS, "c_custkey")).alias("crop_type"),
             (F.abs("c_acctbal") / 1000.0).alias("area_hectares"),
             F.col("c_name").alias("farmer_name"),
             owner.alias("farmer_id"),
@@ -197,8 +210,8 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         key.cast("string").alias("farmer_id"),
         F.concat(F.lit("+91"), F.lpad(key.cast("string"), 10, "0")).alias("phone"),
-        _pick(C.LANGUAGES, key).alias("preferred_language"),
-        _pick(CONTACT_CHANNELS, key).alias("preferred_channel"),
+        F.expr(_pick(C.LANGUAGES, "c_custkey")).alias("preferred_language"),
+        F.expr(_pick(CONTACT_CHANNELS, "c_custkey")).alias("preferred_channel"),
     )
 
 
