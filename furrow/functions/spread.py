@@ -13,8 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from furrow.session import counted
+
 CHUNK_SECONDS = 86_400
 TARGET_ROWS = 2_000_000
+# most crowded stretches a join broadcasts
+CROWDED_ROWS = 500_000
 
 
 def with_chunk(df: DataFrame, keys: list[str], ts: str, seconds: int = CHUNK_SECONDS,
@@ -22,12 +26,11 @@ def with_chunk(df: DataFrame, keys: list[str], ts: str, seconds: int = CHUNK_SEC
     """Add `chunk`, a struct that orders the chunks of a key in time.
 
     Rows of one instant always share a chunk. Keys must not be null. The crowded stretches are
-    broadcast; their number is bounded as said above.
+    counted first; they are broadcast if they are few enough, and joined by a shuffle if not.
     """
+    width = F.lit(seconds * 1_000_000)
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    width = seconds * 1_000_000
-    slot = F.floor(micros / F.lit(width)).cast("bigint")
-    slotted = df.withColumns({"_us": micros, "_slot": slot})
+    slotted = df.withColumns({"_us": micros, "_slot": F.floor(micros / width).cast("bigint")})
     crowded = (
         slotted.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > target_rows)
@@ -37,13 +40,18 @@ def with_chunk(df: DataFrame, keys: list[str], ts: str, seconds: int = CHUNK_SEC
             F.ceil(F.col("_n") / F.lit(target_rows)).cast("bigint").alias("_cuts"),
         )
     )
+    crowded, n = counted(crowded, CROWDED_ROWS)
+    if n == 0:
+        return slotted.withColumn(
+            "chunk", F.struct(F.col("_slot").alias("slot"), F.lit(0).cast("bigint").alias("part"))
+        ).drop("_us", "_slot")
     same = F.col("_slot") == F.col("_s")
     for i, k in enumerate(keys):
         same = same & (F.col(k) == F.col(f"_k{i}"))
-    inside = F.col("_us") - F.col("_slot") * F.lit(width)
-    cut = F.floor(inside * F.coalesce("_cuts", F.lit(1)) / F.lit(width)).cast("bigint")
+    inside = F.col("_us") - F.col("_slot") * width
+    cut = F.floor(inside * F.coalesce("_cuts", F.lit(1)) / width).cast("bigint")
     return (
-        slotted.join(F.broadcast(crowded), same, "left")
+        slotted.join(crowded, same, "left")
         .withColumn("chunk", F.struct(F.col("_slot").alias("slot"), cut.alias("part")))
         .drop("_us", "_slot", "_s", "_cuts", *[f"_k{i}" for i in range(len(keys))])
     )
@@ -73,25 +81,3 @@ def join_on_chunk(rows: DataFrame, per_chunk: DataFrame, keys: list[str]) -> Dat
     for i, k in enumerate(keys):
         same = same & (F.col(k) == F.col(f"_k{i}"))
     return rows.join(renamed, same, "left").drop("_c", *[f"_k{i}" for i in range(len(keys))])
-
-
-def running_total(df: DataFrame, series: list[str], ts: str, values: list[str]) -> DataFrame:
-    """Running totals of already reduced rows (one per series and instant), chunk by day.
-
-    In-day windows plus the totals of the days before: no window sees more than one day of a
-    series, or one row per day.
-    """
-    day = F.to_date(ts)
-    with_day = df.withColumn("_day", day)
-    in_day = W.partitionBy(*series, "_day").orderBy(ts).rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy(*series).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
-    days = with_day.groupBy(*series, "_day").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    base = days.select(
-        *series, "_day",
-        *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_b_{v}") for v in values])
-    return (
-        with_day.select("*", *[F.sum(v).over(in_day).alias(f"_r_{v}") for v in values])
-        .join(base, [*series, "_day"])
-        .select(*df.columns,
-                *[(F.col(f"_r_{v}") + F.col(f"_b_{v}")).alias(f"total_{v}") for v in values])
-    )

@@ -119,11 +119,19 @@ def upsert(stored: DataFrame, arriving: DataFrame, keys: list[str], version: Col
 
 
 def insert_new(stored: DataFrame, arriving: DataFrame, keys: list[str]) -> DataFrame:
-    """Arriving rows whose key is not stored yet; copies among them are merged first."""
-    fresh = keep_latest(arriving, keys, F.struct("ts"))
-    known = stored.select(*keys).distinct()
-    match = [fresh[k].eqNullSafe(known[k]) for k in keys]
-    return fresh.join(known, match, "left_anti")
+    """Arriving rows whose key is not stored yet; copies among them are merged, newest first.
+
+    One grouping of both sides instead of a deduplication and an anti join: stored rows bring
+    their key and a mark only, null keys match each other, and a key with many copies shrinks
+    in the tasks that read it.
+    """
+    rest = [c for c in arriving.columns if c not in keys]
+    offered = arriving.select(
+        *keys, F.struct(*rest).alias("_r"), F.col("ts").alias("_v"), F.lit(False).alias("_stored"))
+    known = stored.select(*keys, F.lit(True).alias("_stored"))
+    met = offered.unionByName(known, allowMissingColumns=True).groupBy(*keys).agg(
+        F.bool_or("_stored").alias("_stored"), F.max_by("_r", "_v").alias("_r"))
+    return met.filter(~F.col("_stored")).select(*keys, "_r.*").select(*arriving.columns)
 
 
 def sort_by_time(events: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from furrow import contracts as C
-from furrow.functions import exact, spread, text
+from furrow.functions import exact, text
 
 COUNTER_BUCKETS = [5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0]
 
@@ -109,21 +109,36 @@ def histogram_quantile(buckets: DataFrame, q: float, series: list[str]) -> DataF
     )
 
 
-def consumer_lag(produced: DataFrame, committed: DataFrame, series: list[str],
-                 limit: int = C.LAG_LIMIT, growth_limit: int = C.LAG_GROWTH_LIMIT) -> DataFrame:
+def partition_totals(events: DataFrame, committed: Column, partitions: int = 3) -> DataFrame:
+    """Running totals of produced and committed records per topic partition and minute.
+
+    The window runs over one row per minute of a partition.
+    """
+    counts = events.groupBy(
+        text.topic_of(F.col("event_type")).alias("topic"),
+        F.pmod(F.col("event_uuid").cast("bigint"), F.lit(partitions)).cast("int")
+        .alias("partition"),
+        F.date_trunc("minute", "ts").alias("ts"),
+    ).agg(F.count(F.lit(1)).alias("n"), F.count_if(committed).alias("c"))
+    so_far = W.partitionBy("topic", "partition").orderBy("ts").rowsBetween(
+        W.unboundedPreceding, 0)
+    return counts.select(
+        "topic", "partition", "ts", F.sum("n").over(so_far).alias("produced"),
+        F.sum("c").over(so_far).alias("committed"))
+
+
+def consumer_lag(totals: DataFrame, series: list[str], limit: int = C.LAG_LIMIT,
+                 growth_limit: int = C.LAG_GROWTH_LIMIT) -> DataFrame:
     """Lag of each topic partition per minute, its growth since the sample before, and the alarm.
 
-    Both inputs hold running totals per series and minute; a minute without commits keeps the
-    total before it.
+    A minute without a commit sample (null) keeps the total before it.
     """
-    both = produced.join(
-        committed.select(*series, "ts", F.col("value").alias("committed")), [*series, "ts"], "left")
     order = W.partitionBy(*series).orderBy("ts")
     so_far = order.rowsBetween(W.unboundedPreceding, 0)
-    lag = F.col("value") - F.coalesce(
+    lag = F.col("produced") - F.coalesce(
         F.last("committed", ignorenulls=True).over(so_far), F.lit(0))
     return (
-        both.withColumn("lag", lag)
+        totals.withColumn("lag", lag)
         .withColumn("growth", F.col("lag") - F.lag("lag").over(order))
         .select(*series, F.col("ts").alias("minute"), "lag", "growth",
                 ((F.col("lag") > limit) | (F.coalesce("growth", F.lit(0)) > growth_limit))
@@ -131,21 +146,6 @@ def consumer_lag(produced: DataFrame, committed: DataFrame, series: list[str],
     )
 
 
-def partition_totals(events: DataFrame, committed: Column, partitions: int = 3):
-    """Running totals of produced and committed records per topic partition and minute."""
-    series = ["topic", "partition"]
-    counts = events.groupBy(
-        text.topic_of(F.col("event_type")).alias("topic"),
-        F.pmod(F.col("event_uuid").cast("bigint"), F.lit(partitions)).cast("int")
-        .alias("partition"),
-        F.date_trunc("minute", "ts").alias("ts"),
-    ).agg(F.count(F.lit(1)).alias("n"), F.count_if(committed).alias("c"))
-    totals = spread.running_total(counts, series, "ts", ["n", "c"])
-    produced = totals.select(*series, "ts", F.col("total_n").alias("value"))
-    done = totals.filter(F.col("c") > 0).select(*series, "ts", F.col("total_c").alias("value"))
-    return produced, done
-
-
 def gauge_alarm(samples: DataFrame, window: str = "5 minutes",
                 limit: float = C.DLQ_LIMIT) -> DataFrame:
     """Mean of a gauge per window and whether it is above the limit."""

@@ -17,7 +17,7 @@ from furrow.operators import (
 )
 from furrow.functions import text
 from furrow.sources import io, testbed
-from furrow.session import configure, work_dir, zoneless
+from furrow.session import checkpoint_root, configure, work_dir, zoneless
 from furrow.streaming import jobs
 from furrow.streaming.changelog import ChangeLog
 
@@ -57,6 +57,12 @@ def _served_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return notify.to_serving(_messages(spark, sf))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """A result several branches of a query use: written once to the shared folder."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint()
+
+
 def _acks(alert_rows: DataFrame) -> DataFrame:
     """Acknowledged are all alerts of medium severity."""
     return alert_rows.filter(F.col("severity") == "medium").select("alert_id")
@@ -288,7 +294,7 @@ def dlq_records(spark, sf):
 
 @query
 def dlq_retry(spark, sf):
-    sent = _outbox(spark, sf)
+    sent = _kept(_outbox(spark, sf))
     letters = notify.failed(testbed.attempts(sent))
     again = testbed.attempts(sent.join(letters.select("alert_id"), "alert_id", "left_semi"), 2)
     return notify.retry(letters, again)
@@ -350,13 +356,13 @@ def recent_alerts_per_plot(spark, sf):
 
 @query
 def ack_alerts(spark, sf):
-    rows = _served_alerts(spark, sf)
+    rows = _kept(_served_alerts(spark, sf))
     return serving.acknowledge(rows, _acks(rows))
 
 
 @query
 def plots_with_open_alerts(spark, sf):
-    rows = _served_alerts(spark, sf)
+    rows = _kept(_served_alerts(spark, sf))
     return serving.plots_with_open_alerts(
         testbed.plots(spark, sf), serving.acknowledge(rows, _acks(rows)))
 
@@ -513,8 +519,8 @@ def dlq_arrivals_alarm(spark, sf):
 
 @query
 def consumer_lag(spark, sf):
-    produced, committed = metrics.partition_totals(testbed.events(spark, sf), F.col("k") >= 33)
-    return metrics.consumer_lag(produced, committed, ["topic", "partition"], limit=100)
+    totals = metrics.partition_totals(testbed.events(spark, sf), F.col("k") >= 33)
+    return metrics.consumer_lag(totals, ["topic", "partition"], limit=100)
 
 
 @query
@@ -577,7 +583,7 @@ def stream_dedup(spark, sf):
     sent = testbed.redelivered(testbed.stream_events(spark, sf)).select(
         "event_uuid", "plot_id", "event_type", "ts")
     jobs.run_available(jobs.append_files(
-        jobs.deduplicated(sent), f"{root}/out", f"{root}/checkpoint"))
+        jobs.deduplicated(sent, spread=8), f"{root}/out", f"{root}/checkpoint"))
     return spark.read.parquet(f"{root}/out").select("event_uuid", "plot_id", "event_type")
 
 
@@ -586,11 +592,11 @@ def stream_upsert(spark, sf):
     root = work_dir(spark, "upsert")
     log = ChangeLog(spark, f"{root}/log", events.EVENT_KEY,
                     "event_uuid string, plot_id string, event_type string, ts timestamp, "
-                    "measure double")
+                    "measure double", version=["ts"])
     sent = testbed.redelivered(testbed.stream_events(spark, sf)).select(
         "event_uuid", "plot_id", "event_type", "ts", "measure")
     jobs.run_available(jobs.upserts(sent, log, f"{root}/checkpoint"))
-    return log.current(version=lambda: F.struct("ts"))
+    return log.current()
 
 
 @query
@@ -630,7 +636,8 @@ def late_events(spark, sf):
         F.datediff(arrival, F.lit("2024-01-01").cast("date")) / F.lit(10)).cast("int")
     sent = testbed.events(spark, sf).select(
         "event_uuid", "plot_id", "ts", instalment.alias("instalment"))
-    log = ChangeLog(spark, f"{root}/newest", ["plot_id"], "plot_id string, newest timestamp")
+    log = ChangeLog(spark, f"{root}/newest", ["plot_id"], "plot_id string, newest timestamp",
+                    version=["newest"])
     last = sent.agg(F.max("instalment")).first()[0]
     for n in range(last + 1):
         sent.filter(F.col("instalment") == n).write.mode("append").parquet(f"{root}/landing")

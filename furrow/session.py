@@ -24,6 +24,13 @@ RUNTIME_CONF = {
 }
 
 
+# Settings only a new session can take.
+STATIC_CONF = {
+    # no call sites are recorded for each column expression built in Python
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
@@ -34,7 +41,7 @@ def build(app: str = "furrow", master: str | None = None, **conf: str) -> SparkS
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**STATIC_CONF, **RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -57,17 +64,21 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/furrow/{label}-{uuid.uuid4().hex}"
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast a derived table only when its counted size is within the bound.
+def counted(df: DataFrame, max_rows: int) -> tuple[DataFrame, int]:
+    """A derived table cut from its lineage, hinted for broadcast when its counted size is within
+    the bound, and that count (one above the bound stands for all larger ones).
 
-    The rows are cut from their lineage by a reliable checkpoint, so the check does not compute
-    them twice. Above the bound the plain table is returned and the join shuffles.
+    The reliable checkpoint keeps the check from computing the rows a second time. Above the
+    bound the table carries no hint and a join with it shuffles.
     """
     checkpoint_root(df.sparkSession)
     small = df.checkpoint(eager=True)
-    if small.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(small)
-    return small
+    n = small.limit(max_rows + 1).count()
+    return (F.broadcast(small) if n <= max_rows else small), n
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    return counted(df, max_rows)[0]
 
 
 def zoneless(df: DataFrame) -> DataFrame:

@@ -8,73 +8,87 @@ longer read. Nothing is ever overwritten while it is read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.operators.events import keep_latest
 
 
 class ChangeLog:
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str):
+    """`version` names the columns that say which row of a key is the newest: those of the row,
+    then the batch. With `compact_every` the log is compacted after each so many batches."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str,
+                 version: list[str] | None = None, compact_every: int = 0):
         self.spark = spark
         self.path = path.rstrip("/")
         self.keys = keys
         self.schema = schema
+        self.version = F.struct(*(version or []), "batch_id")
+        self.compact_every = compact_every
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{self.path}/changes/batch_id={batch_id}")
+        if self.compact_every and (batch_id + 1) % self.compact_every == 0:
+            self.compact()
 
-    def _folders(self, kind: str, name: str) -> list[int]:
-        """Numbers of the complete folders of a kind."""
+    def _fs(self, folder: str):
         jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _numbers(self, kind: str) -> list[int]:
+        """Numbers in the folder names of a kind, ascending."""
+        fs, root = self._fs(kind)
         if not fs.exists(root):
             return []
-        out = []
-        for status in fs.listStatus(root):
-            folder = status.getPath()
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
-                out.append(int(folder.getName().removeprefix(f"{name}=")))
-        return sorted(out)
+        names = [status.getPath().getName() for status in fs.listStatus(root)]
+        return sorted(int(n.split("=")[1]) for n in names if "=" in n)
+
+    def _complete(self, folder: str) -> bool:
+        fs, path = self._fs(f"{folder}/_SUCCESS")
+        return fs.exists(path)
+
+    def _base(self, before: int | None) -> int:
+        """Batch of the newest complete snapshot, -1 without one."""
+        for n in reversed(self._numbers("snapshots")):
+            if (before is None or n < before) and self._complete(f"snapshots/upto={n}"):
+                return n
+        return -1
 
     def rows(self, before: int | None = None) -> DataFrame:
-        """All logged rows not yet covered by a snapshot, plus the snapshot; with their batch id.
+        """The snapshot and all rows logged after it, with their batch id.
 
         `before` leaves out that batch and later ones, which makes a replay see what the first
         run saw.
         """
-        snapshots = [n for n in self._folders("snapshots", "upto")
-                     if before is None or n < before]
-        base = snapshots[-1] if snapshots else -1
-        batches = [n for n in self._folders("changes", "batch_id")
-                   if n > base and (before is None or n < before)]
-        wanted = f"{self.schema}, batch_id bigint"
+        base = self._base(before)
+        batches = [
+            n for n in self._numbers("changes")
+            if n > base and (before is None or n < before)
+            and self._complete(f"changes/batch_id={n}")
+        ]
+        reader = self.spark.read.schema(f"{self.schema}, batch_id bigint")
         parts = []
         if base >= 0:
-            parts.append(self.spark.read.schema(wanted).parquet(
-                f"{self.path}/snapshots/upto={base}"))
+            parts.append(reader.parquet(f"{self.path}/snapshots/upto={base}"))
         if batches:
             # the folder name gives batch_id
-            parts.append(
-                self.spark.read.schema(wanted).option("basePath", f"{self.path}/changes")
-                .parquet(*[f"{self.path}/changes/batch_id={n}" for n in batches]))
+            parts.append(reader.option("basePath", f"{self.path}/changes").parquet(
+                *[f"{self.path}/changes/batch_id={n}" for n in batches]))
         if not parts:
-            return self.spark.createDataFrame([], wanted)
+            return self.spark.createDataFrame([], f"{self.schema}, batch_id bigint")
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
-    def current(self, before: int | None = None,
-                version: Callable[[], Column] | None = None) -> DataFrame:
-        """Newest row per key; by batch unless another version is given."""
-        newest = version() if version else F.struct("batch_id")
-        return keep_latest(self.rows(before), self.keys, newest).drop("batch_id")
-
-    def compact(self, version: Callable[[], Column] | None = None) -> None:
-        batches = self._folders("changes", "batch_id")
-        if not batches:
-            return
-        newest = version() if version else F.struct("batch_id")
-        (keep_latest(self.rows(), self.keys, newest)
-         .write.mode("overwrite").parquet(f"{self.path}/snapshots/upto={batches[-1]}"))
+    def _newest(self, before: int | None = None) -> DataFrame:
+        return keep_latest(self.rows(before), self.keys, self.version)
+
+    def current(self, before: int | None = None) -> DataFrame:
+        """Newest row per key."""
+        return self._newest(before).drop("batch_id")
+
+    def compact(self) -> None:
+        batches = self._numbers("changes")
+        if batches:
+            self._newest().write.mode("overwrite").parquet(
+                f"{self.path}/snapshots/upto={batches[-1]}")

@@ -71,9 +71,18 @@ def metric_updates(streams: list[DataFrame], log: ChangeLog, checkpoint: str,
     )
 
 
-def deduplicated(stream: DataFrame, delay: str = C.WATERMARK_DELAY) -> DataFrame:
-    """First arrival of each event and plot; ids are kept for the delay only."""
-    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(events.EVENT_KEY)
+def deduplicated(stream: DataFrame, delay: str = C.WATERMARK_DELAY, spread: int = 0) -> DataFrame:
+    """First arrival of each event and plot; ids are kept for the delay only.
+
+    For a source that repeats one event very often, `spread` adds a first round in which the
+    copies are told apart by their input partition too: they are dropped by that many tasks, and
+    the second round gets that many at most. A key is then remembered in both rounds.
+    """
+    marked = stream.withWatermark("ts", delay)
+    if spread:
+        marked = marked.withColumn("_lane", F.pmod(F.spark_partition_id(), F.lit(spread))) \
+            .dropDuplicatesWithinWatermark([*events.EVENT_KEY, "_lane"]).drop("_lane")
+    return marked.dropDuplicatesWithinWatermark(events.EVENT_KEY)
 
 
 def upserts(stream: DataFrame, log: ChangeLog, checkpoint: str) -> DataStreamWriter:
@@ -140,14 +149,14 @@ def late_split(stream: DataFrame, newest: ChangeLog, path: str, checkpoint: str,
     delay, and write late and punctual rows into separate folders.
 
     The engine's own watermark drops late rows without a trace; here they are kept. What is
-    remembered is one time per plot, logged per batch, so no state is held in Python and a batch
-    that is run again sees the same times.
+    remembered is one time per plot, logged per batch (a log whose version is `newest`), so no
+    state is held in Python and a batch that is run again sees the same times.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            known = newest.current(before=batch_id, version=lambda: F.struct("newest"))
+            known = newest.current(before=batch_id)
             bound = F.col("newest") - F.expr(f"interval {delay}")
             tagged = batch.join(known, "plot_id", "left").withColumn(
                 "late", F.coalesce(F.col("ts") < bound, F.lit(False))).drop("newest")

@@ -73,14 +73,6 @@ def test_rolling_mean_across_stretches(spark):
     assert [r.rolling_mean for r in rows] == [20.0, 25.0, 30.0, (30 + 40 + 10) / 3, 5.0]
 
 
-def test_running_total(spark):
-    df = spark.createDataFrame(
-        [("a", at(hours=h), n) for h, n in ((0, 1), (10, 2), (20, 4), (50, 8))],
-        "s string, ts timestamp, n long")
-    rows = sorted(spread.running_total(df, ["s"], "ts", ["n"]).collect(), key=lambda r: r.ts)
-    assert [r.total_n for r in rows] == [1, 3, 7, 15]
-
-
 def test_counter_reset_is_no_negative_rate(spark):
     df = spark.createDataFrame(
         [("t", at(i), v) for i, v in enumerate([60, 120, 0, 30])],
@@ -99,10 +91,10 @@ def test_histogram_quantile(spark):
 
 
 def test_lag_alarm(spark):
-    ddl = "topic string, partition int, ts timestamp, value long"
-    produced = spark.createDataFrame([("t", 0, at(i), v) for i, v in enumerate([10, 80, 90])], ddl)
-    committed = spark.createDataFrame([("t", 0, at(0), 10)], ddl)
-    rows = metrics.consumer_lag(produced, committed, ["topic", "partition"]).collect()
+    totals = spark.createDataFrame(
+        [("t", 0, at(0), 10, 10), ("t", 0, at(1), 80, None), ("t", 0, at(2), 90, None)],
+        "topic string, partition int, ts timestamp, produced long, committed long")
+    rows = metrics.consumer_lag(totals, ["topic", "partition"]).collect()
     assert [(r.lag, r.growth, r.alarm) for r in sorted(rows, key=lambda r: r.minute)] == [
         (0, None, False), (70, 70, True), (80, 10, False)]
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from furrow import contracts as C
@@ -53,7 +54,8 @@ def test_closed_windows_are_raised_once(spark, tmp_path):
 
 def test_late_rows_are_kept_and_tagged(spark, tmp_path):
     root = str(tmp_path)
-    log = ChangeLog(spark, f"{root}/newest", ["plot_id"], "plot_id string, newest timestamp")
+    log = ChangeLog(spark, f"{root}/newest", ["plot_id"], "plot_id string, newest timestamp",
+                    version=["newest"], compact_every=2)
 
     def run(*rows):
         land(event_rows(spark, *rows), f"{root}/in")
@@ -85,23 +87,24 @@ def test_a_replayed_batch_leaves_no_trace(spark, tmp_path):
     assert log.rows().count() == 3
 
 
-def test_dedup_stream_over_batches(spark, tmp_path):
+@pytest.mark.parametrize("spread", [0, 4])
+def test_dedup_stream_over_batches(spark, tmp_path, spread):
     root = str(tmp_path)
     for i in range(2):
         land(event_rows(spark, {"event_uuid": "a"}, {"event_uuid": "a", "plot_id": "UP_1_1"},
                         {"event_uuid": f"new{i}"}), f"{root}/in")
         jobs.run_available(jobs.append_files(
-            jobs.deduplicated(stream(spark, f"{root}/in")), f"{root}/out", f"{root}/ckpt"))
+            jobs.deduplicated(stream(spark, f"{root}/in"), spread=spread), f"{root}/out", f"{root}/ckpt"))
     assert spark.read.parquet(f"{root}/out").count() == 4
 
 
 def test_upsert_stream_is_idempotent(spark, tmp_path):
     root = str(tmp_path)
-    log = ChangeLog(spark, f"{root}/log", events.EVENT_KEY, EVENT_DDL)
+    log = ChangeLog(spark, f"{root}/log", events.EVENT_KEY, EVENT_DDL, version=["ts"])
     for minute, ndvi in ((5, 0.5), (9, 0.9), (1, 0.1)):
         land(event_rows(spark, {"event_uuid": "a", "ts": at(minute), "ndvi": ndvi}), f"{root}/in")
         jobs.run_available(jobs.upserts(stream(spark, f"{root}/in"), log, f"{root}/ckpt"))
-    row, = log.current(version=lambda: F.struct("ts")).collect()
+    row, = log.current().collect()
     assert row.ndvi == 0.9
 
 
