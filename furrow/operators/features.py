@@ -139,9 +139,10 @@ def rolling_mean(events: DataFrame, event_type: str = C.WEATHER, reading: str =
                  hours: int = 24) -> DataFrame:
     """Mean of a reading over the hours up to each second at which a plot reported.
 
-    Readings are reduced to sums per plot and second; a sum is then given to the stretch it lies in
-    and to the next one, so every window sees two stretches of a plot at most, and at most one row
-    for each of their seconds.
+    Readings are reduced to sums per plot and second. A sum enters at its second and leaves again
+    when the span has passed, so the mean is a running total, which costs the same per row however
+    many rows the span holds. Time is cut into stretches as long as the span: a sum counts in the
+    stretch it lies in and in the next one, and no window sees more than two stretches of a plot.
     """
     span = hours * 3600
     per_second = (
@@ -151,14 +152,24 @@ def rolling_mean(events: DataFrame, event_type: str = C.WEATHER, reading: str =
              F.count(exact.units(F.col(reading))).alias("n"))
     )
     home = F.floor(F.col("second") / F.lit(span)).cast("bigint")
-    spread_out = per_second.withColumn("home", home).withColumn(
-        "stretch", F.explode(F.array(F.col("home"), F.col("home") + 1)))
-    back = W.partitionBy("plot_id", "stretch").orderBy("second").rangeBetween(-span, 0)
+    # total is null where a second has rows but no reading
+    total, n = F.coalesce("total", F.lit(0)), F.col("n")
+
+    def change(stretch, at, t, c, shown: bool):
+        return F.struct(stretch.alias("stretch"), at.alias("at"), t.alias("t"), c.alias("c"),
+                        F.lit(shown).alias("shown"))
+
+    changes = per_second.select("plot_id", F.inline(F.array(
+        change(home, F.col("second"), total, n, True),
+        change(home + 1, F.col("second"), total, n, False),
+        change(home + 1, F.col("second") + (span + 1), -total, -n, False),
+    )))
+    so_far = W.partitionBy("plot_id", "stretch").orderBy("at").rangeBetween(
+        W.unboundedPreceding, W.currentRow)
     return (
-        spread_out.withColumns({
-            "w_total": F.sum("total").over(back), "w_n": F.sum("n").over(back)})
-        .filter(F.col("stretch") == F.col("home"))
-        .select("plot_id", F.timestamp_seconds("second").alias("ts"),
+        changes.withColumns({"w_total": F.sum("t").over(so_far), "w_n": F.sum("c").over(so_far)})
+        .filter("shown")
+        .select("plot_id", F.timestamp_seconds("at").alias("ts"),
                 exact.mean_of(F.col("w_total"), F.col("w_n")).alias("rolling_mean"),
                 F.col("w_n").alias("n_readings"))
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -88,10 +91,13 @@ def repeated_ids(events: DataFrame) -> DataFrame:
 
 
 def with_reasons(events: DataFrame) -> DataFrame:
-    """Add the names of the rules each row breaks."""
-    return events.withColumn("reasons", F.array_compact(F.array(*[
-        F.when(broken, F.lit(name)) for name, broken in all_rules(events.columns).items()
-    ])))
+    """Add the names of the rules each row breaks; the list is only put together for rows that
+    break one."""
+    rules = all_rules(events.columns)
+    any_broken = reduce(or_, [F.coalesce(b, F.lit(False)) for b in rules.values()])
+    names = F.array_compact(F.array(*[F.when(b, F.lit(n)) for n, b in rules.items()]))
+    return events.withColumn(
+        "reasons", F.when(any_broken, names).otherwise(F.array().cast("array<string>")))
 
 
 def accepted(judged: DataFrame) -> DataFrame:

@@ -19,6 +19,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # the JVM never compiles a method of more than 8000 bytes; wide rule sets exceed that when they
+    # are generated as one method, so such stages use split projections instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # event time of a union is that of its slowest input
     "spark.sql.streaming.multipleWatermarkPolicy": "min",
 }
