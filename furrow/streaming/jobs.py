@@ -7,7 +7,9 @@ runs of batch ingestion, a long-running deployment uses the processing-time trig
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -22,15 +24,33 @@ METRICS_DDL = (
 )
 
 
-def run_available(writer: DataStreamWriter) -> StreamingQuery:
+@contextmanager
+def _state_partitions(n: int | None):
+    """Number of state partitions of the query started inside: by default one per core of the
+    cluster. It is fixed with a query's first start and, unlike a batch shuffle, cannot be
+    coalesced later, so the setting for batches does not suit it."""
+    spark = SparkSession.active()
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n or spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def run_available(writer: DataStreamWriter, state_partitions: int | None = None) -> StreamingQuery:
     """Process all there is, then stop; what a scheduled increment does."""
-    query = writer.trigger(availableNow=True).start()
+    with _state_partitions(state_partitions):
+        query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
-def run_continuously(writer: DataStreamWriter) -> StreamingQuery:
-    return writer.trigger(processingTime=C.CHECKPOINT_EVERY).start()
+def run_continuously(writer: DataStreamWriter,
+                     state_partitions: int | None = None) -> StreamingQuery:
+    with _state_partitions(state_partitions):
+        return writer.trigger(processingTime=C.CHECKPOINT_EVERY).start()
 
 
 def append_files(stream: DataFrame, path: str, checkpoint: str, *partitions: str):
