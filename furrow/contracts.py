@@ -69,6 +69,23 @@ PHRASES = {
     },
 }
 
+DISPLAY_TEXT = (
+    "{emoji} *कृषि सतर्कता | Agricultural Alert*\n"
+    "\n"
+    "📍 Plot: {plot}\n"
+    "🔔 Type: {type}\n"
+    "⚡ Severity: {severity}\n"
+    "\n"
+    "📝 {message}\n"
+    "\n"
+    "💡 Recommendation: Take immediate action.\n"
+)
+LOCAL_TEXT = "\n\n{text}"
+SMS_TEXT = "Alert: {type}. {message}"
+SUBJECT_TEXT = "Agri Alert: {type}"
+DELIVERY_PREFIXES = {"whatsapp": "wa_", "sms": "sms_", "voice_call": "voice_", "sns": "sns_"}
+REPORT_SENTENCE = r"^Observed (\w+) on (\w+)$"
+
 DEFAULT_LANGUAGE = "en"
 DEFAULT_CHANNEL = "whatsapp"
 DEFAULT_SEVERITY = "medium"

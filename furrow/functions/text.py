@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,26 +37,30 @@ def translation(message: Column, language: Column) -> Column:
     return lookup(F.concat_ws("/", language, phrase), flat, message)
 
 
+def fill(template: str, **columns: Column) -> Column:
+    """A text with named gaps filled by columns; null when one of them is null."""
+    parts = []
+    for words, gap, _, _ in Formatter().parse(template):
+        if words:
+            parts.append(F.lit(words))
+        if gap:
+            parts.append(columns[gap])
+    return F.concat(*parts)
+
+
 def display_message(plot: Column, alert_type: Column, severity: Column, message: Column) -> Column:
     """The text shown to a farmer; its header is always bilingual."""
-    emoji = lookup(severity, C.SEVERITY_EMOJI, F.lit(C.EMOJI_OTHER))
-    return F.concat(
-        emoji, F.lit(" *कृषि सतर्कता | Agricultural Alert*\n\n📍 Plot: "),
-        plot, F.lit("\n🔔 Type: "),
-        title_words(alert_type), F.lit("\n⚡ Severity: "),
-        F.upper(severity), F.lit("\n\n📝 "),
-        message, F.lit("\n\n💡 Recommendation: Take immediate action.\n"),
-    )
+    return fill(
+        C.DISPLAY_TEXT, emoji=lookup(severity, C.SEVERITY_EMOJI, F.lit(C.EMOJI_OTHER)),
+        plot=plot, type=title_words(alert_type), severity=F.upper(severity), message=message)
 
 
 def sms_body(alert_type: Column, message: Column) -> Column:
-    return F.concat(
-        F.lit("Alert: "), alert_type, F.lit(". "), F.substring(message, 1, C.SMS_BODY_CHARS)
-    )
+    return fill(C.SMS_TEXT, type=alert_type, message=F.substring(message, 1, C.SMS_BODY_CHARS))
 
 
 def topic_subject(alert_type: Column) -> Column:
-    return F.concat(F.lit("Agri Alert: "), alert_type)
+    return fill(C.SUBJECT_TEXT, type=alert_type)
 
 
 def alert_id(plot: Column, alert_type: Column, ts: Column, message: Column) -> Column:

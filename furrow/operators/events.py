@@ -174,7 +174,7 @@ def parse_plot_id(df: DataFrame, column: str = "plot_id") -> DataFrame:
 
 def report_features(reports: DataFrame) -> DataFrame:
     """What a farmer report says: pest, crop, image ids, and whether it lies inside the region."""
-    sentence = r"^Observed (\w+) on (\w+)$"
+    sentence = C.REPORT_SENTENCE
     image = r"^s3://[^/]+/([^/]+)/([^/]+)\.jpg$"
     (lat_lo, lat_hi), (lon_lo, lon_hi) = C.RANGES[C.REPORT]["lat"], C.RANGES[C.REPORT]["lon"]
 

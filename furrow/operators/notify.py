@@ -76,7 +76,7 @@ def compose(messages: DataFrame) -> DataFrame:
     shown = text.display_message(
         F.col("plot_id"), F.col("alert_type"), F.col("severity"), F.col("message_en"))
     local = F.coalesce("message_local", F.lit(""))
-    tail = F.when(local != "", F.concat(F.lit("\n\n"), local)).otherwise("")
+    tail = F.when(local != "", text.fill(C.LOCAL_TEXT, text=local)).otherwise("")
     return messages.withColumn("display", F.concat(shown, tail))
 
 
@@ -101,8 +101,7 @@ def outbox(messages: DataFrame, contacts: DataFrame) -> DataFrame:
     """One outgoing message per alert. Ids are hashes of what is sent (for a voice call, of the
     alert id), so a replay produces the same ids."""
     ready = route(compose(translate(with_contact(messages, contacts))))
-    prefix = text.lookup(
-        F.col("route"), {"whatsapp": "wa_", "sms": "sms_", "voice_call": "voice_"}, F.lit("sns_"))
+    prefix = text.lookup(F.col("route"), C.DELIVERY_PREFIXES)
     return ready.select(
         "alert_id", "route", "phone", "subject", "body",
         F.concat(prefix, F.sha2(F.coalesce("body", "alert_id"), 256)).alias("message_id"),

@@ -146,17 +146,22 @@ def run_metrics(events: DataFrame, min_rows: int = 1) -> DataFrame:
     )
 
 
-def _days(events: DataFrame) -> Column:
-    """All days between the first and the last event, as an array column."""
+def _days(events: DataFrame, first: str | None, last: str | None) -> Column:
+    """All days from the first to the last as an array column; read from the events where not
+    given."""
+    if first and last:
+        return F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))
     span = events.agg(F.sequence(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).alias("days"))
     return span.scalar()
 
 
-def cadence_gaps(events: DataFrame, plots: DataFrame) -> DataFrame:
+def cadence_gaps(events: DataFrame, plots: DataFrame, first: str | None = None,
+                 last: str | None = None) -> DataFrame:
     """Plot-days and crop-days with fewer readings than their sources should send.
 
     The spine is each plot exploded over the days; counts per plot and day are reduced before the
-    join. A satellite pass is due within any three days.
+    join. A satellite pass is due within any three days. Give the first and last day to spare the
+    pass over the events that finds them.
     """
     day = F.to_date("ts").alias("day")
     seen = (
@@ -166,7 +171,7 @@ def cadence_gaps(events: DataFrame, plots: DataFrame) -> DataFrame:
         .agg(*[F.count_if(F.col("event_type") == t).alias(t)
                for t in (C.WEATHER, C.SOIL, C.SATELLITE)])
     )
-    spine = plots.select("plot_id", F.explode(_days(events)).alias("day"))
+    spine = plots.select("plot_id", F.explode(_days(events, first, last)).alias("day"))
     back = W.partitionBy("plot_id").orderBy("day").rowsBetween(-(C.SATELLITE_EVERY_DAYS - 1), 0)
     per_plot = (
         spine.join(seen, ["plot_id", "day"], "left")
@@ -192,7 +197,7 @@ def cadence_gaps(events: DataFrame, plots: DataFrame) -> DataFrame:
     )
     crops = events.sparkSession.createDataFrame([(c,) for c in C.CROPS], "source string")
     crop_gaps = (
-        crops.select("source", F.explode(_days(events)).alias("day"))
+        crops.select("source", F.explode(_days(events, first, last)).alias("day"))
         .join(prices, ["source", "day"], "left")
         .select("source", "day", F.lit(C.MARKET).alias("reading"),
                 F.lit(C.PRICES_PER_CROP_DAY).cast("bigint").alias("expected"),
