@@ -6,9 +6,10 @@ import oracle_check
 import pytest
 
 import __spark_entry__ as entry_points
+from furrow.plans import oracles, registry
 
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+QUERIES = registry.queries()
+ORACLES = oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
