@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import common, token_files
+from furrow.llm import common, mixing, packing, token_files
 from furrow.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,3 +46,55 @@ def op1_token_files(spark, sf_dir):
     path = work_dir(spark, "token-files")
     token_files.write(common.table(spark, sf_dir, "documents"), path, tokenizer_path(), end=0)
     return token_files.read_digests(spark, path)
+
+
+@query
+def op8_best_fit_packing(spark, sf_dir):
+    """All documents as pieces in sequences of 1024 tokens."""
+    return packing.pack(common.table(spark, sf_dir, "documents"), tokenizer_path(), end=2)
+
+
+@query
+def op9_source_mixing(spark, sf_dir):
+    """How many words of each document a mix of 150% of all words takes."""
+    mixed = mixing.mix(common.table(spark, sf_dir, "documents"), share=1.5, epochs=2.0)
+    return mixed.select(
+        "doc_id", "mixed.size", "mixed.source_size", "mixed.target",
+        (F.col("mixed.times") * F.col("mixed.size")).alias("taken"))
+
+
+_SQL["op9_source_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS spot,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         row_number() OVER (ORDER BY source NULLS LAST) AS nr
+  FROM d GROUP BY source),
+c AS (
+  SELECT *, [5.0::DOUBLE, 2.0, 1.0][(nr - 1) % 3 + 1] AS weight,
+         source_size * 2.0::DOUBLE AS cap,
+         CAST(sum(source_size) OVER () AS BIGINT) * 1.5::DOUBLE AS total
+  FROM s),
+l AS (
+  SELECT *, cap / weight AS ratio,
+         (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+         / sum(weight) OVER (ORDER BY cap / weight, nr ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM c),
+t AS (
+  SELECT source, source_size,
+         CASE WHEN ratio > level
+              THEN max(CASE WHEN ratio > level THEN level END) OVER () * weight ELSE cap END AS target
+  FROM l),
+g AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+m AS (
+  SELECT d.*, g.source_size, g.target, g.whole,
+         greatest(g.target - g.whole * g.source_size, 0.0) AS rest,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY spot, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (whole + CASE WHEN rest > 0 AND before + size / 2 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM m
+"""
