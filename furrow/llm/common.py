@@ -73,8 +73,10 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def in_chunks(
     batches: Iterable[pa.RecordBatch], max_bytes: int, text: str = "text",
+    max_rows: int = 50_000,
 ) -> Iterator[pa.RecordBatch]:
-    """Batches joined, or cut between rows, to about max_bytes of text (one row at least)."""
+    """Batches joined, or cut between rows, to about max_bytes of text (one row at least) and
+    max_rows rows."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -89,7 +91,8 @@ def in_chunks(
             if last > first:
                 held.append(batch.slice(first, last - first))
                 size += int(limits[last] - limits[first])
-            if last < batch.num_rows or size >= max_bytes:
+            if last < batch.num_rows or size >= max_bytes \
+                    or sum(b.num_rows for b in held) >= max_rows:
                 yield _one(held)
                 held, size = [], 0
             first = last

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import common, mixing, packing, token_files
+from furrow.llm import common, minhash_dedup, mixing, packing, token_files
 from furrow.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,12 @@ def op1_token_files(spark, sf_dir):
     return token_files.read_digests(spark, path)
 
 
+@query
+def op5_minhash_near_dedup(spark, sf_dir):
+    """Components of documents alike by 0.75 in their sets of five-word shingles."""
+    return minhash_dedup.near_duplicates(common.table(spark, sf_dir, "documents"), percent=75, n=5)
+
+
 @query
 def op8_best_fit_packing(spark, sf_dir):
     """All documents as pieces in sequences of 1024 tokens."""
