@@ -198,3 +198,22 @@ def near_duplicates(
     return labelled.join(part, F.col("first") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id")) \
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
+    """The documents without near duplicates: of each group the one with the smallest id stays.
+
+    All columns pass through. Of rows with one id, one stays; rows without an id all stay.
+    """
+    id_ = common.col(id_col)
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **kwargs)
+    per_id = common.stored(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+        .filter("component_id <> doc_id OR rows > 1")
+        .select(F.col("doc_id").alias("__id"), (F.col("component_id") == F.col("doc_id")).alias("__kept")),
+        "duplicates")
+    known = id_.cast("long") == F.col("__id")
+    listed = broadcast_if_small(per_id, MAX_BROADCAST_IDS)
+    repeated = broadcast_if_small(per_id.filter("__kept"), MAX_BROADCAST_IDS)
+    return docs.join(listed, known, "left_anti").unionByName(
+        docs.join(repeated, known, "left_semi").dropDuplicates([id_col]))

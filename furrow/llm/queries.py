@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import common, minhash_dedup, mixing, packing, token_files
+from furrow.llm import common, language_id, minhash_dedup, mixing, packing, token_files
 from furrow.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,17 @@ def op1_token_files(spark, sf_dir):
     return token_files.read_digests(spark, path)
 
 
+@query
+def op3_language_id(spark, sf_dir):
+    """The language of every document, learned from four fifths of the labelled ones."""
+    docs = common.table(spark, sf_dir, "documents")
+    held_out = language_id.held_out(F.col("doc_id"))
+    model = language_id.fit(docs, ~held_out)
+    return language_id.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"),
+        "language.score", "language.rejected")
+
+
 @query
 def op5_minhash_near_dedup(spark, sf_dir):
     """Components of documents alike by 0.75 in their sets of five-word shingles."""
