@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import common, language_id, minhash_dedup, mixing, packing, token_files
+from furrow.llm import (
+    common, fingerprints, language_id, minhash_dedup, mixing, packing, token_files,
+)
 from furrow.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +50,12 @@ def op1_token_files(spark, sf_dir):
     return token_files.read_digests(spark, path)
 
 
+@query
+def op2_fingerprints(spark, sf_dir):
+    """Every document's fingerprint, against its edited text and the next document."""
+    return fingerprints.edit_report(common.table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_language_id(spark, sf_dir):
     """The language of every document, learned from four fifths of the labelled ones."""
