@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.llm import (
-    common, fingerprints, language_id, minhash_dedup, mixing, packing, token_files,
+    common, fingerprints, language_id, minhash_dedup, mixing, packing, token_files, warc,
 )
 from furrow.session import work_dir
 
@@ -73,6 +73,26 @@ def op5_minhash_near_dedup(spark, sf_dir):
     return minhash_dedup.near_duplicates(common.table(spark, sf_dir, "documents"), percent=75, n=5)
 
 
+@query
+def op6_warc_round_trip(spark, sf_dir):
+    """Every page as a WARC record, read back along verified record boundaries."""
+    path = work_dir(spark, "warc")
+    warc.write(common.table(spark, sf_dir, "pages"), path)
+    return warc.page_records(warc.read(spark, path))
+
+
+_SQL["op6_warc_round_trip"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+h AS (
+  SELECT html, max(page_id) AS holder FROM p WHERE n >= 1000 AND page_id IS NOT NULL GROUP BY html)
+SELECT page_id, n AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN holder <> page_id THEN holder END AS refers_to
+FROM p LEFT JOIN h ON p.html = h.html
+"""
+
+
 @query
 def op8_best_fit_packing(spark, sf_dir):
     """All documents as pieces in sequences of 1024 tokens."""
