@@ -126,12 +126,11 @@ def with_next(
 
     @F.pandas_udf("int")
     def range_of(ids: pd.Series) -> pd.Series:
-        places = np.full(len(ids), len(bounds))
-        known = ids.notna().to_numpy()
-        places[known] -= np.searchsorted(bounds, ids[known].to_numpy(np.int64))
-        return pd.Series(places)
+        return pd.Series(len(bounds) - np.searchsorted(bounds, ids.to_numpy(np.int64)))
 
-    dealt = narrow.withColumn("range", range_of("doc_id")).withColumn("after", F.lit(0))
+    dealt = narrow.withColumn("range", F.when(
+        F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(
+            range_of(F.coalesce("doc_id", F.lit(0).cast("long"))))).withColumn("after", F.lit(0))
     first_ids = dealt.groupBy("range").agg(F.max("doc_id").alias("first_id"))
     turn = Window.orderBy("range")
     # a row per range

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.llm import (
-    common, fingerprints, language_id, minhash_dedup, mixing, packing, token_files, warc,
+    common, fingerprints, language_id, minhash_dedup, mixing, packing, token_files,
+    url_filters, warc,
 )
 from furrow.session import work_dir
 
@@ -67,6 +68,45 @@ def op3_language_id(spark, sf_dir):
         "language.score", "language.rejected")
 
 
+# The rules of the URL query.
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@query
+def op4_url_filters(spark, sf_dir):
+    """Every page's host, path, and the verdict of the longest rule that fits."""
+    judged = url_filters.judge(
+        common.table(spark, sf_dir, "pages"), url_filters.rule_table(spark, URL_RULES))
+    return judged.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
+
+
+_SQL["op4_url_filters"] = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path
+  FROM u),
+r(verdict, rhost, rpath) AS (VALUES
+  ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+  ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+m AS (
+  SELECT page_id, rhost || rpath AS rule, verdict,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC) AS nr
+  FROM p JOIN r ON (host = rhost OR host LIKE '%.' || rhost) AND starts_with(path, rpath))
+SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM p LEFT JOIN m ON p.page_id = m.page_id AND nr = 1
+"""
+
+
 @query
 def op5_minhash_near_dedup(spark, sf_dir):
     """Components of documents alike by 0.75 in their sets of five-word shingles."""
