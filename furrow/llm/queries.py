@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.llm import (
-    common, fingerprints, language_id, minhash_dedup, mixing, packing, token_files,
+    common, embedding_dedup, fingerprints, language_id, minhash_dedup, mixing, packing, token_files,
     url_filters, warc,
 )
 from furrow.session import work_dir
@@ -183,3 +183,9 @@ SELECT doc_id, size, source_size, target,
        CAST(size * (whole + CASE WHEN rest > 0 AND before + size / 2 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM m
 """
+
+
+@query
+def op10_embedding_near_dedup(spark, sf_dir):
+    """Links and components of vectors with a cosine of 0.95 or more."""
+    return embedding_dedup.near_duplicates(common.table(spark, sf_dir, "embeddings"), threshold=0.95)
