@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.llm import (
-    common, embedding_dedup, fingerprints, language_id, minhash_dedup, mixing, packing, token_files,
-    url_filters, warc,
+    chat, common, embedding_dedup, fingerprints, language_id, minhash_dedup, mixing, packing,
+    token_files, url_filters, warc,
 )
 from furrow.session import work_dir
 
@@ -133,6 +133,12 @@ FROM p LEFT JOIN h ON p.html = h.html
 """
 
 
+@query
+def op7_chat_threads(spark, sf_dir):
+    """All chat messages without quotes, in reply order."""
+    return chat.reply_order(common.table(spark, sf_dir, "conversations"))
+
+
 @query
 def op8_best_fit_packing(spark, sf_dir):
     """All documents as pieces in sequences of 1024 tokens."""
