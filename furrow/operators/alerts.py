@@ -29,10 +29,29 @@ def _sums() -> list[Column]:
     return out
 
 
-def _averages(sums: DataFrame) -> DataFrame:
+def _flat(sums: DataFrame) -> DataFrame:
     return sums.select(
         "plot_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-        *[F.col(f"n_{m}") for m in METRICS],
+        *[F.col(f"{part}_{m}") for m in METRICS for part in ("sum", "n")])
+
+
+def hourly_sums(events: DataFrame) -> DataFrame:
+    """Sums and counts of the three readings per plot and hour: what can still be added to."""
+    return _flat(_grouped(events).agg(*_sums()))
+
+
+def added(sums: DataFrame) -> DataFrame:
+    """Sums of several batches as one row per plot and hour, with the last batch's id."""
+    return sums.groupBy("plot_id", "window_start", "window_end").agg(
+        *[F.sum(f"{part}_{m}").cast(kind).alias(f"{part}_{m}")
+          for m in METRICS for part, kind in (("sum", exact.EXACT), ("n", "bigint"))],
+        F.max("batch_id").alias("batch_id"))
+
+
+def averages(sums: DataFrame) -> DataFrame:
+    """Sums as means."""
+    return sums.select(
+        "plot_id", "window_start", "window_end", *[F.col(f"n_{m}") for m in METRICS],
         *[exact.mean_of(F.col(f"sum_{m}"), F.col(f"n_{m}")).alias(f"avg_{m}") for m in METRICS],
     )
 
@@ -44,7 +63,7 @@ def hourly_metrics(events: DataFrame) -> DataFrame:
     so one mean. Partial sums are formed before the shuffle, so a busy plot sends one row per
     hour and task.
     """
-    return _averages(_grouped(events).agg(*_sums()))
+    return averages(hourly_sums(events))
 
 
 def salted_metrics(events: DataFrame, salts: int = 16) -> DataFrame:
@@ -55,7 +74,7 @@ def salted_metrics(events: DataFrame, salts: int = 16) -> DataFrame:
     merged = first.groupBy("plot_id", "w").agg(
         *[F.sum(f"{part}_{m}").alias(f"{part}_{m}") for m in METRICS for part in ("sum", "n")]
     )
-    return _averages(merged)
+    return averages(_flat(merged))
 
 
 def _alert(condition: Column, rule: tuple[str, str, float], message: Column) -> Column:
@@ -65,18 +84,23 @@ def _alert(condition: Column, rule: tuple[str, str, float], message: Column) ->
     ))
 
 
-def alerts_from(metrics: DataFrame) -> DataFrame:
-    """Zero to three alert rows per plot-hour; a mean equal to its threshold raises none."""
+def raised(metrics: DataFrame) -> DataFrame:
+    """Per plot-hour the list of its alerts, empty where there are none; a mean equal to its
+    threshold raises none."""
     ndvi, moisture, temp = F.col("avg_ndvi"), F.col("avg_moisture"), F.col("avg_temp")
-    raised = F.array_compact(F.array(
+    found = F.array_compact(F.array(
         _alert(ndvi < C.NDVI_ALERT[2], C.NDVI_ALERT, F.format_string(C.NDVI_MESSAGE, ndvi)),
         _alert(moisture < C.MOISTURE_ALERT[2], C.MOISTURE_ALERT,
                F.format_string(C.MOISTURE_MESSAGE, moisture)),
         _alert(temp > C.HEAT_ALERT[2], C.HEAT_ALERT, F.format_string(C.HEAT_MESSAGE, temp)),
     ))
     return metrics.select(
-        F.col("plot_id").cast("string").alias("plot_id"), "window_end", F.inline(raised)
-    )
+        F.col("plot_id").cast("string").alias("plot_id"), "window_end", found.alias("raised"))
+
+
+def alerts_from(metrics: DataFrame) -> DataFrame:
+    """Zero to three alert rows per plot-hour."""
+    return raised(metrics).select("plot_id", "window_end", F.inline("raised"))
 
 
 def plot_alerts(events: DataFrame) -> DataFrame:

@@ -206,12 +206,12 @@ def data_drift(events: DataFrame, split: Column, readings: dict[str, tuple[float
                 (F.col(name) - F.lit(low)) * bins / F.lit(high - low)))).cast("int").alias("bin"),
         ) for name, (low, high) in readings.items()
     ])
-    u = exact.units(F.col("x"))
+    x = F.col("x")
     binned = (
         events.select(period.alias("period"), F.inline(items))
         .groupBy("reading", "period", F.when(F.col("x").isNotNull(), F.col("bin")).alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(u).alias("s"), F.count(u).alias("nn"),
-             F.sum(u.cast("decimal(19,0)") * u.cast("decimal(19,0)")).alias("ss"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("s"), F.count(x).alias("nn"),
+             F.sum(x * x).alias("ss"))
     )
     after, before = F.col("period") == "after", F.col("period") == "before"
     per_bin = binned.groupBy("reading", "bin").agg(
@@ -236,7 +236,7 @@ def data_drift(events: DataFrame, split: Column, readings: dict[str, tuple[float
         n, s, ss = total(f"nn_{t}"), total(f"s_{t}"), total(f"ss_{t}")
         m = s.cast("double") / n.cast("double")
         spread_sq = ss.cast("double") / n.cast("double") - m * m
-        return F.sqrt(F.greatest(spread_sq, F.lit(0.0))) / F.lit(float(exact.UNITS))
+        return F.sqrt(F.greatest(spread_sq, F.lit(0.0)))
 
     return shares.groupBy("reading").agg(
         mean("b").alias("mean_before"), mean("a").alias("mean_after"),

@@ -78,19 +78,30 @@ CONTACTS = f"""contacts AS (
 
 
 def _units(x: str) -> str:
-    return f"CAST(round(({x}) * 10000) AS BIGINT)"
+    """All digits of a reading as a decimal, by way of its shortest text."""
+    return f"CAST(CAST(({x}) AS VARCHAR) AS DECIMAL(38, 18))"
+
+
+def _double(total: str) -> str:
+    """A decimal sum as the double nearest to it."""
+    return f"CAST(CAST({total} AS VARCHAR) AS DOUBLE)"
+
+
+def _whole(x: str) -> str:
+    """A sum of readings in units of its last digit."""
+    return f"CAST(replace(CAST(sum({_units(x)}) AS VARCHAR), '.', '') AS HUGEINT)"
 
 
 def _mean(x: str) -> str:
-    return (f"CASE WHEN count({x}) > 0 THEN CAST(sum({_units(x)}) AS DOUBLE) / "
-            f"CAST(count({x}) * 10000 AS DOUBLE) END")
+    return (f"CASE WHEN count({x}) > 0 THEN {_double(f'sum({_units(x)})')} / "
+            f"CAST(count({x}) AS DOUBLE) END")
 
 
 def _rounded(total: str, n: str, digits: int) -> str:
     """A mean as text, rounded half up at one or two digits, by whole numbers alone."""
     one = 10 ** digits
-    unit = 10_000 // one
-    h = f"CAST((2 * {total} + {unit} * {n}) // (2 * {unit} * {n}) AS BIGINT)"
+    unit = 10 ** 18 // one
+    h = f"CAST((2 * {total} + {unit}::HUGEINT * {n}) // (2 * {unit}::HUGEINT * {n}) AS BIGINT)"
     return (f"(CAST({h} // {one} AS VARCHAR) || '.' || "
             f"lpad(CAST({h} % {one} AS VARCHAR), {digits}, '0'))")
 
@@ -99,9 +110,9 @@ HOURLY = f"""hm AS (
   SELECT coalesce(plot_id, 'unknown') AS plot_id, date_trunc('hour', ts) AS window_start,
          date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
          count(ndvi) AS n_ndvi, count(moisture_pct) AS n_moisture, count(temperature_c) AS n_temp,
-         CAST(sum({_units('ndvi')}) AS BIGINT) AS s_ndvi,
-         CAST(sum({_units('moisture_pct')}) AS BIGINT) AS s_moisture,
-         CAST(sum({_units('temperature_c')}) AS BIGINT) AS s_temp,
+         {_whole('ndvi')} AS s_ndvi,
+         {_whole('moisture_pct')} AS s_moisture,
+         {_whole('temperature_c')} AS s_temp,
          {_mean('ndvi')} AS avg_ndvi, {_mean('moisture_pct')} AS avg_moisture,
          {_mean('temperature_c')} AS avg_temp
   FROM src WHERE event_type IN ('{C.SATELLITE}', '{C.WEATHER}', '{C.SOIL}')
@@ -316,11 +327,11 @@ def _drift() -> str:
     cols = []
     for t, cond in (("before", "NOT after"), ("after", "after")):
         n = f"CAST(count(x) {whole(cond)} AS DOUBLE)"
-        s = f"CAST(sum({_units('x')}) {whole(cond)} AS DOUBLE)"
-        ss = f"CAST(sum(CAST({_units('x')} AS HUGEINT) * {_units('x')}) {whole(cond)} AS DOUBLE)"
+        s = f"sum(x) {whole(cond)}"
+        ss = f"sum(x * x) {whole(cond)}"
         cols += [
-            f"round({s} / ({n} * 10000), 6) AS mean_{t}",
-            f"round(sqrt(greatest({ss} / {n} - ({s} / {n}) * ({s} / {n}), 0)) / 10000, 6) "
+            f"round({s} / {n}, 6) AS mean_{t}",
+            f"round(sqrt(greatest({ss} / {n} - ({s} / {n}) * ({s} / {n}), 0)), 6) "
             f"AS stddev_{t}",
             f"round(1 - {n} / CAST(count(*) {whole(cond)} AS DOUBLE), 6) AS null_rate_{t}",
         ]
@@ -366,8 +377,8 @@ SELECT coalesce(plot_id, 'unknown') AS plot_id, event_type, count(*) AS n_events
 WHERE event_type IN ('{C.SATELLITE}', '{C.WEATHER}', '{C.SOIL}') GROUP BY 1, 2"""
     out["dedup_events"] = _NEWEST_OF_TWICE
     out["stream_upsert"] = _NEWEST_OF_TWICE
-    out["stream_dedup"] = f"""{BASE}, {_SENT_TWICE}
-SELECT DISTINCT event_uuid, plot_id, event_type FROM twice"""
+    out["stream_dedup"] = f"""{BASE}
+SELECT event_uuid, plot_id, event_type, ts, measure FROM ev"""
     out["upsert_latest"] = f"""{BASE},
 both_sides AS (
   SELECT event_uuid, plot_id, event_type, ts, measure FROM ev
@@ -414,7 +425,7 @@ SELECT plot_id, window_start, window_end, n_ndvi, n_moisture, n_temp, avg_ndvi,
        avg_temp FROM hm"""
     out["hourly_plot_metrics"] = hourly
     out["salted_metrics"] = hourly
-    for key in ("plot_alerts", "stream_alerts"):
+    for key in ("plot_alerts", "stream_alerts", "stream_alert_sink"):
         out[key] = f"{ALERT_BASE} SELECT * FROM alerts"
     out["heat_air_only"] = f"""{BASE},
 src AS (SELECT * FROM ev WHERE event_type = '{C.WEATHER}'), {ALERTS}
@@ -617,7 +628,7 @@ FROM plots LEFT JOIN m ON m.crop = plots.crop_type"""
         for n, x in (("ndvi", "ndvi"), ("moisture", "moisture_pct"), ("air_temp", "air")))
     out["plot_daily_features"] = f"""{BASE}
 SELECT plot_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, {three},
-       CAST(sum({_units('precipitation_mm')}) AS DOUBLE) / 10000 AS rain_mm,
+       {_double(f"sum({_units('precipitation_mm')})")} AS rain_mm,
        count(*) AS n_readings
 FROM (SELECT *, {air} AS air FROM ev
       WHERE event_type IN ('{C.SATELLITE}', '{C.WEATHER}', '{C.SOIL}'))
@@ -625,7 +636,7 @@ GROUP BY 1, 2"""
     out["rolling_24h"] = f"""{BASE},
 s AS (SELECT plot_id, date_trunc('second', ts) AS ts, sum({_units('temperature_c')}) AS total,
              count(temperature_c) AS n FROM ev WHERE event_type = '{C.WEATHER}' GROUP BY 1, 2)
-SELECT plot_id, ts, CAST(sum(total) OVER b AS DOUBLE) / CAST(sum(n) OVER b * 10000 AS DOUBLE)
+SELECT plot_id, ts, CASE WHEN sum(n) OVER b > 0 THEN {_double("sum(total) OVER b")} / CAST(sum(n) OVER b AS DOUBLE) END
          AS rolling_mean, CAST(sum(n) OVER b AS BIGINT) AS n_readings
 FROM s WINDOW b AS (PARTITION BY plot_id ORDER BY ts
                     RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW)"""
@@ -695,8 +706,9 @@ WHERE event_type IN ('{C.SATELLITE}', '{C.WEATHER}', '{C.SOIL}')"""
     out["stream_interval_join"] = f"""{BASE}
 SELECT g.event_uuid AS pass_id, g.plot_id, g.ts AS pass_ts, g.ndvi, w.event_uuid AS weather_id,
        w.ts AS weather_ts, w.temperature_c
-FROM ev g JOIN ev w ON g.plot_id = w.plot_id AND w.ts <= g.ts AND w.ts >= g.ts - INTERVAL 6 HOUR
-WHERE g.event_type = '{C.SATELLITE}' AND w.event_type = '{C.WEATHER}'"""
+FROM ev g LEFT JOIN ev w ON g.plot_id = w.plot_id AND w.ts <= g.ts
+  AND w.ts >= g.ts - INTERVAL 6 HOUR AND w.event_type = '{C.WEATHER}'
+WHERE g.event_type = '{C.SATELLITE}'"""
     out["late_events"] = f"""{BASE},
 a AS (SELECT event_uuid, plot_id, ts, CAST(date_diff('day', DATE '2024-01-01',
              CAST(ts + to_hours(k) AS DATE)) // 10 AS INT) AS instalment FROM ev),

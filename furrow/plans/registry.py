@@ -432,7 +432,7 @@ def _ingest(spark, sf, event_type):
     landed = testbed.stream_events(spark, sf, [event_type])
     records = testbed.payloads(testbed.flawed(landed))
     jobs.run_available(jobs.ingest(records, f"{root}/out", f"{root}/checkpoint"))
-    return spark.read.parquet(f"{root}/out").select(
+    return spark.read.option("basePath", f"{root}/out").parquet(f"{root}/out/*/*/*").select(
         "record_id", "outcome", "topic", "key", _joined("reasons"))
 
 
@@ -568,23 +568,51 @@ def stream_bronze(spark, sf):
     return spark.read.parquet(f"{root}/out").select("record_id", "topic", "key", "received")
 
 
+def _shuffled(spark, sf, rows, label, files=6):
+    """A stream over rows that land in files of no order in time, one file per micro-batch."""
+    path = work_dir(spark, label)
+    rows.repartition(files, F.xxhash64("event_uuid", "ts")).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _sensor_stream(spark, sf):
+    return _shuffled(spark, sf, testbed.events(spark, sf, alerts.SOURCES).select(
+        "event_uuid", "event_type", "ts", "plot_id", "ndvi", "moisture_pct", "temperature_c"), "landing")
+
+
 @query
 def stream_alerts(spark, sf):
+    """Alerts drawn from hourly sums that several out-of-order micro-batches added to."""
     root = work_dir(spark, "alerts")
-    log = ChangeLog(spark, f"{root}/metrics", ["plot_id", "window_start"], jobs.METRICS_DDL)
-    sources = [testbed.stream_events(spark, sf, [t]) for t in alerts.SOURCES]
-    jobs.run_available(jobs.metric_updates(sources, log, f"{root}/checkpoint"))
-    return alerts.alerts_from(log.current())
+    log = jobs.metric_log(spark, f"{root}/sums")
+    jobs.run_available(jobs.metric_updates([_sensor_stream(spark, sf)], log, f"{root}/checkpoint"))
+    return alerts.alerts_from(alerts.averages(log.current()))
+
+
+@query
+def stream_alert_sink(spark, sf):
+    """The same alerts from the sink that each micro-batch brings up to date."""
+    root = work_dir(spark, "alert-sink")
+    sink = jobs.alert_log(spark, f"{root}/alerts")
+    jobs.run_available(jobs.metric_updates(
+        [_sensor_stream(spark, sf)], jobs.metric_log(spark, f"{root}/sums"), f"{root}/checkpoint", sink))
+    return jobs.current_alerts(sink)
 
 
 @query
 def stream_dedup(spark, sf):
+    """Of events of which every tenth is sent twice, the copies being equal, one stays."""
     root = work_dir(spark, "dedup")
-    sent = testbed.redelivered(testbed.stream_events(spark, sf)).select(
-        "event_uuid", "plot_id", "event_type", "ts")
-    jobs.run_available(jobs.append_files(
-        jobs.deduplicated(sent, spread=8), f"{root}/out", f"{root}/checkpoint"))
-    return spark.read.parquet(f"{root}/out").select("event_uuid", "plot_id", "event_type")
+    sent = testbed.events(spark, sf).select("event_uuid", "plot_id", "event_type", "ts", "measure")
+    twice = sent.unionByName(sent.filter(F.col("event_uuid").cast("long") % 10 == 0)) \
+        .withColumn("copy", F.monotonically_increasing_id())
+    path = work_dir(spark, "landing")
+    twice.repartition(6, F.xxhash64("event_uuid", "copy")).drop("copy").write.parquet(path)
+    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    log = ChangeLog(spark, f"{root}/log", events.EVENT_KEY,
+                    "event_uuid string, plot_id string, event_type string, ts timestamp, measure double")
+    jobs.run_available(jobs.first_arrivals(stream, log, f"{root}/checkpoint"))
+    return log.rows().drop("batch_id")
 
 
 @query
@@ -619,12 +647,15 @@ def fanout_split(spark, sf):
 
 @query
 def stream_interval_join(spark, sf):
+    """Every satellite pass with the weather of the six hours before it, or without."""
     root = work_dir(spark, "interval")
-    pairs = jobs.interval_join(
-        testbed.stream_events(spark, sf, [C.SATELLITE]),
-        testbed.stream_events(spark, sf, [C.WEATHER]), how="inner")
-    jobs.run_available(jobs.append_files(pairs, f"{root}/out", f"{root}/checkpoint"))
-    return spark.read.parquet(f"{root}/out")
+    log = ChangeLog(spark, f"{root}/log", ["pass_id"], jobs.JOIN_DDL)
+    passes = testbed.events(spark, sf, [C.SATELLITE]).select("event_uuid", "plot_id", "ts", "ndvi")
+    readings = testbed.events(spark, sf, [C.WEATHER]).select("event_uuid", "plot_id", "ts", "temperature_c")
+    jobs.run_available(jobs.interval_updates(
+        _shuffled(spark, sf, passes, "passes"), _shuffled(spark, sf, readings, "readings"),
+        f"{root}/rows", log, f"{root}/checkpoint"))
+    return jobs.current_pairs(log)
 
 
 @query

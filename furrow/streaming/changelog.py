@@ -8,6 +8,8 @@ longer read. Nothing is ever overwritten while it is read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,45 +18,45 @@ from furrow.operators.events import keep_latest
 
 class ChangeLog:
     """`version` names the columns that say which row of a key is the newest: those of the row,
-    then the batch. With `compact_every` the log is compacted after each so many batches."""
+    then the batch. With `merge`, rows of a key are merged by that function instead (it keeps the
+    greatest batch_id). The log is compacted after each `compact_every` batches (0: never)."""
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str,
-                 version: list[str] | None = None, compact_every: int = 0):
+                 version: list[str] | None = None, compact_every: int = 16,
+                 merge: Callable[[DataFrame], DataFrame] | None = None):
         self.spark = spark
         self.path = path.rstrip("/")
         self.keys = keys
         self.schema = schema
         self.version = F.struct(*(version or []), "batch_id")
         self.compact_every = compact_every
+        self.merge = merge
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{self.path}/changes/batch_id={batch_id}")
         if self.compact_every and (batch_id + 1) % self.compact_every == 0:
             self.compact()
 
-    def _fs(self, folder: str):
+    def _fs(self, pattern: str):
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def _numbers(self, kind: str) -> list[int]:
-        """Numbers in the folder names of a kind, ascending."""
-        fs, root = self._fs(kind)
-        if not fs.exists(root):
-            return []
-        names = [status.getPath().getName() for status in fs.listStatus(root)]
+        """Numbers in the names of a kind's complete folders, ascending; one listing."""
+        fs, pattern = self._fs(f"{kind}/*/_SUCCESS")
+        names = [found.getPath().getParent().getName() for found in fs.globStatus(pattern) or []]
         return sorted(int(n.split("=")[1]) for n in names if "=" in n)
 
-    def _complete(self, folder: str) -> bool:
-        fs, path = self._fs(f"{folder}/_SUCCESS")
-        return fs.exists(path)
-
     def _base(self, before: int | None) -> int:
         """Batch of the newest complete snapshot, -1 without one."""
-        for n in reversed(self._numbers("snapshots")):
-            if (before is None or n < before) and self._complete(f"snapshots/upto={n}"):
-                return n
-        return -1
+        return max((n for n in self._numbers("snapshots") if before is None or n < before),
+                   default=-1)
+
+    def _remove(self, kind: str, name: str, numbers: list[int]) -> None:
+        for n in numbers:
+            fs, path = self._fs(f"{kind}/{name}={n}")
+            fs.delete(path, True)
 
     def rows(self, before: int | None = None) -> DataFrame:
         """The snapshot and all rows logged after it, with their batch id.
@@ -66,7 +68,6 @@ class ChangeLog:
         batches = [
             n for n in self._numbers("changes")
             if n > base and (before is None or n < before)
-            and self._complete(f"changes/batch_id={n}")
         ]
         reader = self.spark.read.schema(f"{self.schema}, batch_id bigint")
         parts = []
@@ -81,14 +82,22 @@ class ChangeLog:
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def _newest(self, before: int | None = None) -> DataFrame:
-        return keep_latest(self.rows(before), self.keys, self.version)
+        rows = self.rows(before)
+        return self.merge(rows) if self.merge else keep_latest(rows, self.keys, self.version)
 
     def current(self, before: int | None = None) -> DataFrame:
         """Newest row per key."""
         return self._newest(before).drop("batch_id")
 
     def compact(self) -> None:
-        batches = self._numbers("changes")
-        if batches:
+        """A snapshot of the table as it is; what the snapshot before it replaced is removed.
+
+        A batch that is run again sees the log before it, so the last snapshot and what was logged
+        since are kept until there is a newer one.
+        """
+        batches, old = self._numbers("changes"), self._base(None)
+        if batches and batches[-1] > old:
             self._newest().write.mode("overwrite").parquet(
                 f"{self.path}/snapshots/upto={batches[-1]}")
+            self._remove("changes", "batch_id", [n for n in batches if n <= old])
+            self._remove("snapshots", "upto", [n for n in self._numbers("snapshots") if n < old])

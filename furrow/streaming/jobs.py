@@ -14,14 +14,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from furrow import contracts as C
-from furrow.functions import text
+from furrow.functions import exact, text
 from furrow.operators import alerts, events, quality
 from furrow.streaming.changelog import ChangeLog
 
-METRICS_DDL = (
-    "plot_id string, window_start timestamp, window_end timestamp, n_ndvi bigint, "
-    "n_moisture bigint, n_temp bigint, avg_ndvi double, avg_moisture double, avg_temp double"
+SUMS_DDL = (
+    "plot_id string, window_start timestamp, window_end timestamp, "
+    + ", ".join(f"sum_{m} {exact.EXACT}, n_{m} bigint" for m in alerts.METRICS)
 )
+ALERTS_DDL = (
+    "plot_id string, window_end timestamp, "
+    "raised array<struct<alert_type: string, severity: string, message: string>>"
+)
+
+
+def metric_log(spark: SparkSession, path: str) -> ChangeLog:
+    """Hourly sums, a row per plot, hour and batch, added up on reading and in compaction."""
+    return ChangeLog(spark, path, ["plot_id", "window_start"], SUMS_DDL, merge=alerts.added)
+
+
+def alert_log(spark: SparkSession, path: str) -> ChangeLog:
+    """The alerts of each plot and hour as of the last batch that touched it."""
+    return ChangeLog(spark, path, ["plot_id", "window_end"], ALERTS_DDL)
 
 
 @contextmanager
@@ -79,30 +93,47 @@ def closed_alerts(*streams: DataFrame, delay: str = C.WATERMARK_DELAY) -> DataFr
 
 
 def metric_updates(streams: list[DataFrame], log: ChangeLog, checkpoint: str,
-                   delay: str = C.WATERMARK_DELAY) -> DataStreamWriter:
-    """Metrics of all windows, open ones too, kept up to date in a change log.
+                   sink: ChangeLog | None = None) -> DataStreamWriter:
+    """Sums of all windows, kept up to date in a change log (`metric_log`), however late, and in
+    whatever order, readings come: a batch logs what it adds, and nothing is held in state.
 
-    An alert drawn from the log appears with the first readings that call for it and vanishes when
-    later ones in the same hour bring the mean back.
+    With a `sink` (`alert_log`) the alerts of the hours a batch touched are judged again and
+    logged: one appears with the first readings that call for it and vanishes when others in the
+    same hour bring the mean back.
     """
-    return (
-        metric_stream(*streams, delay=delay).writeStream.outputMode("update")
-        .foreachBatch(log.write).option("checkpointLocation", checkpoint)
-    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        log.write(alerts.hourly_sums(batch), batch_id)
+        if sink:
+            hour = ["plot_id", "window_start"]
+            touched = batch.sparkSession.read.schema(SUMS_DDL).parquet(
+                f"{log.path}/changes/batch_id={batch_id}").select(*hour)
+            sums = log.current(before=batch_id + 1).join(touched, hour, "left_semi")
+            sink.write(alerts.raised(alerts.averages(sums)), batch_id)
+
+    return events.union_all(*streams).writeStream.foreachBatch(write).option(
+        "checkpointLocation", checkpoint)
+
+
+def current_alerts(sink: ChangeLog) -> DataFrame:
+    return sink.current().select("plot_id", "window_end", F.inline("raised"))
 
 
-def deduplicated(stream: DataFrame, delay: str = C.WATERMARK_DELAY, spread: int = 0) -> DataFrame:
-    """First arrival of each event and plot; ids are kept for the delay only.
+def first_arrivals(stream: DataFrame, log: ChangeLog, checkpoint: str) -> DataStreamWriter:
+    """First arrival of each key, kept in a log for good; of copies in one batch the earliest stays.
 
-    For a source that repeats one event very often, `spread` adds a first round in which the
-    copies are told apart by their input partition too: they are dropped by that many tasks, and
-    the second round gets that many at most. A key is then remembered in both rounds.
+    A batch is reduced to a row per key first; the log's keys are then asked for those only.
     """
-    marked = stream.withWatermark("ts", delay)
-    if spread:
-        marked = marked.withColumn("_lane", F.pmod(F.spark_partition_id(), F.lit(spread))) \
-            .dropDuplicatesWithinWatermark([*events.EVENT_KEY, "_lane"]).drop("_lane")
-    return marked.dropDuplicatesWithinWatermark(events.EVENT_KEY)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rest = [c for c in batch.columns if c not in log.keys]
+        fresh = batch.groupBy(*log.keys).agg(
+            F.min_by(F.struct(*rest), F.struct("ts", *rest)).alias("row")).select(*log.keys, "row.*")
+        known = log.rows(before=batch_id).select(*[F.col(k).alias(f"known_{k}") for k in log.keys])
+        same = [F.col(k).eqNullSafe(F.col(f"known_{k}")) for k in log.keys]
+        log.write(fresh.join(known, same, "left_anti"), batch_id)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def upserts(stream: DataFrame, log: ChangeLog, checkpoint: str) -> DataStreamWriter:
@@ -131,36 +162,69 @@ def fan_out(stream: DataFrame, branches: dict[str, str], root: str,
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def interval_join(passes: DataFrame, readings: DataFrame, hours: int = C.JOIN_LOOKBACK_HOURS,
-                  how: str = "left_outer", delay: str = C.WATERMARK_DELAY) -> DataFrame:
-    """Satellite passes with the weather readings of their plot in the hours up to them.
+JOIN_DDL = (
+    "pass_id string, plot_id string, pass_ts timestamp, ndvi double, readings array<struct<"
+    "weather_id: string, weather_ts: timestamp, temperature_c: double>>"
+)
+
+
+def interval_updates(passes: DataFrame, readings: DataFrame, rows: str, log: ChangeLog,
+                     checkpoint: str, hours: int = C.JOIN_LOOKBACK_HOURS) -> DataStreamWriter:
+    """The left outer interval join in a log (keys: pass_id, schema: JOIN_DDL), for input in any
+    order: nothing is dropped for being late.
 
-    The plot alone would bring all rows of a busy plot into one task, so the key is the plot and a
-    stretch of time as long as the look-back; a reading is offered to its own stretch and the next,
-    a pass looks into its own, and every pair meets exactly once.
+    Both sides' rows are kept below `rows`, by day. A batch touches stretches of a plot's time as
+    long as the look-back; passes of these and the next stretch are joined again, from rows of the
+    days concerned, and logged with all their readings.
     """
     span = hours * 3600
+    stretch = F.floor(F.unix_seconds("ts") / F.lit(span)).cast("bigint")
+    both = events.union_all(
+        passes.select(F.lit(True).alias("is_pass"), "event_uuid", "plot_id", "ts", F.col("ndvi").alias("x")),
+        readings.select(F.lit(False).alias("is_pass"), "event_uuid", "plot_id", "ts",
+                        F.col("temperature_c").alias("x")),
+    ).withColumns({"stretch": stretch, "day": F.to_date("ts")})
+    ddl = "is_pass boolean, event_uuid string, plot_id string, ts timestamp, x double, stretch bigint"
 
-    def stretch(ts: str):
-        return F.floor(F.unix_seconds(ts) / F.lit(span)).cast("bigint")
-
-    left = passes.withWatermark("ts", delay).select(
-        F.col("event_uuid").alias("pass_id"), F.col("plot_id").alias("plot_id"),
-        F.col("ts").alias("pass_ts"), "ndvi", stretch("ts").alias("pass_stretch"),
-    )
-    right = readings.withWatermark("ts", delay).select(
-        F.col("event_uuid").alias("weather_id"), F.col("plot_id").alias("weather_plot"),
-        F.col("ts").alias("weather_ts"), "temperature_c",
-        F.explode(F.array(stretch("ts"), stretch("ts") + 1)).alias("weather_stretch"),
-    )
-    near = (
-        (F.col("plot_id") == F.col("weather_plot"))
-        & (F.col("pass_stretch") == F.col("weather_stretch"))
-        & (F.col("weather_ts") <= F.col("pass_ts"))
-        & (F.col("weather_ts") >= F.col("pass_ts") - F.expr(f"interval {hours} hours"))
-    )
-    return left.join(right, near, how).select(
-        "pass_id", "plot_id", "pass_ts", "ndvi", "weather_id", "weather_ts", "temperature_c")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").partitionBy("day").parquet(f"{rows}/batch_id={batch_id}")
+        known = spark.read.schema(f"{ddl}, batch_id bigint, day date").option("basePath", rows).parquet(rows) \
+            .filter(F.col("batch_id") <= batch_id)
+        own = known.filter(F.col("batch_id") == batch_id)
+        touched = own.select("plot_id", F.explode(F.array("stretch", F.col("stretch") + 1)).alias("stretch")) \
+            .distinct()
+        # a touched stretch looks back into the one before it
+        wide = touched.select("plot_id", F.explode(F.array("stretch", F.col("stretch") - 1)).alias("stretch")) \
+            .distinct().withColumn("day", F.explode(F.sequence(
+                F.to_date(F.timestamp_seconds(F.col("stretch") * span)),
+                F.to_date(F.timestamp_seconds((F.col("stretch") + 1) * span - 1)))))
+        near = known.join(wide, ["plot_id", "stretch", "day"], "left_semi")
+        left = near.filter("is_pass").join(touched, ["plot_id", "stretch"], "left_semi")
+        right = near.filter("NOT is_pass").select(
+            F.col("plot_id").alias("w_plot"), F.col("event_uuid").alias("weather_id"),
+            F.col("ts").alias("weather_ts"), F.col("x").alias("temperature_c"),
+            F.explode(F.array("stretch", F.col("stretch") + 1)).alias("w_stretch"))
+        meets = (F.col("plot_id") == F.col("w_plot")) & (F.col("stretch") == F.col("w_stretch")) \
+            & (F.col("weather_ts") <= F.col("ts")) \
+            & (F.col("weather_ts") >= F.col("ts") - F.expr(f"interval {hours} hours"))
+        # passes without a plot match nothing and are kept
+        unplaced = own.filter("is_pass AND plot_id IS NULL")
+        joined = left.unionByName(unplaced, allowMissingColumns=True).join(right, meets, "left")
+        log.write(joined.groupBy(
+            F.col("event_uuid").alias("pass_id"), "plot_id", F.col("ts").alias("pass_ts"),
+            F.col("x").alias("ndvi")).agg(F.collect_list(F.when(
+                F.col("weather_id").isNotNull(), F.struct("weather_id", "weather_ts", "temperature_c")))
+                .alias("readings")), batch_id)
+
+    return both.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def current_pairs(log: ChangeLog) -> DataFrame:
+    """A row per pass and reading; a pass without a reading keeps one row."""
+    return log.current().select(
+        "pass_id", "plot_id", "pass_ts", "ndvi", F.explode_outer("readings").alias("r")).select(
+            "pass_id", "plot_id", "pass_ts", "ndvi", "r.*")
 
 
 def late_split(stream: DataFrame, newest: ChangeLog, path: str, checkpoint: str,
@@ -204,7 +268,7 @@ def last_readings(stream: DataFrame, readings: list[str]) -> DataFrame:
 
 def ingest(records: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Batch ingestion: decode, judge, route. Accepted and quarantined rows go into folders of
-    their own in one pass; the run's counters are observed on the way."""
+    their own in one pass, below their batch's."""
     flat = events.flatten(events.parse(records), "record_id", "bad_record", "value")
     judged = quality.with_reasons(flat)
     undecodable = F.col("bad_record").isNotNull()
@@ -214,21 +278,22 @@ def ingest(records: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
         "outcome": F.when(F.size("reasons") == 0, "accepted").otherwise("quarantined"),
         "topic": text.topic_of(F.col("event_type")),
     })
-    watched = routed.observe(
-        "ingest", F.count(F.lit(1)).alias("fetched"),
-        F.count_if(F.col("outcome") == "accepted").alias("messages_sent"))
-    out = watched.select(
+    out = routed.select(
         "outcome", "topic", "record_id", F.coalesce("plot_id", "crop").alias("key"), "value",
         "reasons")
-    return append_files(out, path, checkpoint, "outcome", "topic")
-
-
-def run_counters(query: StreamingQuery) -> dict[str, int]:
-    """Counters of an ingestion run, summed over its micro-batches."""
-    totals: dict[str, int] = {}
-    for progress in query.recentProgress:
-        seen = progress["observedMetrics"].get("ingest")
-        if seen is not None:
-            for name, value in seen.asDict().items():
-                totals[name] = totals.get(name, 0) + value
-    return totals
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").partitionBy("outcome", "topic").parquet(
+            f"{path}/batch_id={batch_id}")
+
+    return out.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def run_counters(spark: SparkSession, path: str, after: int = -1) -> dict[str, int]:
+    """Counters of an ingestion run, from what it wrote: the batches after the last one before it."""
+    # a batch without rows leaves no partition folders, but counts nothing either
+    row = spark.read.option("basePath", path).parquet(f"{path}/*/*/*").filter(
+        F.col("batch_id") > after).agg(
+            F.count(F.lit(1)).alias("fetched"),
+            F.count_if(F.col("outcome") == "accepted").alias("messages_sent")).first()
+    return row.asDict()

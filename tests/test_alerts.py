@@ -78,3 +78,14 @@ def test_salted_equals_plain(spark):
     ])
     plain = sorted(alerts.hourly_metrics(df).collect())
     assert sorted(alerts.salted_metrics(df, 5).collect()) == plain
+
+
+def test_means_are_not_rounded(spark):
+    rows = [("a", 0.29996, 25.0, 38.0), ("b", 0.3, 24.99999, 38.00001), ("c", 0.1 + 0.2, None, None)]
+    found = alerts.plot_alerts(event_rows(spark, *[
+        {"event_uuid": str(i), "plot_id": plot, "event_type": kind, reading: value}
+        for i, (plot, *values) in enumerate(rows)
+        for kind, reading, value in zip(alerts.SOURCES, ("ndvi", "temperature_c", "moisture_pct"),
+                                        (values[0], values[2], values[1]))]))
+    assert {(r.plot_id, r.alert_type) for r in found.collect()} == {
+        ("a", C.NDVI_ALERT[0]), ("b", C.MOISTURE_ALERT[0]), ("b", C.HEAT_ALERT[0])}

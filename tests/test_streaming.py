@@ -19,26 +19,24 @@ def stream(spark, path):
     return spark.readStream.schema(EVENT_DDL).parquet(path)
 
 
-def test_stream_in_instalments_equals_batch(spark, sf_dir, tmp_path):
-    """Metrics over ten instalments, with a compaction on the way."""
+def test_stream_in_shuffled_instalments_equals_batch(spark, sf_dir, tmp_path):
+    """Sums over files of no order in time, with compactions on the way."""
     rows = testbed.events(spark, sf_dir, alerts.SOURCES).select(
         *[c for c in ("event_uuid", "event_type", "ts", "plot_id", "ndvi", "moisture_pct",
                       "temperature_c")])
     root = str(tmp_path)
-    log = ChangeLog(spark, f"{root}/log", ["plot_id", "window_start"], jobs.METRICS_DDL)
-    bounds = ["2024-01-01", "2024-01-11", "2024-01-21", "2024-02-01"]
-    for i, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
-        rows.filter((F.col("ts") >= lo) & (F.col("ts") < hi)).write.mode("append").parquet(
-            f"{root}/in")
-        source = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
-        jobs.run_available(jobs.metric_updates(
-            [source.filter(F.col("event_type") == t) for t in alerts.SOURCES],
-            log, f"{root}/ckpt"))
-        if i == 1:
-            log.compact()
+    log, sink = jobs.metric_log(spark, f"{root}/log"), jobs.alert_log(spark, f"{root}/alerts")
+    log.compact_every = sink.compact_every = 2
+    rows.repartition(7, "event_uuid").write.parquet(f"{root}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    jobs.run_available(jobs.metric_updates(
+        [source.filter(F.col("event_type") == t) for t in alerts.SOURCES], log, f"{root}/ckpt", sink))
+    assert len(log._numbers("changes")) <= 5 and len(log._numbers("snapshots")) <= 2
     columns = ["plot_id", "window_start", "window_end", "avg_ndvi", "avg_moisture", "avg_temp"]
     expected = sorted(map(str, alerts.hourly_metrics(rows).select(columns).collect()))
-    assert sorted(map(str, log.current().select(columns).collect())) == expected
+    assert sorted(map(str, alerts.averages(log.current()).select(columns).collect())) == expected
+    assert sorted(map(str, jobs.current_alerts(sink).collect())) == \
+        sorted(map(str, alerts.plot_alerts(rows).collect()))
 
 
 def test_closed_windows_are_raised_once(spark, tmp_path):
@@ -87,15 +85,17 @@ def test_a_replayed_batch_leaves_no_trace(spark, tmp_path):
     assert log.rows().count() == 3
 
 
-@pytest.mark.parametrize("spread", [0, 4])
-def test_dedup_stream_over_batches(spark, tmp_path, spread):
+def test_dedup_stream_over_batches(spark, tmp_path):
     root = str(tmp_path)
+    log = ChangeLog(spark, f"{root}/log", events.EVENT_KEY, EVENT_DDL, compact_every=0)
     for i in range(2):
-        land(event_rows(spark, {"event_uuid": "a"}, {"event_uuid": "a", "plot_id": "UP_1_1"},
-                        {"event_uuid": f"new{i}"}), f"{root}/in")
-        jobs.run_available(jobs.append_files(
-            jobs.deduplicated(stream(spark, f"{root}/in"), spread=spread), f"{root}/out", f"{root}/ckpt"))
-    assert spark.read.parquet(f"{root}/out").count() == 4
+        land(event_rows(spark, {"event_uuid": "a", "ndvi": 0.1 * i}, {"event_uuid": "a", "plot_id": None},
+                        {"event_uuid": f"new{i}", "ts": at(hours=-9 * i)},
+                        {"event_uuid": f"new{i}", "ts": at(hours=-9 * i, minutes=1)}), f"{root}/in")
+        jobs.run_available(jobs.first_arrivals(stream(spark, f"{root}/in"), log, f"{root}/ckpt"))
+    got = {(r.event_uuid, r.plot_id): r for r in log.rows().collect()}
+    assert log.rows().count() == len(got) == 4
+    assert got["a", "WB_123_45"].ndvi == 0.0 and got["new1", "WB_123_45"].ts == at(hours=-9)
 
 
 def test_upsert_stream_is_idempotent(spark, tmp_path):
@@ -108,28 +108,28 @@ def test_upsert_stream_is_idempotent(spark, tmp_path):
     assert row.ndvi == 0.9
 
 
-def test_interval_join_keeps_unmatched_passes(spark, tmp_path):
+def test_interval_join_in_any_order(spark, tmp_path):
     root = str(tmp_path)
     sat, rain = f"{root}/sat", f"{root}/rain"
+    log = ChangeLog(spark, f"{root}/log", ["pass_id"], jobs.JOIN_DDL)
 
     def run(passes, readings):
         land(event_rows(spark, *passes), sat)
         land(event_rows(spark, *readings), rain)
-        pairs = jobs.interval_join(stream(spark, sat), stream(spark, rain))
-        jobs.run_available(jobs.append_files(pairs, f"{root}/out", f"{root}/ckpt"))
+        jobs.run_available(jobs.interval_updates(
+            stream(spark, sat), stream(spark, rain), f"{root}/rows", log, f"{root}/ckpt"))
 
-    run([{"event_uuid": "p1", "ndvi": 0.4, "ts": at(hours=6)},
-         {"event_uuid": "p2", "ndvi": 0.4, "ts": at(hours=14)}],
-        [{"event_uuid": "w1", "temperature_c": 30.0, "ts": at()},
-         {"event_uuid": "w2", "temperature_c": 31.0, "ts": at(hours=7)}])
-    # a day later the watermark has passed every row above
     run([{"event_uuid": "p3", "ndvi": 0.4, "ts": at(hours=72)}],
         [{"event_uuid": "w3", "temperature_c": 32.0, "ts": at(hours=72)}])
-    run([{"event_uuid": "p4", "ndvi": 0.4, "ts": at(hours=100)}],
-        [{"event_uuid": "w4", "temperature_c": 32.0, "ts": at(hours=100)}])
-    got = {(r.pass_id, r.weather_id) for r in spark.read.parquet(f"{root}/out").collect()}
-    assert {("p1", "w1"), ("p2", None), ("p3", "w3")} <= got
-    assert ("p1", "w2") not in got and ("p2", "w2") not in got
+    # days before the rows above, and a pass before its reading
+    run([{"event_uuid": "p1", "ndvi": 0.4, "ts": at(hours=6)},
+         {"event_uuid": "p2", "ndvi": 0.4, "ts": at(hours=14)},
+         {"event_uuid": "p4", "ndvi": 0.4, "ts": at(), "plot_id": None}],
+        [{"event_uuid": "w2", "temperature_c": 31.0, "ts": at(hours=7)}])
+    run([{"event_uuid": "p5", "ndvi": 0.4, "ts": at(hours=100)}],
+        [{"event_uuid": "w1", "temperature_c": 30.0, "ts": at()}])
+    got = {(r.pass_id, r.weather_id) for r in jobs.current_pairs(log).collect()}
+    assert got == {("p1", "w1"), ("p2", None), ("p3", "w3"), ("p4", None), ("p5", None)}
 
 
 def test_fan_out(spark, tmp_path):
@@ -145,14 +145,27 @@ def test_fan_out(spark, tmp_path):
 def test_ingest_counts_and_resumes(spark, sf_dir, tmp_path):
     root = str(tmp_path)
     records = testbed.payloads(testbed.flawed(testbed.stream_events(spark, sf_dir, [C.SOIL])))
-    run = jobs.run_available(jobs.ingest(records, f"{root}/out", f"{root}/ckpt"))
-    out = spark.read.parquet(f"{root}/out")
-    counters = jobs.run_counters(run)
-    assert counters["fetched"] == out.count()
+    jobs.run_available(jobs.ingest(records, f"{root}/out", f"{root}/ckpt"))
+    out = spark.read.option("basePath", f"{root}/out").parquet(f"{root}/out/*/*/*")
+    counters = jobs.run_counters(spark, f"{root}/out")
+    assert counters["fetched"] == out.count() == records_in(spark, sf_dir)
     assert counters["messages_sent"] == out.filter("outcome = 'accepted'").count() > 0
-    again = jobs.run_available(jobs.ingest(records, f"{root}/out", f"{root}/ckpt"))
-    assert jobs.run_counters(again).get("fetched", 0) == 0
-    assert spark.read.parquet(f"{root}/out").count() == counters["fetched"]
+    jobs.run_available(jobs.ingest(records, f"{root}/out", f"{root}/ckpt"))
+    assert jobs.run_counters(spark, f"{root}/out", after=0)["fetched"] == 0
+    assert jobs.run_counters(spark, f"{root}/out") == counters
+
+
+def records_in(spark, sf_dir):
+    return testbed.events(spark, sf_dir, [C.SOIL]).count()
+
+
+def test_counters_of_many_batches(spark, sf_dir, tmp_path):
+    root = str(tmp_path)
+    rows = testbed.payloads(testbed.events(spark, sf_dir, [C.SOIL])).limit(120)
+    rows.repartition(110).write.parquet(f"{root}/in")
+    landed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    jobs.run_available(jobs.ingest(landed, f"{root}/out", f"{root}/ckpt"))
+    assert jobs.run_counters(spark, f"{root}/out")["fetched"] == 120
 
 
 def test_last_reading_survives_later_gaps(spark, tmp_path):
