@@ -110,14 +110,15 @@ def histogram_quantile(buckets: DataFrame, q: float, series: list[str]) -> DataF
 
 
 def partition_totals(events: DataFrame, committed: Column, partitions: int = 3) -> DataFrame:
-    """Running totals of produced and committed records per topic partition and minute.
+    """Running totals of produced and committed records per topic partition and minute. Numbers
+    are dealt by their value, other ids by a hash.
 
     The window runs over one row per minute of a partition.
     """
     counts = events.groupBy(
         text.topic_of(F.col("event_type")).alias("topic"),
-        F.pmod(F.col("event_uuid").cast("bigint"), F.lit(partitions)).cast("int")
-        .alias("partition"),
+        F.pmod(F.coalesce(F.col("event_uuid").try_cast("bigint"), F.xxhash64("event_uuid")),
+               F.lit(partitions)).cast("int").alias("partition"),
         F.date_trunc("minute", "ts").alias("ts"),
     ).agg(F.count(F.lit(1)).alias("n"), F.count_if(committed).alias("c"))
     so_far = W.partitionBy("topic", "partition").orderBy("ts").rowsBetween(

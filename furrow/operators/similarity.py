@@ -1,84 +1,108 @@
-"""Semantic search: the k nearest vectors of a table for each of a batch of query vectors."""
+"""Semantic search: the k nearest vectors of a table for each of a table of query vectors."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# queries scored in one pass; larger batches take several passes over the vectors
-QUERIES_PER_PASS = 1024
-
+#: Bytes of a block's vectors: what one scoring step holds of either side.
+BLOCK_BYTES = 2 << 20
 
-def _query_blocks(queries: DataFrame, size: int):
-    """The query table in blocks, streamed so that the driver holds one block beyond those kept."""
-    ids, vectors = [], []
-    for row in queries.select("query_id", "embedding").toLocalIterator():
-        ids.append(row[0])
-        vectors.append(row[1])
-        if len(ids) == size:
-            yield np.asarray(ids, dtype="int64"), np.asarray(vectors, dtype="float64")
-            ids, vectors = [], []
-    if ids:
-        yield np.asarray(ids, dtype="int64"), np.asarray(vectors, dtype="float64")
 
+def _packed(df: DataFrame, id_col: str, ids: str, data: str, dim: str) -> DataFrame:
+    """Usable vectors in blocks of one length: a row with the ids and all components in a row.
 
-def _scorer(query_ids: np.ndarray, query_vectors: np.ndarray, k: int):
-    """Per task: the k best of its rows for each query, kept while the batches stream by.
-
-    The function carries all it needs, so the workers need not have this package.
+    Blocks are made where the rows lie. Vectors that are null, empty, zero or hold anything but
+    finite numbers are left out (`unusable` counts them).
     """
-
-    def unit(m):
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-    def best(scores, ids):
-        """Positions of the k greatest scores, equal scores by lower id."""
-        pool = np.arange(len(scores))
-        if len(scores) > k:
-            kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-            pool = np.flatnonzero(scores >= kth)
-        return pool[np.lexsort((ids[pool], -scores[pool]))[:k]]
-
-    def score(batches):
-        wanted = unit(query_vectors)
-        kept = [(np.empty(0), np.empty(0, dtype="int64")) for _ in query_ids]
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            ids = pdf["vec_id"].to_numpy(dtype="int64")
-            block = wanted @ unit(np.asarray(pdf["embedding"].tolist(), dtype="float64")).T
-            for q, (old_scores, old_ids) in enumerate(kept):
-                s, i = np.concatenate([old_scores, block[q]]), np.concatenate([old_ids, ids])
-                top = best(s, i)
-                kept[q] = s[top], i[top]
-        for q, (s, i) in zip(query_ids, kept):
-            if len(s):
-                yield pd.DataFrame({"query_id": q, "vec_id": i, "score": s})
-
-    return score
-
-
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10,
-        per_pass: int = QUERIES_PER_PASS) -> DataFrame:
-    """Exact cosine neighbours, ties by id.
-
-    The vectors stay where they are: each task multiplies its Arrow batches with the block of
-    queries and passes on k rows per query, so the shuffle carries tasks x queries x k rows
-    whatever the number of vectors. A block holds `per_pass` queries, further ones are scored in
-    further passes.
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def block(n: int) -> pa.RecordBatch:
+            rows = held.pop(n)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([[r[0] for r in rows]], pa.list_(id_type)), pa.array([n], pa.int32()),
+                 pa.array([np.concatenate([r[1] for r in rows]).tobytes()])], names=[ids, dim, data])
+
+        id_type = None
+        for batch in batches:
+            id_type = batch.schema.field(id_col).type
+            for key, vector in zip(batch.column(id_col), batch.column("embedding"), strict=True):
+                x = vector.values
+                if x is None or x.null_count or not len(x):
+                    continue
+                x = x.to_numpy().astype("<f8")
+                if not (np.isfinite(x).all() and x.any()):
+                    continue
+                rows = held.setdefault(len(x), [])
+                rows.append((key.as_py(), x / np.linalg.norm(x)))
+                if len(rows) * len(x) * 8 >= BLOCK_BYTES:
+                    yield block(len(x))
+        for n in list(held):
+            yield block(n)
+
+    return df.select(id_col, "embedding").mapInArrow(
+        pack, f"{ids} array<{kind}>, {dim} int, {data} binary")
+
+
+def unusable(vectors: DataFrame) -> DataFrame:
+    """How many vectors are left out, and why."""
+    x = F.col("embedding")
+    odd = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return vectors.select(
+        F.when(x.isNull(), "null").when(F.size(x) == 0, "empty").when(odd, "not finite")
+        .when(~F.exists(x, lambda v: v != 0), "zero").alias("reason")) \
+        .filter("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Exact cosine neighbours among vectors of the query's length, ties by id.
+
+    Both tables are packed into blocks, and every block of vectors meets every block of queries:
+    a product of block rows, with one scan of either table and nothing through the driver. A
+    meeting passes on k rows per query, so the shuffle carries queries x blocks x k rows. Ids keep
+    their own type. A query without usable vector has no neighbours.
     """
-    found = None
-    for ids, block in _query_blocks(queries, per_pass):
-        part = vectors.select("vec_id", "embedding").mapInPandas(
-            _scorer(ids, block, k), "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return vectors.sparkSession.createDataFrame(
-            [], "query_id long, vec_id long, score double, rank int")
+    id_kind = vectors.schema["vec_id"].dataType.simpleString()
+    query_kind = queries.schema["query_id"].dataType.simpleString()
+    left = _packed(vectors, "vec_id", "ids", "data", "dim")
+    right = _packed(queries, "query_id", "query_ids", "query_data", "query_dim")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [batch.schema.field(c).type.value_type for c in ("query_ids", "ids")]
+            for i in range(batch.num_rows):
+                n = batch.column("dim")[i].as_py()
+                if n != batch.column("query_dim")[i].as_py():
+                    continue
+                ids, query_ids = (batch.column(c)[i].as_py() for c in ("ids", "query_ids"))
+                x, q = (np.frombuffer(batch.column(c)[i].as_buffer(), "<f8").reshape(-1, n)
+                        for c in ("data", "query_data"))
+                # equal vectors score alike wherever they stand in a block
+                scores, found = np.round(q @ x.T, 12), ([], [], [])
+                order = np.argsort(np.argsort(np.array(ids, object), kind="stable"), kind="stable")
+                for row, query in enumerate(query_ids):
+                    s = scores[row]
+                    pool = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) \
+                        if len(s) > k else np.arange(len(s))
+                    top = pool[np.lexsort((order[pool], -s[pool]))[:k]]
+                    found[0].extend([query] * len(top))
+                    found[1].extend(ids[t] for t in top)
+                    found[2].extend(s[top].tolist())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(found, (*kinds, pa.float64()), strict=True)],
+                    names=["query_id", "vec_id", "score"])
+
+    # lengths are compared in the task: as a join key, the one that all rows share would gather them
+    found = left.crossJoin(right).mapInArrow(
+        score, f"query_id {query_kind}, vec_id {id_kind}, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

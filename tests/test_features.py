@@ -114,7 +114,7 @@ def test_drift_of_equal_periods_is_nil(spark):
     assert row.mean_before == row.mean_after and abs(row.psi) < 1e-12
 
 
-def test_knn_against_brute_force(spark):
+def test_knn_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(400, 8))
     vectors[350:] = vectors[7]  # many copies of one vector: ties go by id
@@ -124,8 +124,14 @@ def test_knn_against_brute_force(spark):
     asked = [7, 20, 33, 41, 58]
     queries = df.filter(F.col("vec_id").isin(asked)).withColumnRenamed("vec_id", "query_id")
     unit = stored / np.linalg.norm(stored, axis=1, keepdims=True)
-    for per_pass in (1024, 2):
-        rows = similarity.knn(df.repartition(7), queries, 5, per_pass).collect()
+    odd = spark.createDataFrame(
+        [(900, None), (901, []), (902, [0.0] * 8), (903, [float("nan")] * 8), (904, [1.0] * 3)],
+        "vec_id long, embedding array<float>")
+    assert {r.reason: r.n for r in similarity.unusable(odd).collect()} == {
+        "null": 1, "empty": 1, "zero": 1, "not finite": 1}
+    for block in (1 << 20, 512):
+        monkeypatch.setattr(similarity, "BLOCK_BYTES", block)
+        rows = similarity.knn(df.unionByName(odd).repartition(7), queries, 5).collect()
         got = {(r.query_id, r.rank): r.vec_id for r in rows}
         for q in asked:
             scores = unit @ unit[q]
@@ -139,6 +145,19 @@ def test_knn_without_queries(spark):
     assert similarity.knn(df, none).count() == 0
 
 
+def test_knn_with_text_ids(spark):
+    df = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])],
+                               "vec_id string, embedding array<float>")
+    rows = similarity.knn(df, df.withColumnRenamed("vec_id", "query_id"), 2).collect()
+    assert {(r.query_id, r.rank): r.vec_id for r in rows} == {
+        ("a", 1): "a", ("a", 2): "b", ("b", 1): "a", ("b", 2): "b", ("c", 1): "c", ("c", 2): "a"}
+
+
+def test_lag_of_uuid_events(spark):
+    df = event_rows(spark, {"event_uuid": "8f14e45f-ceea-467f-a8f2-1d3c5f0e9b11"}, {"event_uuid": "7"})
+    assert metrics.partition_totals(df, F.lit(True)).count() == 2
+
+
 def test_windowed_join_keeps_both_sides(spark):
     df = event_rows(
         spark, {"temperature_c": 30.0}, {"event_type": C.SATELLITE, "ndvi": 0.4, "ts": at(hours=3)},
