@@ -23,7 +23,6 @@ TOPICS = {
     MARKET: "agri.market.raw",
 }
 TOPIC_OTHER = "agri.misc.raw"
-TOPIC_ALERTS = "agri.alerts.output"
 
 STATES = ["WB", "UP", "MH", "KA", "PB", "RJ", "MP", "GJ", "TN", "AP"]
 CROPS = ["rice", "wheat", "sugarcane", "cotton", "maize", "mustard", "groundnut"]
@@ -99,6 +98,8 @@ RECOMMENDATIONS = {
     "heat_stress": "Provide shade or mulch",
 }
 
+HEALTH_SCORE_RANGE = (0.0, 1.0)
+
 # event type -> reading -> (low, high), both ends allowed
 RANGES = {
     SATELLITE: {"ndvi": (0.2, 0.8), "evi": (0.15, 0.6), "cloud_cover": (0.0, 0.4)},
@@ -229,13 +230,6 @@ ALERT_DDL = (
     "alert_id string, plot_id string, alert_type string, severity string, message string, "
     "timestamp timestamp, acknowledged boolean"
 )
-ALERT_MESSAGE_DDL = (
-    "alert_id string, plot_id string, farmer_id string, alert_type string, severity string, "
-    "message_en string, message_local string, language string, channel string, "
-    "metadata map<string, string>"
-)
-ALERT_REQUEST_DDL = "plot_id string, alert_type string, severity string, message string"
-MANUAL_REPORT_DDL = "plot_id string, report_type string, description string, severity string"
 CONTACT_DDL = (
     "farmer_id string, phone string, preferred_language string, preferred_channel string"
 )
@@ -245,6 +239,5 @@ PLOT_DDL = (
 )
 ATTEMPT_DDL = (
     "alert_id string, success boolean, message_id string, channel string, error string, "
-    "attempt int, ts timestamp"
+    "attempt int, ts timestamp, payload string"
 )
-METRIC_DDL = "metric string, labels map<string, string>, ts timestamp, value double"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow import contracts as C
@@ -81,11 +81,10 @@ def compose(messages: DataFrame) -> DataFrame:
 
 
 def route(messages: DataFrame) -> DataFrame:
-    """Choose the route; an empty channel falls back to the contact's, an unknown one is
-    published to the topic."""
+    """Choose the route; an empty channel falls back to the contact's, an unknown one (an empty
+    one of the contact's too) is published to the topic."""
     channel = F.coalesce(
-        F.nullif(F.col("channel"), F.lit("")), F.nullif(F.col("preferred_channel"), F.lit("")),
-        F.lit(C.DEFAULT_CHANNEL),
+        F.nullif(F.col("channel"), F.lit("")), F.col("preferred_channel"), F.lit(C.DEFAULT_CHANNEL),
     )
     return messages.withColumn("wanted", channel).withColumns({
         "route": F.when(F.col("wanted").isin(C.CHANNELS), F.col("wanted")).otherwise("sns"),
@@ -109,6 +108,21 @@ def outbox(messages: DataFrame, contacts: DataFrame) -> DataFrame:
     )
 
 
+#: What a dead letter holds of the message it could not deliver.
+LETTER_DDL = "alert_id string, route string, phone string, subject string, body string"
+
+
+def letter_payload() -> Column:
+    """An outbox row as the text a dead letter keeps."""
+    return F.to_json(F.struct("alert_id", "route", "phone", "subject", "body"))
+
+
+def resendable(letters: DataFrame) -> DataFrame:
+    """The messages of failed deliveries, from the letters alone."""
+    return letters.select(F.from_json("payload", LETTER_DDL).alias("m"), "attempts").select(
+        "m.*", "attempts")
+
+
 def delivery_summary(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("channel").agg(
         F.count_if(F.col("success")).alias("succeeded"), F.count(F.lit(1)).alias("total"))
@@ -119,7 +133,8 @@ def failed(attempts: DataFrame) -> DataFrame:
     return (
         attempts.filter(~F.col("success")).groupBy("alert_id")
         .agg(F.max_by("error", F.struct("attempt", "ts")).alias("error"),
-             F.max("attempt").cast("int").alias("attempts"), F.max("ts").alias("ts"))
+             F.max("attempt").cast("int").alias("attempts"), F.max("ts").alias("ts"),
+             F.max("payload").alias("payload"))
     )
 
 
@@ -127,7 +142,7 @@ def dead_letters(attempts: DataFrame, poison: DataFrame) -> DataFrame:
     """Both kinds of dead letter: failed deliveries and records that cannot be decoded."""
     deliveries = failed(attempts).select(
         F.lit("delivery").alias("kind"), F.col("alert_id").alias("ref"), "error", "attempts", "ts",
-        F.lit(None).cast("string").alias("payload"),
+        "payload",
     )
     records = poison.select(
         F.lit("record").alias("kind"), F.col("record_id").alias("ref"),

@@ -44,6 +44,11 @@ def membership_rules(columns: list[str]) -> dict[str, Column]:
     return out
 
 
+def health_rules() -> dict[str, Column]:
+    """The served health score, where there is one, lies within its range."""
+    return {"range:health_score": ~F.col("health_score").between(*C.HEALTH_SCORE_RANGE)}
+
+
 def all_rules(columns: list[str]) -> dict[str, Column]:
     return {**required_rules(), **range_rules(columns), **membership_rules(columns)}
 

@@ -187,7 +187,7 @@ def _routed(local: str) -> str:
     return f"""shown AS (
   SELECT *, {shown} || CASE WHEN coalesce(loc, '') <> '' THEN chr(10) || chr(10) || loc
                             ELSE '' END AS display,
-         coalesce(nullif(channel, ''), nullif(preferred_channel, ''), 'whatsapp') AS wanted
+         coalesce(nullif(channel, ''), preferred_channel, 'whatsapp') AS wanted
   FROM (SELECT *, {local} AS loc FROM con)),
 routed AS (
   SELECT *, CASE WHEN wanted IN ('whatsapp', 'sms', 'voice_call') THEN wanted ELSE 'sns' END
@@ -455,10 +455,11 @@ SELECT route AS channel, count(*) FILTER (WHERE alert_id[1] NOT IN ('0', '1')) A
        count(*) AS total FROM outbox GROUP BY 1"""
     out["dlq_records"] = f"""{OUTBOX_BASE}
 SELECT 'delivery' AS kind, alert_id AS ref, 'provider timeout' AS error, 1 AS attempts,
-       ts + INTERVAL 1 MINUTE AS ts, CAST(NULL AS VARCHAR) AS payload
+       ts + INTERVAL 1 MINUTE AS ts, CAST(NULL AS VARCHAR) AS bad_record, route, phone, subject, body
 FROM outbox WHERE alert_id[1] IN ('0', '1')
 UNION ALL
-SELECT 'record', event_uuid, 'undecodable', 0, ts, CASE k WHEN 29 THEN 'not json' ELSE '{{bad' END
+SELECT 'record', event_uuid, 'undecodable', 0, ts, CASE k WHEN 29 THEN 'not json' ELSE '{{bad' END,
+       NULL, NULL, NULL, NULL
 FROM ev WHERE k IN (29, 30)"""
     out["dlq_retry"] = f"""{OUTBOX_BASE}
 SELECT alert_id, alert_id[1] = '1' AS recovered, 2 AS attempts
@@ -503,6 +504,10 @@ SELECT * FROM plots WHERE plot_id = (
   SELECT plot_id FROM alerts GROUP BY plot_id ORDER BY count(*) DESC, plot_id DESC LIMIT 1)"""
     out["recent_alerts"] = f"""{MSG_BASE}, {SERVED}
 SELECT * FROM served ORDER BY "timestamp" DESC, alert_id LIMIT 10"""
+    out["recent_alerts_of_plot"] = f"""{MSG_BASE}, {SERVED}
+SELECT * FROM served WHERE plot_id = (
+  SELECT plot_id FROM served GROUP BY 1 ORDER BY count(*) DESC, plot_id DESC LIMIT 1)
+ORDER BY "timestamp" DESC, alert_id LIMIT 5"""
     out["recent_alerts_per_plot"] = f"""{MSG_BASE}, {SERVED}
 SELECT * FROM (SELECT *, CAST(row_number() OVER (
   PARTITION BY plot_id ORDER BY "timestamp" DESC, alert_id) AS INT) AS recency FROM served)
@@ -526,6 +531,10 @@ SELECT {_alert_id('plot_id', 'report_type', 'ts', 'description')} AS alert_id,
        false AS acknowledged
 FROM ev WHERE event_type = '{C.REPORT}'"""
 
+    out["alerts_appended"] = f"{out['create_alerts']} UNION ALL ({out['manual_reports']})"
+    out["dq_health_score"] = f"""WITH status AS ({out["plot_status"]})
+SELECT 'range:health_score' AS rule, count(*) AS checked,
+       count(*) FILTER (WHERE health_score NOT BETWEEN 0 AND 1) AS failed FROM status"""
     out["dq_ranges"] = _tally(RANGE_RULES)
     out["dq_membership"] = _tally(MEMBER_RULES)
     out["dq_summary"] = _tally(ALL_RULES, ", failed = 0 AS passed")

@@ -289,14 +289,20 @@ def bulk_send_summary(spark, sf):
 @query
 def dlq_records(spark, sf):
     tried = testbed.attempts(_outbox(spark, sf))
-    return notify.dead_letters(tried, events.poison(_payloads(spark, sf)))
+    letters = notify.dead_letters(tried, events.poison(_payloads(spark, sf)))
+    held = F.when(F.col("kind") == "delivery", F.from_json("payload", notify.LETTER_DDL))
+    return letters.withColumn("m", held).select(
+        "kind", "ref", "error", "attempts", "ts",
+        F.when(F.col("kind") == "record", F.col("payload")).alias("bad_record"),
+        "m.route", "m.phone", "m.subject", "m.body")
 
 
 @query
 def dlq_retry(spark, sf):
-    sent = _kept(_outbox(spark, sf))
-    letters = notify.failed(testbed.attempts(sent))
-    again = testbed.attempts(sent.join(letters.select("alert_id"), "alert_id", "left_semi"), 2)
+    """What the letters hold is sent again; nothing else is asked."""
+    letters = _kept(notify.failed(testbed.attempts(_outbox(spark, sf))))
+    again = testbed.attempts(notify.resendable(letters).withColumns({
+        "message_id": F.lit(None).cast("string"), "ts": F.lit(None).cast("timestamp")}), 2)
     return notify.retry(letters, again)
 
 
@@ -349,6 +355,15 @@ def recent_alerts(spark, sf):
     return serving.recent_alerts(_served_alerts(spark, sf), limit=10)
 
 
+@query
+def recent_alerts_of_plot(spark, sf):
+    """The newest five of the plot with the most."""
+    rows = _kept(_served_alerts(spark, sf))
+    busiest = rows.groupBy("plot_id").agg(F.count(F.lit(1)).alias("n")) \
+        .agg(F.max_by("plot_id", F.struct("n", "plot_id")).alias("p")).first()[0]
+    return serving.recent_alerts(rows, busiest, limit=5)
+
+
 @query
 def recent_alerts_per_plot(spark, sf):
     return serving.recent_alerts_per_plot(_served_alerts(spark, sf), 3)
@@ -377,6 +392,15 @@ def manual_reports(spark, sf):
     return serving.manual_reports(testbed.events(spark, sf, [C.REPORT]))
 
 
+@query
+def alerts_appended(spark, sf):
+    """Created alerts and manual reports appended to one table and read back."""
+    path = work_dir(spark, "served")
+    for rows in (create_alerts(spark, sf), manual_reports(spark, sf)):
+        io.append_alerts(rows, path)
+    return io.read_alerts(spark, path)
+
+
 # quality and ingestion -----------------------------------------------------------------------
 
 
@@ -399,6 +423,12 @@ def dq_summary(spark, sf):
     return quality.summary(_flawed(spark, sf))
 
 
+@query
+def dq_health_score(spark, sf):
+    """Plots whose health score lies outside its range."""
+    return quality.tally(_status(spark, sf), quality.health_rules())
+
+
 @query
 def dq_uniqueness(spark, sf):
     return quality.repeated_ids(testbed.redelivered(testbed.events(spark, sf)))

@@ -86,3 +86,12 @@ def read_protobuf(records: DataFrame, message: str, descriptor: bytes) -> DataFr
 
     return records.withColumn(
         "event", from_protobuf("value", message, binaryDescriptorSet=descriptor))
+
+
+def append_alerts(alerts: DataFrame, path: str) -> None:
+    """Add created alerts or reports to the served table."""
+    alerts.write.mode("append").parquet(path)
+
+
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from furrow import contracts as C
 from furrow.functions import text
+from furrow.operators import notify
 
 RAW_TYPES = {
     "view": C.SATELLITE,
@@ -239,4 +240,5 @@ def attempts(messages: DataFrame, attempt: int = 1) -> DataFrame:
         F.when(~ok, F.lit("provider timeout")).alias("error"),
         F.lit(attempt).alias("attempt"),
         (F.col("ts") + F.expr(f"interval {attempt} minutes")).alias("ts"),
+        notify.letter_payload().alias("payload"),
     )

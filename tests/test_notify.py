@@ -7,7 +7,7 @@ from furrow.functions import text
 from furrow.operators import notify
 from helpers import T0, contact_rows, message_rows
 
-HINDI = ("FARMER_001", "+919876543210", "hi", "sms")
+HINDI = ("FARM-7", "+910000000007", "hi", "sms")
 
 
 def translated(spark, message, language):
@@ -28,7 +28,7 @@ def test_translation(spark):
 def test_english_is_left_alone(spark):
     rows = notify.translate(notify.with_contact(
         message_rows(spark, {"message_en": "Irrigation needed immediately"}),
-        contact_rows(spark, ("FARMER_001", "1", "en", "sms")))).collect()
+        contact_rows(spark, ("FARM-7", "1", "en", "sms")))).collect()
     assert rows[0].message_local is None and rows[0].message_en == "Irrigation needed immediately"
 
 
@@ -38,7 +38,7 @@ def test_display_text(spark):
     assert shown == (
         "🆘 *कृषि सतर्कता | Agricultural Alert*\n\n📍 Plot: WB_123_45\n"
         "🔔 Type: Low Soil Moisture\n⚡ Severity: CRITICAL\n\n"
-        "📝 Soil moisture critically low\n\n💡 Recommendation: Take immediate action.\n")
+        "📝 Roots find no water\n\n💡 Recommendation: Take immediate action.\n")
     odd = message_rows(spark, {"severity": "urgent"}).select(text.display_message(
         F.col("plot_id"), F.col("alert_type"), F.col("severity"), F.col("message_en"))).first()[0]
     assert odd.startswith("⚠️ ")
@@ -51,7 +51,7 @@ def test_local_text_is_appended(spark):
                      {"alert_id": "c", "message_local": ""}),
         contact_rows(spark, HINDI))
     bodies = {r.alert_id: r.body for r in out.collect()}
-    assert bodies["test_001"].endswith("action.\n\n\n" + C.PHRASES["hi"]["irrigation_needed"])
+    assert bodies["first-alert"].endswith("action.\n\n\n" + C.PHRASES["hi"]["irrigation_needed"])
     assert bodies["b"].endswith("action.\n\n\nNothing known")
     assert bodies["c"].endswith("action.\n")
 
@@ -69,7 +69,7 @@ def test_channels(spark):
         "lost": "whatsapp"}
     assert rows["mail"].subject == "Agri Alert: low_soil_moisture"
     assert rows["call"].body is None and rows["call"].message_id.startswith("voice_")
-    assert rows["empty"].body == "Alert: low_soil_moisture. Soil moisture critically low"
+    assert rows["empty"].body == "Alert: low_soil_moisture. Roots find no water"
     assert rows["lost"].phone == ""
 
 
@@ -82,7 +82,8 @@ def test_sms_counts_code_points(spark):
 
 def attempt_rows(spark, *rows):
     return spark.createDataFrame(
-        [(a, ok, None, "sms", None if ok else "down", n, T0) for a, ok, n in rows], C.ATTEMPT_DDL)
+        [(a, ok, None, "sms", None if ok else "down", n, T0, f'{{"alert_id": "{a}", "body": "text"}}')
+         for a, ok, n in rows], C.ATTEMPT_DDL)
 
 
 def test_retry_keeps_one_letter_per_alert(spark):
@@ -90,6 +91,8 @@ def test_retry_keeps_one_letter_per_alert(spark):
     outcome = notify.retry(letters, attempt_rows(spark, ("a", False, 2), ("b", True, 2)))
     left = notify.still_failing(outcome).collect()
     assert [(r.alert_id, r.attempts) for r in left] == [("a", 2)]
+    assert {(r.alert_id, r.body, r.attempts) for r in notify.resendable(letters).collect()} == {
+        ("a", "text", 1), ("b", "text", 1)}
     twice = notify.failed(attempt_rows(spark, ("a", False, 1), ("a", False, 2)))
     assert [(r.alert_id, r.attempts) for r in twice.collect()] == [("a", 2)]
 

@@ -7,7 +7,7 @@ from furrow.functions import scores
 from furrow.operators import alerts, quality, serving
 from helpers import at, event_rows
 
-PLOT_ROW = ("WB_123_45", "WB", "Murshidabad", "rice", 1.5, "Ramesh Kumar", "F1")
+PLOT_ROW = ("WB_123_45", "WB", "Northfield", "rice", 2.25, "A. Grower", "F1")
 
 
 def plots(spark, *more):
@@ -28,7 +28,7 @@ def test_status(spark):
 
 
 def test_lookup(spark):
-    assert serving.plot_lookup(plots(spark), "WB_123_45").first().farmer_name == "Ramesh Kumar"
+    assert serving.plot_lookup(plots(spark), "WB_123_45").first().farmer_name == "A. Grower"
     assert serving.plot_lookup(plots(spark), "nowhere").count() == 0
 
 
