@@ -19,23 +19,22 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = common.stored(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .filter("a IS NOT NULL AND b IS NOT NULL AND u <> v").distinct(), "links")
-    known = _sum(edges)
-    while known[0]:
+        .filter("a IS NOT NULL AND b IS NOT NULL AND u <> v"), "links")
+    while not _stars(edges):
         edges = common.stored(_small(_large(edges)), "links")
-        before, known = known, _sum(edges)
-        if before == known:
-            break
     ends = edges.groupBy("u").agg(F.min("v").alias("component"))
     return ends.select(F.col("u").alias("node"), "component").unionByName(
         ends.select(F.col("component").alias("node"), "component").distinct())
 
 
-def _sum(edges: DataFrame) -> tuple:
-    """A fingerprint of a set of links."""
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")),
-                    F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _stars(edges: DataFrame) -> bool:
+    """Does every id hang on one other, on which nothing hangs but such ids?"""
+    sides = edges.select("u", "v").unionByName(
+        edges.select(F.col("v").alias("u"), F.lit(None).cast("long").alias("v")))
+    bent = sides.groupBy("u").agg(
+        F.max("v").alias("high"), F.min("v").alias("low"), F.count_if(F.col("v").isNull()).alias("held")) \
+        .filter("high <> low OR (high IS NOT NULL AND held > 0)")
+    return bent.agg(F.count(F.lit(1))).first()[0] == 0
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -44,7 +43,7 @@ def _large(edges: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
     least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
     return both.filter("y > x").join(least, "x").select(
-        F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        F.col("y").alias("u"), F.col("m").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:

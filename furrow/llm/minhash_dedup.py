@@ -5,12 +5,12 @@
 2. Each coordinate and its value are a token. Tokens that only one class has can't join anything.
    Of two classes that agree in 30 of 64 coordinates, at least one agreement is among the 35 rarest
    tokens of both, in one order of all tokens: only those are posted (prefix merging).
-3. Long lists are skipped as well, where a class keeps at least 16 other tokens: what it shares with
-   a partner beyond a common passage shows in those. Classes that consist of common tokens stay in
-   the long lists of the 4 smallest minima.
-4. A list's members are first compared with one of them, twice: groups of near copies fall into one
-   component with as many comparisons as members. Only lists that then still span components yield
-   the pairs between these.
+3. A class with fewer than 30 tokens in long lists skips all of those: an agreement must lie
+   elsewhere. The others stay in the long lists of their 8 smallest minima, most of which a partner
+   has as well.
+4. A list's members are first compared with the one in their middle and with another: groups of
+   near copies fall into one component with as many comparisons as members. Only lists that then
+   still span components are compared throughout, long ones in blocks that give links, not pairs.
 5. Agreements are counted over the whole signatures; pairs with 30 or more go on, and the exact
    likeness of their full sets decides.
 
@@ -33,8 +33,12 @@ from furrow.session import broadcast_if_small
 COORDINATES = 64
 MATCHES = 30
 LONG_LIST = 500
-OTHER_TOKENS = 16
-KEPT_LONG = 4
+KEPT_LONG = 8
+#: Lists up to this length give their pairs as rows; longer ones are compared in blocks.
+SHORT_LIST = 32
+BLOCK = 128
+BLOCK_BYTES = 2 << 20
+COLUMNS = 4096
 CHUNK_BYTES = 4 << 20
 #: Class ids sent to every task to pick texts; with more, the join shuffles.
 MAX_BROADCAST_IDS = 2_000_000
@@ -82,19 +86,23 @@ def features(docs: DataFrame, n: int = shingles.SHINGLE) -> DataFrame:
 
 
 def sets(docs: DataFrame, n: int = shingles.SHINGLE) -> DataFrame:
-    """id, its sorted shingle hashes as bytes."""
+    """id, signature and sorted shingle hashes as bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.in_chunks(batches, CHUNK_BYTES):
             data, limits = common.utf8(common.texts_of(batch.column("text")))
-            own = [s.tobytes() for s in shingles.shingle_sets(data, limits, n)]
+            h, at = shingles.shingle_hashes(data, limits, n)
+            own = [np.unique(h[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            sig = [row.tobytes() for row in signatures(h, at)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(own, pa.binary())], names=["id", "hashes"])
+                [batch.column("doc_id"), pa.array(sig, pa.binary()), pa.array(own, pa.binary())],
+                names=["id", "signature", "hashes"])
 
-    return docs.mapInArrow(run, "id long, hashes binary")
+    return docs.mapInArrow(run, "id long, signature binary, hashes binary")
 
 
 def posted(classes: DataFrame) -> DataFrame:
-    """token, id, n_shingles: what each class is posted under (see 2 and 3 above)."""
+    """token, id, n_shingles, weight: what each class is posted under (see 2 and 3 above). A class
+    weighs as much as its tokens are common: in a group of near copies, the one in their middle."""
     tokens = classes.select("id", "n_shingles", F.posexplode("signature").alias("k", "value")).select(
         "id", "n_shingles",
         F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(
@@ -107,66 +115,130 @@ def posted(classes: DataFrame) -> DataFrame:
         "from_end": F.row_number().over(by_class.orderBy(F.desc("f"), F.desc("token"))),
         "long_rank": F.row_number().over(by_class.orderBy(F.desc(long_.cast("int")), value, "token")),
         "n_long": F.sum(long_.cast("int")).over(by_class),
+        "weight": F.sum("f").over(by_class),
     })
-    others = F.lit(COORDINATES) - F.col("n_long")
     return ranked.filter(
-        F.when(long_, (others < OTHER_TOKENS) & (F.col("long_rank") <= KEPT_LONG))
-        .otherwise(F.col("from_end") > MATCHES - 1)).select("token", "id", "n_shingles")
+        F.when(long_, (F.col("n_long") >= MATCHES) & (F.col("long_rank") <= KEPT_LONG))
+        .otherwise(F.col("from_end") > MATCHES - 1)).select("token", "id", "n_shingles", "weight")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that agree in enough coordinates and whose sets are alike enough."""
-    side = lambda x: classes.select(F.col("id").alias(x), F.col("signature").alias(f"s{x}"))
-    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same))
-    own = lambda x: hashes.select(F.col("id").alias(x), F.col("hashes").alias(f"h{x}"))
+    side = lambda x: own.select(
+        F.col("id").alias(x), F.col("signature").alias(f"s{x}"), F.col("hashes").alias(f"h{x}"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("ha"), batch.column("hb"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                common_ = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common_ >= percent * (len(x) + len(y) - common_))
+            for sa, sb, ha, hb in zip(*(batch.column(c) for c in ("sa", "sb", "ha", "hb")), strict=True):
+                sa, sb = (np.frombuffer(v.as_buffer(), np.uint32) for v in (sa, sb))
+                if np.count_nonzero(sa == sb) < MATCHES:
+                    keep.append(False)
+                    continue
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (ha, hb))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").filter(agree >= MATCHES).select("a", "b")
-    return likely.join(own("a"), "a").join(own("b"), "b").mapInArrow(check, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long")
 
 
 def links_between(classes: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
     """Links that join the same classes as all links do."""
     postings = common.stored(posted(classes), "postings")
-    spark = docs.sparkSession
     wanted = broadcast_if_small(postings.select("id").distinct(), MAX_BROADCAST_IDS)
-    hashes = common.stored(
+    own = common.stored(
         sets(docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi"), n), "sets")
-    found = spark.createDataFrame([], "a long, b long")
     ratio = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    members = postings.select("token", F.col("id").alias("b"), F.col("n_shingles").alias("nb"))
-    for pick in (F.min, F.max):
-        first = members.groupBy("token").agg(
-            pick(F.struct(F.xxhash64("b"), "b", "nb")).alias("first"), F.count(F.lit(1)).alias("n")) \
-            .filter("n > 1").select("token", F.col("first.b").alias("a"), F.col("first.nb").alias("na"))
-        pairs = members.join(first, "token").filter((F.col("a") != F.col("b")) & ratio) \
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = common.stored(
-            found.unionByName(confirmed(pairs, classes, hashes, percent)), "links")
-        part = components(found)
-        # lists within one component are done; the rest are seen with their components
-        seen = postings.join(part, postings["id"] == part["node"], "left").select(
-            "token", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
-        open_ = seen.groupBy("token").agg(
-            F.min("component").alias("low"), F.max("component").alias("high")) \
-            .filter("low < high").select("token")
-        seen = common.stored(seen.join(open_, "token"), "open-lists")
-        members = seen.select("token", F.col("id").alias("b"), F.col("n_shingles").alias("nb"))
-    one = seen.select("token", F.col("id").alias("a"), F.col("n_shingles").alias("na"),
-                      F.col("component").alias("ca"))
-    two = seen.select("token", F.col("id").alias("b"), F.col("n_shingles").alias("nb"),
-                      F.col("component").alias("cb"))
+    middle, other = (F.max(F.struct(*order, F.col("id").alias("a"), F.col("n_shingles").alias("na")))
+                     for order in (("weight", F.xxhash64("id")), (F.xxhash64("id"),)))
+    lists = postings.groupBy("token").agg(
+        middle.alias("middle"), other.alias("other"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = lists.select("token", F.explode(F.array_distinct(F.array(*(
+        F.struct(f"{c}.a", f"{c}.na") for c in ("middle", "other"))))).alias("first")).select(
+            "token", "first.a", "first.na")
+    pairs = postings.select("token", F.col("id").alias("b"), F.col("n_shingles").alias("nb")).join(
+        first, "token").filter((F.col("a") != F.col("b")) & ratio) \
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = common.stored(confirmed(pairs, own, percent), "links")
+    part = components(found)
+    # lists within one component are done; the rest are seen with their components
+    seen = postings.join(part, postings["id"] == part["node"], "left").select(
+        "token", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
+    sizes = seen.groupBy("token").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"),
+        F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")) \
+        .filter("low < high").drop("low", "high")
+    listed = common.stored(seen.join(sizes, "token"), "open-lists")
+    short = listed.filter(F.col("n") <= SHORT_LIST)
+    one = short.select("token", F.col("id").alias("a"), F.col("n_shingles").alias("na"),
+                       F.col("component").alias("ca"))
+    two = short.select("token", F.col("id").alias("b"), F.col("n_shingles").alias("nb"),
+                       F.col("component").alias("cb"))
     pairs = one.join(two, "token").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ratio) \
         .select("a", "b").distinct()
-    return found.unionByName(confirmed(pairs, classes, hashes, percent))
+    return found.unionByName(confirmed(pairs, own, percent)).unionByName(
+        in_blocks(listed.filter(F.col("n") > SHORT_LIST), own, percent))
+
+
+def in_blocks(members: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Links between components in long lists: a list's members stand in blocks, and a row per pair
+    of blocks compares all of one with all of the other, giving links only."""
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES))
+    held = members.withColumn("blocks", blocks).withColumn(
+        "block", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(own, "id").groupBy(
+                "token", "blocks", "block").agg(F.collect_list(
+                    F.struct("id", "component", "signature", "hashes")).alias("left"))
+    held = common.stored(held, "blocks")
+    one = held.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
+    two = held.select("token", F.col("block").alias("other"), F.col("left").alias("right"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x, y = (_Block(batch.column(side)[r].as_py()) for side in ("left", "right"))
+                i, j = x.alike(y, percent)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(x.ids[i], y.ids[j])), pa.array(np.maximum(x.ids[i], y.ids[j]))],
+                    names=["a", "b"])
+
+    return one.join(two, ["token", "other"]).select("left", "right").mapInArrow(compare, "a long, b long")
+
+
+class _Block:
+    """Members of a list as arrays."""
+
+    def __init__(self, members: list[dict]):
+        self.ids = np.array([m["id"] for m in members], np.int64)
+        self.component = np.array([m["component"] for m in members], np.int64)
+        self.signature = np.frombuffer(b"".join(m["signature"] for m in members), np.uint32) \
+            .reshape(-1, COORDINATES)
+        self.sets = [np.frombuffer(m["hashes"], np.uint64) for m in members]
+        self.size = np.array([len(s) for s in self.sets], np.int64)
+
+    def alike(self, other: _Block, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of pairs of different components that agree enough and whose sets are alike."""
+        agree = np.zeros((len(self.ids), len(other.ids)), np.int32)
+        for k in range(COORDINATES):
+            agree += self.signature[:, k, None] == other.signature[None, :, k]
+        likely = (agree >= MATCHES) & (self.component[:, None] != other.component[None, :])
+        if not likely.any():
+            return np.nonzero(likely)
+        both = np.concatenate([*self.sets, *other.sets])
+        _, at, n = np.unique(both, return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(self.ids) + len(other.ids)), np.concatenate([self.size, other.size]))
+        shared = n[at] > 1
+        row, at = row[shared], (np.cumsum(n > 1) - 1)[at[shared]]
+        order = np.argsort(at, kind="stable")
+        row, at = row[order], at[order]
+        inter = np.zeros(likely.shape, np.float64)
+        for first in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):  # few shingles at a time
+            a, b = np.searchsorted(at, [first, first + COLUMNS])
+            table = np.zeros((len(self.ids) + len(other.ids), COLUMNS), np.float32)
+            table[row[a:b], at[a:b] - first] = 1
+            inter += table[:len(self.ids)] @ table[len(self.ids):].T
+        total = self.size[:, None] + other.size[None, :] - inter
+        return np.nonzero(likely & (100 * inter >= percent * total))
 
 
 def near_duplicates(
@@ -205,15 +277,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     All columns pass through. Of rows with one id, one stays; rows without an id all stay.
     """
-    id_ = common.col(id_col)
+    own, kept = common.fresh(docs, "own", "kept")
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **kwargs)
     per_id = common.stored(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
         .filter("component_id <> doc_id OR rows > 1")
-        .select(F.col("doc_id").alias("__id"), (F.col("component_id") == F.col("doc_id")).alias("__kept")),
+        .select(F.col("doc_id").alias(own), (F.col("component_id") == F.col("doc_id")).alias(kept)),
         "duplicates")
-    known = id_.cast("long") == F.col("__id")
+    known = common.col(id_col).cast("long") == F.col(own)
     listed = broadcast_if_small(per_id, MAX_BROADCAST_IDS)
-    repeated = broadcast_if_small(per_id.filter("__kept"), MAX_BROADCAST_IDS)
+    repeated = broadcast_if_small(per_id.filter(kept), MAX_BROADCAST_IDS)
     return docs.join(listed, known, "left_anti").unionByName(
         docs.join(repeated, known, "left_semi").dropDuplicates([id_col]))
