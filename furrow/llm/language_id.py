@@ -136,18 +136,22 @@ def fit(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str
     the model knows no language and rejects every text.
     """
     rows = docs.filter(labelled & common.col(lang_col).isNotNull()
-                       & common.col(text_col).rlike(r"\p{L}"))
-    key = F.xxhash64(common.col(id_col))
-    ids = rows.select(common.col(id_col).alias("id"), common.col(lang_col).alias("lang"),
-                      key.alias("key"))
+                       & common.col(text_col).rlike(r"\p{L}")).select(
+        common.col(id_col).alias("id"), common.col(lang_col).alias("lang"),
+        common.col(text_col).alias("text"))
+    # a share of each language's rows that holds the sample at all but impossible odds, so that
+    # few rows of a frequent language are put in order
+    part = F.least(F.lit(1.0), 4.0 * SAMPLE_PER_LANGUAGE / F.col("n"))
+    ids = rows.select("id", "lang", F.xxhash64("id").alias("key"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     first = Window.partitionBy("lang").orderBy("key", "id")
     chosen = broadcast_if_small(
-        ids.withColumn("nr", F.row_number().over(first)).filter(F.col("nr") <= SAMPLE_PER_LANGUAGE)
-        .select(F.col("id").alias("__id"), F.col("lang").alias("__lang")).distinct(), 1_000_000)
+        ids.join(counts, "lang").filter((F.col("key") / 2.0**64 + 0.5) <= part)
+        .withColumn("nr", F.row_number().over(first)).filter(F.col("nr") <= SAMPLE_PER_LANGUAGE)
+        .select(F.col("id").alias("own_id"), F.col("lang").alias("own_lang")).distinct(), 1_000_000)
     sample = common.stored(rows.join(
-        chosen, common.col(id_col).eqNullSafe(F.col("__id"))
-        & (common.col(lang_col) == F.col("__lang")), "left_semi")
-        .select(common.col(lang_col).alias("lang"), common.col(text_col).alias("text")), "languages")
+        chosen, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("lang") == F.col("own_lang")),
+        "left_semi").select("lang", "text"), "languages")
 
     def frequencies(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         df = (grams(pdf["text"].tolist()) > 0).sum(axis=0).astype("<i8")

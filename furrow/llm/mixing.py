@@ -79,6 +79,7 @@ def mix(
     replaced. Given the seed, reruns agree.
     """
     kept = [common.col(c) for c in docs.columns if c != name]
+    goal_, slice_col, size_, more_, spot_ = common.fresh(docs, "goal", "slice", "size", "more", "spot")
     spot, source = place(common.col(id_col), seed), common.col(source_col)
     slice_ = F.substring(spot, 1, SLICE_DIGITS)
     slices = docs.select(
@@ -99,30 +100,31 @@ def mix(
             *(F.first(c).alias(c) for c in ("source_size", "target", "whole", "rest")),
             F.max(F.struct("slice", "before")).alias("at"))
     goal = broadcast_if_small(cuts, MAX_BROADCAST_SOURCES).select(
-        F.struct("source", "source_size", "target", "whole", "rest", "at").alias("__goal"))
-    rows = docs.select(*kept, slice_.alias("__slice")).join(
-        goal, source.eqNullSafe(F.col("__goal.source")))
-    inside = F.col("__slice") == F.col("__goal.at.slice")
-    rest, size = F.col("__goal.rest"), words(common.col(text_col))
+        F.struct("source", "source_size", "target", "whole", "rest", "at").alias(goal_))
+    rows = docs.select(*kept, slice_.alias(slice_col)).join(
+        goal, source.eqNullSafe(F.col(f"{goal_}.source")))
+    inside = F.col(slice_col) == F.col(f"{goal_}.at.slice")
+    rest, size = F.col(f"{goal_}.rest"), words(common.col(text_col))
     clear = rows.filter(~inside).select(
-        *kept, "__goal", size.alias("__size"),
-        ((F.col("__slice") < F.col("__goal.at.slice")) & (rest > 0)).alias("__more"))
-    earlier = Window.partitionBy(source).orderBy("__spot", "__size").rowsBetween(
+        *kept, goal_, size.alias(size_),
+        ((F.col(slice_col) < F.col(f"{goal_}.at.slice")) & (rest > 0)).alias(more_))
+    earlier = Window.partitionBy(source).orderBy(spot_, size_).rowsBetween(
         Window.unboundedPreceding, -1)
-    middle = F.col("__goal.at.before") + F.coalesce(F.sum("__size").over(earlier), F.lit(0)) \
-        + F.col("__size") / 2
+    middle = F.col(f"{goal_}.at.before") + F.coalesce(F.sum(size_).over(earlier), F.lit(0)) \
+        + F.col(size_) / 2
     close = rows.filter(inside).select(
-        *kept, "__goal", size.alias("__size"), spot.alias("__spot")).select(
-            *kept, "__goal", "__size", ((middle <= rest) & (rest > 0)).alias("__more"))
+        *kept, goal_, size.alias(size_), spot.alias(spot_)).select(
+            *kept, goal_, size_, ((middle <= rest) & (rest > 0)).alias(more_))
     return clear.unionByName(close).select(*kept, F.struct(
-        F.col("__size").alias("size"), F.col("__goal.source_size").alias("source_size"),
-        F.col("__goal.target").alias("target"),
-        (F.col("__goal.whole") + F.col("__more").cast("long")).alias("times")).alias(name))
+        F.col(size_).alias("size"), F.col(f"{goal_}.source_size").alias("source_size"),
+        F.col(f"{goal_}.target").alias("target"),
+        (F.col(f"{goal_}.whole") + F.col(more_).cast("long")).alias("times")).alias(name))
 
 
 def repeated(docs: DataFrame, **kwargs) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns it came with."""
-    return mix(docs, name="__mixed", **kwargs).select(
+    name, = common.fresh(docs, "mixed")
+    return mix(docs, name=name, **kwargs).select(
         *map(common.col, docs.columns),
-        F.explode(F.array_repeat(F.lit(1), F.col("__mixed.times").cast("int")))
+        F.explode(F.array_repeat(F.lit(1), F.col(f"{name}.times").cast("int"))).alias(name)
     ).select(*map(common.col, docs.columns))
