@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 
 from furrow import contracts as C
 from furrow.functions import exact, spread
-from furrow.session import broadcast_if_small
-
-# most price rows a join broadcasts; above it the join shuffles
-PRICE_ROWS = 200_000
 
 
 def _hourly(events: DataFrame, event_type: str, readings: dict[str, str]) -> DataFrame:
@@ -25,8 +21,9 @@ def _hourly(events: DataFrame, event_type: str, readings: dict[str, str]) -> Dat
 def windowed_join(events: DataFrame, plots: DataFrame) -> DataFrame:
     """Weather, vegetation and market side by side per plot and hour.
 
-    Every side is reduced to one row per key before it is joined; weather and vegetation meet in
-    a full outer join, the market price is that of the plot's crop on the day.
+    Every side is reduced to one row per key before it is joined, and all joins are full outer: the
+    market price is that of the plot's crop on the day, and a crop's day without any plot's hour
+    keeps its price.
     """
     weather = _hourly(events, C.WEATHER, {"air_temp": "temperature_c", "rain": "precipitation_mm"})
     green = _hourly(events, C.SATELLITE, {"ndvi": "ndvi"})
@@ -39,8 +36,9 @@ def windowed_join(events: DataFrame, plots: DataFrame) -> DataFrame:
     both = weather.join(green, ["plot_id", "hour"], "full_outer").join(crops, "plot_id", "left")
     return (
         both.withColumn("day", F.to_date("hour"))
-        .join(broadcast_if_small(prices, PRICE_ROWS), ["crop_type", "day"], "left")
-        .select("plot_id", "crop_type", "hour", "air_temp", "rain", "ndvi", "price")
+        .join(prices, ["crop_type", "day"], "full_outer")
+        .select("plot_id", "crop_type", F.col("day").cast("string").alias("day"), "hour", "air_temp",
+                "rain", "ndvi", "price")
     )
 
 
@@ -103,8 +101,7 @@ def price_change(events: DataFrame, seconds: int = spread.CHUNK_SECONDS,
 
 
 def market_price_per_plot(plots: DataFrame, events: DataFrame) -> DataFrame:
-    """Newest price of each plot's crop. The crops are few, so their prices are broadcast after a
-    check of their number and the plots are not shuffled by crop."""
+    """Newest price of each plot's crop; how the join runs is decided by sizes at run time."""
     prices = (
         events.filter(F.col("event_type") == C.MARKET).groupBy("crop")
         .agg(F.max_by(
@@ -113,7 +110,7 @@ def market_price_per_plot(plots: DataFrame, events: DataFrame) -> DataFrame:
             F.struct("ts", "event_uuid")).alias("p"))
         .select(F.col("crop").alias("crop_type"), "p.*")
     )
-    return plots.select("plot_id", "crop_type").join(broadcast_if_small(prices, PRICE_ROWS), "crop_type", "left")
+    return plots.select("plot_id", "crop_type").join(prices, "crop_type", "left")
 
 
 def daily_features(events: DataFrame) -> DataFrame:

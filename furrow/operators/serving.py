@@ -15,14 +15,22 @@ def plot_lookup(plots: DataFrame, plot_id: str | Column) -> DataFrame:
     return plots.filter(F.col("plot_id") == plot_id)
 
 
+def newest_rows(events: DataFrame, *event_types: str) -> DataFrame:
+    """The rows of each plot and event type at their newest time: one, or those that share it.
+
+    The time is a hash aggregate, so raw rows are neither sorted nor gathered; only the rows at it
+    go on.
+    """
+    rows = events.filter(F.col("event_type").isin(*event_types) & F.col("plot_id").isNotNull())
+    times = rows.groupBy("plot_id", "event_type").agg(F.max("ts").alias("ts"))
+    return rows.join(times, ["plot_id", "event_type", "ts"])
+
+
 def latest_per_plot(events: DataFrame, event_type: str, readings: list[str]) -> DataFrame:
-    """Newest event of one type per plot: an aggregate, so nothing is sorted and each task sends
-    one row per plot. The newest event counts as a whole, including readings it lacks."""
-    newest = (
-        events.filter((F.col("event_type") == event_type) & F.col("plot_id").isNotNull())
-        .groupBy("plot_id")
-        .agg(F.max_by(F.struct("ts", *readings), F.struct("ts", "event_uuid")).alias("r"))
-    )
+    """Newest event of one type per plot; of several at one time the one with the greatest id. The
+    event counts as a whole, including readings it lacks."""
+    newest = newest_rows(events, event_type).groupBy("plot_id").agg(
+        F.max_by(F.struct("ts", *readings), "event_uuid").alias("r"))
     return newest.select("plot_id", "r.*")
 
 
@@ -41,10 +49,6 @@ def latest_soil(events: DataFrame) -> DataFrame:
     return now.withColumn("health_rating", scores.soil_rating({c: F.col(c) for c in readings}))
 
 
-def latest_vegetation(events: DataFrame) -> DataFrame:
-    return latest_per_plot(events, C.SATELLITE, ["ndvi", "evi"])
-
-
 def alert_lists(alerts: DataFrame) -> DataFrame:
     """Per plot its alerts in time order and the advice they call for.
 
@@ -66,9 +70,7 @@ def plot_status(plots: DataFrame, events: DataFrame, alerts: DataFrame) -> DataF
     All inputs are reduced to one row per plot first; the joins then meet on equal keys.
     """
     readings = (
-        events.filter(F.col("event_type").isin(C.SATELLITE, C.WEATHER, C.SOIL)
-                      & F.col("plot_id").isNotNull())
-        .groupBy("plot_id")
+        newest_rows(events, C.SATELLITE, C.WEATHER, C.SOIL).groupBy("plot_id")
         .agg(
             _newest(C.SATELLITE, "ndvi"), _newest(C.SOIL, "moisture_pct"),
             _newest(C.WEATHER, "temperature_c"), F.max("ts").alias("last_updated"),

@@ -611,9 +611,10 @@ m AS (SELECT crop, CAST(ts AS DATE) AS day, {_mean('price')} AS price FROM ev
 wg AS (SELECT coalesce(w.plot_id, g.plot_id) AS plot_id, coalesce(w.hour, g.hour) AS hour,
               air_temp, rain, ndvi
        FROM w FULL JOIN g ON w.plot_id = g.plot_id AND w.hour = g.hour)
-SELECT wg.plot_id, p.crop_type, hour, air_temp, rain, ndvi, price
-FROM wg LEFT JOIN plots p ON wg.plot_id = p.plot_id
-LEFT JOIN m ON m.crop = p.crop_type AND m.day = CAST(hour AS DATE)"""
+SELECT wg.plot_id, coalesce(p.crop_type, m.crop) AS crop_type,
+       CAST(coalesce(CAST(hour AS DATE), m.day) AS VARCHAR) AS day, hour, air_temp, rain, ndvi, price
+FROM (wg LEFT JOIN plots p ON wg.plot_id = p.plot_id)
+FULL JOIN m ON m.crop = p.crop_type AND m.day = CAST(hour AS DATE)"""
     out["asof_weather"] = f"""{BASE},
 g AS (SELECT event_uuid, plot_id, ts, ndvi FROM ev WHERE event_type = '{C.SATELLITE}'),
 w AS (SELECT plot_id, ts AS weather_ts, max_by(temperature_c, event_uuid) AS temperature_c
