@@ -539,9 +539,9 @@ SELECT 'range:health_score' AS rule, count(*) AS checked,
     out["dq_membership"] = _tally(MEMBER_RULES)
     out["dq_summary"] = _tally(ALL_RULES, ", failed = 0 AS passed")
     out["dq_uniqueness"] = f"""{BASE},
-some AS (SELECT event_uuid FROM ev UNION ALL
+sent AS (SELECT event_uuid FROM ev UNION ALL
          SELECT event_uuid FROM ev WHERE CAST(event_uuid AS BIGINT) % 10 = 0)
-SELECT event_uuid, count(*) AS copies FROM some GROUP BY 1 HAVING count(*) > 1"""
+SELECT event_uuid, count(*) AS copies FROM sent GROUP BY 1 HAVING count(*) > 1"""
     out["dq_quarantine"] = f"""{BASE}, {FLAWED}
 SELECT event_uuid, CASE WHEN reasons = '' THEN 'accepted' ELSE 'quarantined' END AS outcome,
        reasons FROM (SELECT event_uuid, {_reasons(ALL_RULES)} AS reasons FROM fl)"""
