@@ -151,66 +151,58 @@ def run_metrics(events: DataFrame, min_rows: int = 1) -> DataFrame:
     )
 
 
-def _days(events: DataFrame, first: str | None, last: str | None) -> Column:
-    """All days from the first to the last as an array column; read from the events where not
-    given."""
-    if first and last:
-        return F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))
-    span = events.agg(F.sequence(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).alias("days"))
-    return span.scalar()
-
-
-def cadence_gaps(events: DataFrame, plots: DataFrame, first: str | None = None,
-                 last: str | None = None) -> DataFrame:
-    """Plot-days and crop-days with fewer readings than their sources should send.
-
-    The spine is each plot exploded over the days; counts per plot and day are reduced before the
-    join. A satellite pass is due within any three days. Give the first and last day to spare the
-    pass over the events that finds them.
-    """
-    day = F.to_date("ts").alias("day")
-    seen = (
-        events.filter(F.col("event_type").isin(C.WEATHER, C.SOIL, C.SATELLITE)
-                      & F.col("plot_id").isNotNull())
-        .groupBy("plot_id", day)
-        .agg(*[F.count_if(F.col("event_type") == t).alias(t)
-               for t in (C.WEATHER, C.SOIL, C.SATELLITE)])
-    )
-    spine = plots.select("plot_id", F.explode(_days(events, first, last)).alias("day"))
-    back = W.partitionBy("plot_id").orderBy("day").rowsBetween(-(C.SATELLITE_EVERY_DAYS - 1), 0)
-    per_plot = (
-        spine.join(seen, ["plot_id", "day"], "left")
-        .na.fill(0, [C.WEATHER, C.SOIL, C.SATELLITE])
-        .withColumns({
-            "passes": F.sum(C.SATELLITE).over(back), "days_back": F.count(F.lit(1)).over(back),
-        })
-        .withColumn("passes_due",
-                    F.when(F.col("days_back") == C.SATELLITE_EVERY_DAYS, 1).otherwise(0))
-    )
-    gaps = F.array(
-        *[F.struct(F.lit(t).alias("reading"), F.lit(n).cast("bigint").alias("expected"),
-                   F.col(t).alias("seen")) for t, n in C.CADENCE_PER_DAY.items()],
-        F.struct(F.lit(C.SATELLITE).alias("reading"),
-                 F.col("passes_due").cast("bigint").alias("expected"),
-                 F.col("passes").alias("seen")),
-    )
-    plot_gaps = per_plot.select(F.col("plot_id").alias("source"), "day", F.inline(gaps))
+def _stretches(sources: DataFrame, seen: DataFrame, first: str, last: str) -> DataFrame:
+    """source, first_day, last_day, days: where a source sent nothing within the period.
 
-    prices = (
-        events.filter(F.col("event_type") == C.MARKET)
-        .groupBy(F.col("crop").alias("source"), day).agg(F.count(F.lit(1)).alias("seen"))
-    )
+    sources: source; seen: source, day, a row for each day with something. A stretch lies between
+    two such days or the period's ends, so there are no more than days seen and sources.
+    """
+    start, end = (F.lit(d).cast("date") for d in (first, last))
+    ends = sources.select("source", F.date_add(end, 1).alias("day"))
+    by_source = W.partitionBy("source").orderBy("day")
+    return seen.join(sources, "source", "left_semi").select("source", "day").unionByName(ends) \
+        .withColumn("first_day", F.coalesce(F.date_add(F.lag("day").over(by_source), 1), start)) \
+        .withColumn("last_day", F.date_sub("day", 1)) \
+        .withColumn("days", F.datediff("day", "first_day").cast("bigint")) \
+        .filter("days > 0").select("source", "first_day", "last_day", "days")
+
+
+def cadence_gaps(events: DataFrame, plots: DataFrame, first: str, last: str) -> DataFrame:
+    """Where plots and crops sent less than their sources should, from the first to the last day.
+
+    A day with too few readings is a row; days in a row without any are one row together, so a
+    source that never sent is a single one. A satellite pass is due within any three days: three
+    days without one miss one pass, each further day one more.
+    """
+    within = events.withColumn("day", F.to_date("ts")).filter(F.col("day").between(first, last))
+
+    def gaps(sources: DataFrame, rows: DataFrame, reading: str, per_day: int) -> list[DataFrame]:
+        counts = rows.filter(F.col("source").isNotNull()).groupBy("source", "day").agg(
+            F.count(F.lit(1)).alias("seen"))
+        name, due = F.lit(reading).alias("reading"), F.lit(per_day).cast("bigint")
+        silent = _stretches(sources, counts, first, last)
+        if reading == C.SATELLITE:
+            idle = C.SATELLITE_EVERY_DAYS - 1
+            return [silent.filter(F.col("days") > idle).select(
+                "source", name, "first_day", "last_day", (F.col("days") - idle).alias("expected"),
+                F.lit(0).cast("bigint").alias("seen"))]
+        few = counts.join(sources, "source", "left_semi").filter(F.col("seen") < per_day)
+        return [
+            few.select("source", name, F.col("day").alias("first_day"), F.col("day").alias("last_day"),
+                       due.alias("expected"), "seen"),
+            silent.select("source", name, "first_day", "last_day", (F.col("days") * due).alias("expected"),
+                          F.lit(0).cast("bigint").alias("seen")),
+        ]
+
+    fields = plots.select(F.col("plot_id").alias("source"))
+    found = []
+    for reading, per_day in {**C.CADENCE_PER_DAY, C.SATELLITE: 0}.items():
+        found += gaps(fields, within.filter(F.col("event_type") == reading).withColumn(
+            "source", F.col("plot_id")), reading, per_day)
     crops = events.sparkSession.createDataFrame([(c,) for c in C.CROPS], "source string")
-    crop_gaps = (
-        crops.select("source", F.explode(_days(events, first, last)).alias("day"))
-        .join(prices, ["source", "day"], "left")
-        .select("source", "day", F.lit(C.MARKET).alias("reading"),
-                F.lit(C.PRICES_PER_CROP_DAY).cast("bigint").alias("expected"),
-                F.coalesce("seen", F.lit(0)).alias("seen"))
-    )
-    return (
-        plot_gaps.unionByName(crop_gaps)
-        .withColumn("missing", F.col("expected") - F.col("seen"))
-        .filter(F.col("missing") > 0)
-        .withColumn("day", F.col("day").cast("string"))
-    )
+    found += gaps(crops, within.filter(F.col("event_type") == C.MARKET).withColumn(
+        "source", F.col("crop")), C.MARKET, C.PRICES_PER_CROP_DAY)
+    return reduce(DataFrame.unionByName, found).select(
+        "source", "reading", F.col("first_day").cast("string").alias("first_day"),
+        F.col("last_day").cast("string").alias("last_day"), "expected", "seen",
+        (F.col("expected") - F.col("seen")).alias("missing"))

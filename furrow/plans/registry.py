@@ -456,7 +456,8 @@ def ingest_run_metrics(spark, sf):
 
 @query
 def cadence_gaps(spark, sf):
-    return quality.cadence_gaps(testbed.events(spark, sf), testbed.plots(spark, sf))
+    return quality.cadence_gaps(
+        testbed.events(spark, sf), testbed.plots(spark, sf), "2024-01-01", "2024-01-30")
 
 
 def _ingest(spark, sf, event_type):

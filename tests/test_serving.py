@@ -107,10 +107,11 @@ def test_cadence(spark):
         {"event_uuid": "late", "ts": at(hours=48), "event_type": C.SOIL},
         *[{"event_uuid": c, "event_type": C.MARKET, "crop": c, "plot_id": None}
           for c in C.CROPS])
-    gaps = {(r.source, r.day, r.reading): r.missing
-            for r in quality.cadence_gaps(df, plots(spark)).collect()}
-    assert ("WB_123_45", "2024-01-01", C.WEATHER) not in gaps
-    assert gaps["WB_123_45", "2024-01-02", C.WEATHER] == 4
-    assert gaps["WB_123_45", "2024-01-03", C.SOIL] == 6
-    assert gaps["WB_123_45", "2024-01-03", C.SATELLITE] == 1
-    assert gaps["rice", "2024-01-02", C.MARKET] == 1
+    stray = event_rows(spark, {"event_uuid": "stray", "ts": at(hours=24 * 36_500)})
+    rows = quality.cadence_gaps(df.unionByName(stray), plots(spark), "2024-01-01", "2024-01-03").collect()
+    gaps = {(r.source, r.reading, r.first_day, r.last_day): r.missing for r in rows}
+    plot, (one, two, three) = "WB_123_45", (f"2024-01-0{d}" for d in (1, 2, 3))
+    assert {k: v for k, v in gaps.items() if k[0] == plot} == {
+        (plot, C.WEATHER, two, three): 8, (plot, C.SOIL, one, two): 14, (plot, C.SOIL, three, three): 6,
+        (plot, C.SATELLITE, one, three): 1}
+    assert gaps["rice", C.MARKET, two, three] == 2 and len(rows) == len(gaps)
