@@ -132,18 +132,22 @@ def parents(messages: DataFrame) -> DataFrame:
 
 def threads(links: DataFrame) -> DataFrame:
     """Adds thread (the turn that begins it) and depth, by doubling the way up until all are there."""
-    at = common.stored(links.select(
+    start = links.select(
         "*", F.coalesce("parent", "turn").alias("thread"),
-        F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "threads")
-    while True:
-        above = at.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("further"),
-                          F.col("depth").alias("more"))
-        then = common.stored(at.join(above, ["conv_id", "thread"]).select(
+        F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    at = common.stored(start, "threads")
+    there, going = at.filter("depth = 0"), at.filter("depth > 0")
+    while not going.isEmpty():
+        above = there.unionByName(going).select(
+            "conv_id", F.col("turn").alias("thread"), F.col("thread").alias("further"),
+            F.col("depth").alias("more"))
+        then = common.stored(going.join(above, ["conv_id", "thread"]).select(
             "conv_id", "turn", "parent", "sentences", F.col("further").alias("thread"),
-            (F.col("depth") + F.col("more")).alias("depth"), F.col("more")), "threads")
-        at = then.drop("more")
-        if then.filter("more > 0").isEmpty():
-            return at
+            (F.col("depth") + F.col("more")).alias("depth"), "more"), "threads")
+        # whoever stood below a thread's first message has arrived and takes no part any more
+        there = there.unionByName(then.filter("more = 0").drop("more"))
+        going = then.filter("more > 0").drop("more")
+    return there
 
 
 def reply_order(
