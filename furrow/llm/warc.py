@@ -62,33 +62,39 @@ def write(
 
     Of rows with equal payloads of REVISIT_FROM bytes or more, that with the largest id holds it.
     A null payload counts as empty; a null url leaves out its field, and line breaks in one become
-    blanks. Rows without an id are responses of their own. Rows with one id are written each.
+    blanks. Rows without an id are responses of their own. Rows with one id are written each, and
+    each payload among them is held or referred to by itself: a record is named by id and payload.
     Other columns are ignored.
     """
     rows = pages.select(
         common.col(id_col).cast("long").alias("id"), common.col(url_col).cast("string").alias("url"),
         F.coalesce(common.col(payload_col), F.lit("")).alias("payload"))
     raw = F.col("payload").cast("binary")
-    large = rows.filter((F.octet_length("payload") >= REVISIT_FROM) & F.col("id").isNotNull()).select(
-        "id", F.sha2(raw, 256).alias("same"))
+    rows = rows.withColumn("same", F.when(
+        (F.octet_length("payload") >= REVISIT_FROM) & F.col("id").isNotNull(), F.sha2(raw, 256)))
+    large = rows.filter("same IS NOT NULL").select("id", "same")
     holders = large.groupBy("same").agg(F.max("id").alias("holder"), F.count(F.lit(1)).alias("n")) \
         .filter("n > 1")
     revisits = broadcast_if_small(
         large.join(holders, "same").filter("id <> holder").select(
-            F.col("id").alias("visitor"), "holder").distinct(), MAX_BROADCAST_REVISITS)
-    joined = rows.join(revisits, F.col("id") == F.col("visitor"), "left")
+            F.col("id").alias("visitor"), F.col("same").alias("visited"), "holder").distinct(),
+        MAX_BROADCAST_REVISITS)
+    joined = rows.join(
+        revisits, (F.col("id") == F.col("visitor")) & (F.col("same") == F.col("visited")), "left")
     digest = F.sha1(raw)
+    named = lambda id_: _uuid("page", F.concat_ws(":", id_.cast("string"), digest))
     revisit = F.col("holder").isNotNull()
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     record = _record([
         ("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        ("WARC-Record-ID", F.coalesce(_uuid("page", F.col("id")), _uuid("payload", digest))),
+        ("WARC-Record-ID", F.when(F.col("id").isNotNull(), named(F.col("id")))
+         .otherwise(_uuid("payload", digest))),
         ("WARC-Date", F.lit(DATE)),
         ("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", " ")),
         ("WARC-Page-ID", F.col("id").cast("string")),
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
         ("WARC-Payload-Length", F.octet_length("payload").cast("string")),
-        ("WARC-Refers-To", F.when(revisit, _uuid("page", F.col("holder")))),
+        ("WARC-Refers-To", F.when(revisit, named(F.col("holder")))),
         ("WARC-Refers-To-Page-ID", F.col("holder").cast("string")),
         ("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
         ("Content-Type", F.lit("text/html; charset=utf-8")),

@@ -119,6 +119,25 @@ def test_archives(spark, split):
     assert raw.startswith("WARC/1.1\r\n") and raw.endswith("\r\n\r\n")
 
 
+def test_archive_of_pages_with_two_payloads(spark):
+    a, b, c, d = (x * 2000 for x in "abcd")
+    rows = [(1, a), (1, b), (2, a), (3, c), (3, d), (4, c), (5, d), (6, a), (6, "small"), (1, a)]
+    pages = spark.createDataFrame([(i, "u", html) for i, html in rows], "page_id long, url string, html string")
+    path = work_dir(spark, "warc")
+    warc.write(pages, path)
+    records = warc.read(spark, path)
+    holder = {a: 6, b: 1, c: 4, d: 5, "small": 6}
+    want = Counter((i, len(x), hashlib.sha1(x.encode()).hexdigest(), "response" if holder[x] == i else "revisit",
+                    None if holder[x] == i else holder[x]) for i, x in rows)
+    assert Counter(map(tuple, warc.page_records(records).collect())) == want
+    named = {r["own"]: r["digest"] for r in records.filter(warc.field("WARC-Type") == "response").select(
+        warc.field("WARC-Record-ID").alias("own"), "digest").collect()}
+    assert len(named) == 5
+    for r in records.filter(warc.field("WARC-Type") == "revisit").select(
+            warc.field("WARC-Refers-To").alias("to"), warc.field("WARC-Payload-Digest").alias("sha1")).collect():
+        assert "sha1:" + named[r["to"]] == r["sha1"]
+
+
 def test_archive_of_no_pages(spark):
     path = work_dir(spark, "warc")
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), path)
