@@ -5,14 +5,16 @@ being a space), weighted by log term frequency and inverse document frequency an
 language has several centroids, found by spherical k-means over a bounded sample of its labelled
 texts; a text gets the language of the centroid with the largest cosine.
 
-Rejection is by distance: short texts lie farther from any centroid than long ones, so the largest
-distance of the languages' own texts is learned by length, from the sample and from windows of its
-texts, and a text is rejected when its cosine is below 0.3 of what those have at the least.
+Rejection is by distance: texts of few different n-grams (short ones, or one word over and over) lie
+farther from any centroid than rich ones, so how far a language's own texts lie is learned by that
+number, from sampled texts and windows of them, each measured against centroids fitted without it. A
+text is rejected when its cosine is below what all but FLOOR_SHARE of its language and class have.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,16 @@ UNDETERMINED = "und"
 SAMPLE_PER_LANGUAGE = 400
 #: Lengths at which a sampled text's first and middle windows teach how far short texts may lie.
 WINDOWS = (8, 16, 32, 64, 128, 256, 512)
-MARGIN = 0.3
+#: Share of a language's own texts of a class that may lie below its floor, and the normal
+#: distribution's quantile for it, used where there are too few values for the share itself.
+FLOOR_SHARE = 0.005
+FLOOR_DEVIATIONS = 2.576
+#: A class with fewer values has no floor of its own.
+LEAST_VALUES = 8
+#: Parts of the sample that are held back from the fit in turn.
+FOLDS = 4
+#: Classes of texts by their different n-grams, two to an octave.
+CLASSES = 2 * (DIMENSIONS.bit_length() - 1) + 1
 CHUNK_BYTES = 2 << 20
 SEGMENT_BYTES = 1 << 20
 
@@ -89,7 +100,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # a row per centroid
     owner: np.ndarray      # index of each centroid's language
-    floors: np.ndarray     # least cosine of own texts, by log2 of the length in letters
+    floors: np.ndarray     # a row per language: least cosine by class of text
 
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language index, cosine, and whether the text lies too far from every language."""
@@ -97,11 +108,12 @@ class Model:
         cosines = weighted(counts, self.idf) @ self.centroids.T
         best = cosines.argmax(axis=1) if len(texts) else np.zeros(0, np.int64)
         score = np.clip(cosines[np.arange(len(texts)), best], 0.0, 1.0).astype(np.float64)
-        return self.owner[best], score, score < MARGIN * self.floors[length_class(counts)]
+        who = self.owner[best]
+        return who, score, score < self.floors[who, class_of(counts)]
 
 
-def length_class(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(counts.sum(axis=1) / len(GRAMS), 1)).astype(int), 15)
+def class_of(counts: np.ndarray) -> np.ndarray:
+    return (2 * np.log2(np.maximum((counts > 0).sum(axis=1), 1))).astype(int)
 
 
 def kmeans(rows: np.ndarray, k: int) -> np.ndarray:
@@ -127,6 +139,59 @@ def windows(texts: list[str]) -> list[str]:
     return [t for t in out if has_letter(t)]
 
 
+def floor_of(cosines: np.ndarray, below: float) -> float:
+    """The cosine that all but FLOOR_SHARE of such texts have; nan if there are too few to tell.
+
+    Too few for that share itself give a normal distribution's floor, but none above `below`, the
+    last floor of texts with fewer n-grams that is no estimate.
+    """
+    if len(cosines) < LEAST_VALUES:
+        return np.nan
+    if len(cosines) * FLOOR_SHARE >= 1:
+        return float(np.quantile(cosines, FLOOR_SHARE, method="lower"))
+    spread = cosines.std(ddof=1) * np.sqrt(1 + 1 / len(cosines))
+    found = max(min(cosines.min(), cosines.mean() - FLOOR_DEVIATIONS * spread), 0.0)
+    return float(np.fmin(found, below))
+
+
+def own_floors(texts: list[str], idf: np.ndarray) -> np.ndarray:
+    """A language's floors by class of text, from texts that the centroids were fitted without.
+
+    Equal texts are held back together. nan where there are too few.
+    """
+    texts = sorted(set(texts))
+    fold = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % FOLDS for t in texts])
+    rows = weighted(grams(texts), idf)
+    found: list[list[np.ndarray]] = [[] for _ in range(CLASSES)]
+    for f in np.unique(fold):
+        if (fold == f).all():
+            continue
+        c = kmeans(rows[fold != f], CENTROIDS)
+        parts = windows([t for t, own in zip(texts, fold, strict=True) if own == f])
+        for at in range(0, len(parts), 500):
+            counts = grams(parts[at:at + 500])
+            cosines, kind = (weighted(counts, idf) @ c.T).max(axis=1), class_of(counts)
+            for k in np.unique(kind):
+                found[k].append(cosines[kind == k])
+    floors = np.full(CLASSES, np.nan)
+    below = np.nan
+    for k, values in enumerate(found):
+        floors[k] = floor_of(np.concatenate(values), below) if values else np.nan
+        if values and sum(map(len, values)) * FLOOR_SHARE >= 1:
+            below = floors[k]
+    return floors
+
+
+def filled(floors: np.ndarray) -> np.ndarray:
+    """Floors of every class: without one a class is judged like the next poorer one of the language,
+    else by the lowest floor of the others; classes that no language has reject nothing."""
+    floors = floors.copy()
+    for i in range(1, floors.shape[1]):
+        floors[:, i] = np.where(np.isnan(floors[:, i]), floors[:, i - 1], floors[:, i])
+    lowest = np.where(np.isnan(floors), np.inf, floors).min(axis=0)
+    return np.where(np.isnan(floors), np.where(np.isinf(lowest), 0.0, lowest), floors)
+
+
 def fit(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text",
         lang_col: str = "lang") -> Model:
     """Learns from rows where `labelled` holds and the language is known.
@@ -161,29 +226,20 @@ def fit(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str
         frequencies, "lang string, n long, df binary").orderBy("lang").collect()
     if not found:
         return Model([], np.ones(DIMENSIONS, np.float32), np.zeros((1, DIMENSIONS), np.float32),
-                     np.zeros(1, np.int64), np.full(16, np.inf))
+                     np.zeros(1, np.int64), np.full((1, CLASSES), np.inf))
     df = np.sum([np.frombuffer(r["df"], "<i8") for r in found], axis=0)
     idf = (np.log((1 + sum(r["n"] for r in found)) / (1 + df)) + 1).astype(np.float32)
 
     def centers(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         texts = pdf["text"].sort_values().tolist()
         c = kmeans(weighted(grams(texts), idf), CENTROIDS).astype("<f4")
-        floors = np.full(16, np.inf)
-        parts = windows(texts)
-        for at in range(0, len(parts), 500):
-            counts = grams(parts[at:at + 500])
-            own = (weighted(counts, idf) @ c.T).max(axis=1)
-            np.minimum.at(floors, length_class(counts), own)
+        floors = own_floors(texts, idf)
         return pd.DataFrame({"lang": [key[0]], "c": [c.tobytes()], "floors": [floors.tobytes()]})
 
     fitted = sample.groupBy("lang").applyInPandas(
         centers, "lang string, c binary, floors binary").orderBy("lang").collect()
     parts = [np.frombuffer(r["c"], "<f4").reshape(-1, DIMENSIONS) for r in fitted]
-    floors = np.min([np.frombuffer(r["floors"]) for r in fitted], axis=0)
-    # a length that no text had is judged like the next shorter one
-    for i in range(16):
-        if np.isinf(floors[i]):
-            floors[i] = floors[i - 1] if i and not np.isinf(floors[i - 1]) else 0.0
+    floors = filled(np.array([np.frombuffer(r["floors"]) for r in fitted]))
     return Model([r["lang"] for r in fitted], idf, np.concatenate(parts),
                  np.repeat(np.arange(len(parts)), [len(p) for p in parts]), floors)
 

@@ -202,6 +202,41 @@ def test_language_edges(spark, odd, sf_dir):
     assert [r["language"]["lang"] for r in language_id.identify(docs_of(spark, ["some text"]), none).collect()] == ["und"]
 
 
+UNLEARNED = {
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem "
+          "i sumieniem i powinni postępować wobec innych w duchu braterstwa. Nie wolno nikogo czynić niewolnikiem.",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja "
+          "omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Kullakin on oikeus elämään.",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve "
+          "birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler. Yaşamak her ferdin hakkıdır.",
+    "code": "static int walk(struct node *n) { if (!n) return -1; for (size_t i = 0; i < n->len; ++i) "
+            "{ walk(n->child[i]); } return 0; }\nvoid *xmalloc(size_t sz) { void *p = malloc(sz); return p; }",
+}
+
+
+def test_unlearned_languages_are_rejected_and_clean_texts_stay(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents")
+    held_out = language_id.held_out(F.col("doc_id"))
+    model = language_id.fit(docs, ~held_out)
+    rng = np.random.default_rng(5)
+    letters = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10)))
+                        for _ in range(n)) for n in (40, 100, 500)]
+    for text in (*UNLEARNED.values(), *(f"{t} " * 5 for t in UNLEARNED.values()), *letters):
+        assert model.predict([text])[2].all(), text[:40]
+    clean = [r["text"] for r in docs.filter(held_out & (F.length("text") > 500)).select("text").collect()]
+    assert len(clean) > 10 and not model.predict(clean)[2].any()
+
+
+def test_one_odd_text_sets_no_floor():
+    cosines = np.linspace(0.6, 0.9, 1000)
+    assert language_id.floor_of(np.append(cosines, 0.01), np.nan) > 0.59
+    assert np.isnan(language_id.floor_of(cosines[:3], 0.5))
+    assert language_id.floor_of(cosines[:20], 0.5) == 0.5 and language_id.floor_of(cosines[:20], np.nan) <= 0.6
+    nan = np.nan
+    filled = language_id.filled(np.array([[nan, 0.2, nan, 0.4], [nan, nan, nan, nan]]))
+    assert filled.tolist() == [[0.0, 0.2, 0.2, 0.4]] * 2
+
+
 # near duplicates ------------------------------------------------------------------------------
 
 
