@@ -5,8 +5,10 @@ passages are cut into sentences, normalised (words in lower case, no marks) and
 what messages say themselves. A quoted sentence belongs to the latest earlier message of its
 conversation that says it. A message replies to the one that most of its outermost quotes belong
 to (ties: the later one); if none of these is found, deeper levels are asked, outermost first. A
-message that quotes nobody follows the turn before it. Replies form threads; within one, messages
-stand in the order of turns, every reply after what it replies to, without their quotes.
+message that quotes nobody follows the turn before it, whatever numbers are missing between them.
+One whose quotes nobody before said does so only if no number is missing: else what it quotes may
+be gone, and it begins a thread. Replies form threads; within one, messages stand in the order of
+turns, every reply after what it replies to, without their quotes.
 """
 
 from __future__ import annotations
@@ -97,14 +99,18 @@ def _units_of(messages: DataFrame, own: bool) -> DataFrame:
     return messages.select("conv_id", "turn", "text").mapInArrow(run, UNIT_DDL)
 
 
-def quotations(messages: DataFrame) -> DataFrame:
+def quoted(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, level, hash of all quoted sentences."""
+    return common.stored(_units_of(messages, own=False).filter(
+        "conv_id IS NOT NULL AND turn IS NOT NULL").distinct(), "quotes")
+
+
+def quotations(messages: DataFrame, quotes: DataFrame) -> DataFrame:
     """conv_id, turn, level, original (turn), sentences: who quotes whom, and how much.
 
     A quoted sentence is never joined with all who say it: quotes and sayings stand in the order of
     turns, and each quote sees the last saying before it.
     """
-    quotes = common.stored(_units_of(messages, own=False).filter(
-        "conv_id IS NOT NULL AND turn IS NOT NULL").distinct(), "quotes")
     concerned = broadcast_if_small(
         quotes.select("conv_id").distinct(), MAX_BROADCAST_CONVERSATIONS)
     says = _units_of(messages.join(concerned, "conv_id", "left_semi"), own=True)
@@ -117,16 +123,36 @@ def quotations(messages: DataFrame) -> DataFrame:
         .groupBy("conv_id", "turn", "level", "original").agg(F.count(F.lit(1)).alias("sentences"))
 
 
+def preceding(turns: DataFrame) -> DataFrame:
+    """Adds last: the greatest smaller turn of the conversation (null: there is none).
+
+    Turns are sorted over all tasks, so a long conversation lies in many. The first turn of a part
+    follows the last one of the part before it, of which a table has one row per part.
+    """
+    parts = common.stored(turns.select("conv_id", "turn").repartitionByRange("conv_id", "turn").select(
+        "*", F.spark_partition_id().alias("part")), "turns")
+    whole = F.struct("conv_id", "turn")
+    ends = parts.groupBy("part").agg(F.max(whole).alias("end")).select(
+        F.col("part"), F.lag("end").over(Window.orderBy("part")).alias("before"))
+    within = Window.partitionBy("part", "conv_id").orderBy("turn")
+    return parts.withColumn("last", F.lag("turn").over(within)).join(F.broadcast(ends), "part").select(
+        "conv_id", "turn", F.coalesce("last", F.when(
+            F.col("before.conv_id") == F.col("conv_id"), F.col("before.turn"))).alias("last"))
+
+
 def parents(messages: DataFrame) -> DataFrame:
     """conv_id, turn, parent (null: begins a thread), sentences that tell so; one row per turn."""
-    best = quotations(messages).groupBy("conv_id", "turn").agg(F.max(F.struct(
+    quotes = quoted(messages)
+    best = quotations(messages, quotes).groupBy("conv_id", "turn").agg(F.max(F.struct(
         (-F.col("level")).alias("near"), "sentences", "original")).alias("best"))
+    quoting = quotes.select("conv_id", "turn", F.lit(True).alias("quoting")).distinct()
     turns = messages.select("conv_id", "turn").filter(
         "conv_id IS NOT NULL AND turn IS NOT NULL").distinct()
-    earlier = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("last"))
-    return turns.join(best, ["conv_id", "turn"], "left").join(
-        earlier, ["conv_id", "turn"], "left").select(
-            "conv_id", "turn", F.coalesce("best.original", "last").alias("parent"),
+    follows = F.col("quoting").isNull() | (F.col("last") == F.col("turn") - 1)
+    return preceding(turns).join(best, ["conv_id", "turn"], "left").join(
+        quoting, ["conv_id", "turn"], "left").select(
+            "conv_id", "turn",
+            F.coalesce("best.original", F.when(follows, F.col("last"))).alias("parent"),
             F.coalesce("best.sentences", F.lit(0).cast("long")).alias("sentences"))
 
 

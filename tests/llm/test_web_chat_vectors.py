@@ -178,6 +178,17 @@ def test_quotations_make_threads(spark):
     assert chat.reply_order(chats.limit(0)).count() == 0
 
 
+def test_turns_with_gaps(spark):
+    rows = [(1, t, f"message {t}") for t in range(0, 400, 2)] + [(2, 7, "one"), (2, 1000, "two"), (3, 5, "alone"),
+            (4, -10, "here is something said"), (4, 3, "another"), (4, 90, "> here is something said\nyes"), (4, 95, "on")]
+    chats = spark.createDataFrame([(*r, "u") for r in rows], "conv_id long, turn long, text string, role string")
+    got = {(r["conv_id"], r["turn"]): (r["thread"], r["parent"], r["depth"])
+           for r in chat.reply_order(chats.repartition(5)).collect()}
+    want = {(1, t): (0, t - 2 if t else None, t // 2) for t in range(0, 400, 2)}
+    assert got == want | {(2, 7): (7, None, 0), (2, 1000): (7, 7, 1), (3, 5): (5, None, 0), (4, -10): (-10, None, 0),
+                          (4, 3): (-10, -10, 1), (4, 90): (-10, -10, 1), (4, 95): (-10, 90, 2)}
+
+
 def test_long_chain(spark):
     chats = spark.range(300).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"),
                                     F.lit("u").alias("role"), F.lit("text").alias("text"))
