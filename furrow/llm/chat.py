@@ -1,11 +1,11 @@
 """Chats in reply order, by linking quotations.
 
 Lines that begin with `>` are quoted, as many levels deep as there are marks. A message's quoted
-passages are cut into sentences, normalised (words in lower case, no marks) and hashed, and so is
-what messages say themselves. A quoted sentence belongs to the latest earlier message of its
-conversation that says it. A message replies to the one that most of its outermost quotes belong
-to (ties: the later one); if none of these is found, deeper levels are asked, outermost first. A
-message that quotes nobody follows the turn before it, whatever numbers are missing between them.
+passages are cut into sentences, normalised (words in lower case, no marks) and hashed, each by
+itself and all of a passage together, and so is what messages say themselves. A quoted sentence or
+passage belongs to the latest earlier message of its conversation that says it. A message replies to
+the one that most of its outermost quotes belong to: long ones count first, then the letters of all
+(ties: the later one). If none of these is found, deeper levels are asked, outermost first. A message that quotes nobody follows the turn before it, whatever numbers are missing between them.
 One whose quotes nobody before said does so only if no number is missing: else what it quotes may
 be gone, and it begins a thread. Replies form threads; within one, messages stand in the order of
 turns, every reply after what it replies to, without their quotes.
@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 from furrow.llm import common
 from furrow.session import broadcast_if_small
 
-#: Shorter sentences say too little to tell whose they are.
+#: Sentences of so many words or letters are long: shorter ones say less of whose they are. Letters
+#: tell in scripts that put no blanks between words.
 MIN_WORDS = 3
+MIN_LETTERS = 12
 MAX_BROADCAST_CONVERSATIONS = 1_000_000
-UNIT_DDL = "conv_id long, turn long, level int, hash long"
+UNIT_DDL = "conv_id long, turn long, level int, hash long, letters int, long boolean, sentence boolean"
 
 _MARKS = re.compile(r"^(?:[ \t]?>)+[ \t]?")
-_SENTENCE = re.compile(r"[^.!?]+")
+_SENTENCE = re.compile(r"[^.!?。！？｡।॥؟۔።]+")
 _WORD = re.compile(r"\w+")
 
 
@@ -70,43 +72,50 @@ def passages(text: str) -> list[tuple[int, str]]:
     return [(level, part) for level, lines in out for part in {" ".join(lines), *lines}]
 
 
-def units(text: str) -> set[tuple[int, int]]:
-    """Levels and hashes of a message's sentences."""
-    found = set()
+def units(text: str) -> dict[tuple[int, int], tuple[int, bool, bool]]:
+    """Levels and hashes of a message's sentences and of its passages of several, each with its
+    letters, whether it is long, and whether it is a sentence."""
+    found: dict[tuple[int, int], tuple[int, bool, bool]] = {}
     for level, passage in passages(text):
-        for sentence in _SENTENCE.findall(passage):
-            words = _WORD.findall(sentence.lower())
-            if len(words) >= MIN_WORDS:
-                raw = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8)
-                found.add((level, int.from_bytes(raw.digest(), "little", signed=True)))
+        sentences = [words for part in _SENTENCE.findall(passage) if (words := _WORD.findall(part.lower()))]
+        whole = [word for words in sentences for word in words]
+        for words in ([whole] if len(sentences) > 1 else []) + sentences:
+            raw = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8)
+            key = (level, int.from_bytes(raw.digest(), "little", signed=True))
+            letters = sum(map(len, words))
+            sentence = words is not whole or found.get(key, (0, False, False))[2]
+            found[key] = letters, len(words) >= MIN_WORDS or letters >= MIN_LETTERS, sentence
     return found
 
 
 def _units_of(messages: DataFrame, own: bool) -> DataFrame:
-    """Sentences that messages say themselves, or those that they quote."""
+    """Sentences and passages that messages say themselves, or those that they quote."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(c, t, level, h)
+            rows = [(c, t, level, h, *about)
                     for c, t, x in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "turn", "text")),
                                        strict=True)
-                    if own or ">" in x for level, h in units(x) if own == (not level)]
-            columns = list(zip(*rows, strict=True)) or [()] * 4
+                    if own or ">" in x for (level, h), about in units(x).items() if own == (not level)]
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(
-                    columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)],
+                [pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)],
                 names=[c.split()[0] for c in UNIT_DDL.split(", ")])
 
     return messages.select("conv_id", "turn", "text").mapInArrow(run, UNIT_DDL)
 
 
 def quoted(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, level, hash of all quoted sentences."""
+    """conv_id, turn, level, hash, letters, long, sentence of all that is quoted."""
     return common.stored(_units_of(messages, own=False).filter(
-        "conv_id IS NOT NULL AND turn IS NOT NULL").distinct(), "quotes")
+        "conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn", "level", "hash").agg(
+            F.max("letters").alias("letters"), F.max("long").alias("long"),
+            F.max("sentence").alias("sentence")), "quotes")
 
 
 def quotations(messages: DataFrame, quotes: DataFrame) -> DataFrame:
-    """conv_id, turn, level, original (turn), sentences: who quotes whom, and how much.
+    """conv_id, turn, level, original (turn), long (quotes), letters, sentences: who quotes whom, and
+    how much. Where a passage alone is found, it counts as one sentence.
 
     A quoted sentence is never joined with all who say it: quotes and sayings stand in the order of
     turns, and each quote sees the last saying before it.
@@ -114,13 +123,17 @@ def quotations(messages: DataFrame, quotes: DataFrame) -> DataFrame:
     concerned = broadcast_if_small(
         quotes.select("conv_id").distinct(), MAX_BROADCAST_CONVERSATIONS)
     says = _units_of(messages.join(concerned, "conv_id", "left_semi"), own=True)
-    said = says.select("conv_id", "hash", "turn", F.lit(0).alias("level")).distinct()
+    said = says.select("conv_id", "hash", "turn").distinct().select(
+        "*", F.lit(0).alias("level"), F.lit(0).alias("letters"), F.lit(False).alias("long"),
+        F.lit(False).alias("sentence"))
     before = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(
         Window.unboundedPreceding, -1)
-    return said.unionByName(quotes.select("conv_id", "hash", "turn", "level")).withColumn(
+    return said.unionByName(quotes).withColumn(
         "original", F.max(F.when(F.col("level") == 0, F.col("turn"))).over(before)) \
         .filter("level > 0 AND original IS NOT NULL") \
-        .groupBy("conv_id", "turn", "level", "original").agg(F.count(F.lit(1)).alias("sentences"))
+        .groupBy("conv_id", "turn", "level", "original").agg(
+            F.count_if("long").alias("long"), F.sum("letters").alias("letters"),
+            F.greatest(F.count_if("sentence"), F.lit(1).cast("long")).alias("sentences"))
 
 
 def preceding(turns: DataFrame) -> DataFrame:
@@ -144,7 +157,7 @@ def parents(messages: DataFrame) -> DataFrame:
     """conv_id, turn, parent (null: begins a thread), sentences that tell so; one row per turn."""
     quotes = quoted(messages)
     best = quotations(messages, quotes).groupBy("conv_id", "turn").agg(F.max(F.struct(
-        (-F.col("level")).alias("near"), "sentences", "original")).alias("best"))
+        (-F.col("level")).alias("near"), "long", "letters", "original", "sentences")).alias("best"))
     quoting = quotes.select("conv_id", "turn", F.lit(True).alias("quoting")).distinct()
     turns = messages.select("conv_id", "turn").filter(
         "conv_id IS NOT NULL AND turn IS NOT NULL").distinct()

@@ -189,6 +189,24 @@ def test_turns_with_gaps(spark):
                           (4, 3): (-10, -10, 1), (4, 90): (-10, -10, 1), (4, 95): (-10, 90, 2)}
 
 
+def test_short_and_unspaced_quotations_link(spark):
+    rows = [
+        (1, 0, "Shall we go there?"), (1, 1, "Yes, please."), (1, 2, "How come?"), (1, 3, "Nothing of the kind."),
+        (1, 4, "> Yes, please.\nfine"), (1, 5, "> How come?\nso"), (1, 6, "> nothing here\n> ...\nwell"),
+        (2, 0, "你好，我想问一下。今天天气怎么样？"), (2, 1, "今天天气很好"), (2, 2, "> 今天天气怎么样？\n谢谢"),
+        (2, 3, "> 今天天气很好\n好的"),
+        # a long sentence outranks short ones, and a whole passage those who said parts of it later
+        (3, 0, "The meeting is on Monday. Yes."), (3, 1, "Yes."), (3, 2, "OK."), (3, 3, "No."),
+        (3, 4, "> The meeting is on Monday.\n> Yes.\n> OK.\n> No.\nright"),
+        (4, 0, "Yes. OK."), (4, 1, "Yes."), (4, 2, "OK."), (4, 3, "> Yes. OK.\nboth"),
+    ]
+    chats = spark.createDataFrame([(*r, "u") for r in rows], "conv_id long, turn long, text string, role string")
+    got = {(r["conv_id"], r["turn"]): (r["parent"], r["n_quoted"]) for r in chat.reply_order(chats).collect()}
+    want = {(1, 4): (1, 1), (1, 5): (2, 1), (1, 6): (5, 0), (2, 2): (0, 1), (2, 3): (1, 1), (3, 4): (0, 1),
+            (4, 3): (0, 1)}
+    assert {k: got[k] for k in want} == want
+
+
 def test_long_chain(spark):
     chats = spark.range(300).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"),
                                     F.lit("u").alias("role"), F.lit("text").alias("text"))
