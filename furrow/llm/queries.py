@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from furrow.llm import (
     chat, common, embedding_dedup, fingerprints, language_id, minhash_dedup, mixing, packing,
-    token_files, url_filters, warc,
+    prefix_trie, token_files, url_filters, warc,
 )
 from furrow.session import work_dir
 
@@ -195,3 +195,59 @@ FROM m
 def op10_embedding_near_dedup(spark, sf_dir):
     """Links and components of vectors with a cosine of 0.95 or more."""
     return embedding_dedup.near_duplicates(common.table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+@query
+def op11_prefix_trie(spark, sf_dir):
+    """The prefix trie of all rebuilt conversations, with totals of subtrees."""
+    return prefix_trie.trie(common.table(spark, sf_dir, "conversations"))
+
+
+_SQL["op11_prefix_trie"] = r"""
+WITH o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS nr
+  FROM conversations WHERE conv_id IS NOT NULL),
+b AS (
+  SELECT conv_id, list_reduce(
+           list_prepend(4294967295::BIGINT, flatten(list_transform(
+             range(1, length(conv_id::VARCHAR) + 1),
+             lambda i: list_prepend(ascii(substr(conv_id::VARCHAR, i::BIGINT, 1))::BIGINT,
+                                    [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))),
+           lambda c, v: CASE WHEN v >= 0 THEN xor(c, v)
+                             ELSE xor(c >> 1, (c & 1) * 3988292384) END) AS crc
+  FROM (SELECT DISTINCT conv_id FROM o)),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(crc, 4294967295) % 4 AS h FROM b),
+r AS (
+  SELECT c.conv_id, nr AS spot, role, text FROM c JOIN o ON o.conv_id = base AND nr <= h
+  UNION ALL
+  SELECT c.conv_id, nr + 3, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND nr > h),
+n AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY spot) AS depth,
+         sha256(length(role) || ':' || role || text) AS turn,
+         CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS words FROM r),
+p AS (
+  SELECT conv_id, depth, words, sha256(string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM n
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM c),
+g AS (
+  SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words
+  FROM p GROUP BY depth, node),
+t AS (
+  SELECT g.*, p.node AS parent FROM g LEFT JOIN p ON p.conv_id = g.conv_id AND p.depth = g.depth - 1),
+k AS (SELECT parent, count(*) AS n_children FROM t WHERE parent IS NOT NULL GROUP BY parent),
+v AS (SELECT t.*, coalesce(n_children, 0) AS n_children FROM t LEFT JOIN k ON k.parent = t.node),
+s AS (
+  SELECT p.node, p.depth, CAST(sum((v.n_children = 0)::BIGINT) AS BIGINT) AS n_leaves,
+         CAST(sum((n_convs - 1) * v.words) AS BIGINT) AS saved_tokens
+  FROM v JOIN p ON p.conv_id = v.conv_id AND p.depth <= v.depth GROUP BY p.node, p.depth),
+e AS (
+  SELECT node, depth, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256
+  FROM (SELECT conv_id, max(depth) AS depth, max_by(node, depth) AS node FROM p GROUP BY conv_id)
+  GROUP BY node, depth)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens,
+       coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM v JOIN s ON s.node = v.node AND s.depth = v.depth
+LEFT JOIN e ON e.node = v.node AND e.depth = v.depth
+LEFT JOIN v AS u ON u.node = v.parent AND u.depth = v.depth - 1
+"""
