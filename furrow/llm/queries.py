@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.llm import (
-    chat, common, embedding_dedup, fingerprints, language_id, minhash_dedup, mixing, packing,
-    prefix_trie, token_files, url_filters, warc,
+    chat, common, embedding_dedup, fingerprints, hard_negatives, language_id, minhash_dedup, mixing,
+    packing, prefix_trie, token_files, url_filters, warc,
 )
 from furrow.session import work_dir
 
@@ -251,3 +251,37 @@ FROM v JOIN s ON s.node = v.node AND s.depth = v.depth
 LEFT JOIN e ON e.node = v.node AND e.depth = v.depth
 LEFT JOIN v AS u ON u.node = v.parent AND u.depth = v.depth - 1
 """
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    """Hard negatives for every anchor and positive, a seventh of the labels moved by one."""
+    return hard_negatives.mine(
+        common.table(spark, sf_dir, "embeddings"),
+        relabel=lambda i, label: F.when(i % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
+_SQL["op13_hard_negatives"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label,
+         CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+  WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT anchor_id, anchor_label, vec_id AS positive_id, score AS positive_score
+  FROM s WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id, anchor_label ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.anchor_label, positive_id
+                               ORDER BY score DESC, s.vec_id) AS INTEGER) AS rank,
+       s.vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.anchor_label = p.anchor_label AND s.label <> p.anchor_label
+             AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
