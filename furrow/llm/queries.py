@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from furrow.llm import (
     chat, common, embedding_dedup, fingerprints, hard_negatives, language_id, minhash_dedup, mixing,
-    packing, prefix_trie, token_files, url_filters, warc,
+    packing, pii, prefix_trie, token_files, url_filters, warc,
 )
 from furrow.session import work_dir
 
@@ -253,6 +253,12 @@ LEFT JOIN v AS u ON u.node = v.parent AND u.depth = v.depth - 1
 """
 
 
+@query
+def op12_pii(spark, sf_dir):
+    """Personal data in every document, by checked patterns and by weak supervision."""
+    return pii.personal_data(common.table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_hard_negatives(spark, sf_dir):
     """Hard negatives for every anchor and positive, a seventh of the labels moved by one."""
