@@ -11,21 +11,71 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from furrow.llm.common import utf8
+
 # Letters only, marks only, or a line break: within a word these are always parts of their own.
 _PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ſ]+|[.,;:!?#%$&*|]+|\n")
 _ENCODERS: dict[str, Encoder] = {}
 
-#: Words a process remembers; it forgets all of them when there are more.
-MAX_WORDS = 800_000
+#: Words a process remembers in each of two generations: when the newer one is full it becomes the
+#: older one, which is forgotten then; words met again move to the newer one.
+MAX_WORDS = 400_000
+
+
+def _white(words: pa.Array, texts: list[str], first: bool) -> np.ndarray:
+    """Which words are empty or end (or begin, if `first`) with white space: looked at one by one
+    only where their outer bytes don't rule it out."""
+    data, limits = utf8(words)
+    found = limits[1:] == limits[:-1]
+    for at, last in ((limits[:-1], False), (limits[1:] - 1, True))[not first:]:
+        byte = data[np.where(found, 0, at)] if len(data) else np.zeros(len(found), np.uint8)
+        for i in np.flatnonzero(~found & ((byte <= 32) | (byte >= 128))).tolist():
+            found[i] = texts[i][-1 if last else 0].isspace()
+    return found
+
+
+class Words:
+    """Ids of words: per word a place in one long array."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+
+    def add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Words that are not known yet, with their ids in a row."""
+        if not words:
+            return
+        first, n = len(self.known), len(words)
+        ends = self.used + np.cumsum(lengths)
+        if first + n > len(self.start):
+            room = 2 * (first + n)
+            self.start, self.length = np.resize(self.start, room), np.resize(self.length, room)
+        if ends[-1] > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * int(ends[-1]))
+        self.flat[self.used:ends[-1]] = ids
+        self.start[first:first + n], self.length[first:first + n] = ends - lengths, lengths
+        self.known.update(zip(words, range(first, first + n), strict=True))
+        self.used = int(ends[-1])
+
+    def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of several words in a row, and how many each has."""
+        counts = self.length[slots].astype(np.int64)
+        ends = np.cumsum(counts)
+        if not len(ends):
+            return np.zeros(0, np.uint32), counts
+        return self.flat[np.repeat(self.start[slots] - ends + counts, counts) + np.arange(ends[-1])], counts
 
 
 class Encoder:
-    """Remembers words' ids: per word a place in one long array."""
+    """Remembers words' ids, those of words made of several parts included."""
 
     def __init__(self, path: str, max_words: int = MAX_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -34,65 +84,49 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.max_words = max_words
-        self._forget()
+        self.new, self.old = Words(), Words()
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.flat, self.used, self.slots = np.zeros(1 << 18, np.uint32), 0, 0
-
-    def _add(self, ids: np.ndarray) -> int:
-        n, slot = len(ids), self.slots
-        if slot == len(self.start):
-            self.start, self.length = (np.resize(x, 2 * slot) for x in (self.start, self.length))
-        while self.used + n > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used:self.used + n] = ids
-        self.start[slot], self.length[slot] = self.used, n
-        self.used, self.slots = self.used + n, slot + 1
-        return slot
-
-    def _ids(self, slot: int) -> np.ndarray:
-        return self.flat[self.start[slot]:self.start[slot] + self.length[slot]]
+    def _recall(self, words: Iterable[str]) -> list[str]:
+        """Takes words of the older generation along; returns those that neither holds."""
+        new, old = self.new.known, self.old.known
+        missing = [w for w in dict.fromkeys(words) if w not in new]
+        kept = [w for w in missing if w in old]
+        self.new.add(kept, *self.old.ids(np.array([old[w] for w in kept], np.int64)))
+        return [w for w in missing if w not in old] if kept else missing
 
     def _lookup(self, words: list[str]) -> np.ndarray:
-        """A slot per word; words made of several parts get one for this call only."""
-        known = self.known
-        slots = [known.get(w, -1) for w in words]
-        compound: dict[int, list[str]] = {}
-        fresh: dict[str, None] = {}
-        for i, slot in enumerate(slots):
-            if slot >= 0:
-                continue
-            word = words[i]
+        """A slot per word."""
+        fresh = self._recall(words)
+        compound: dict[str, list[str]] = {}
+        single: list[str] = []
+        for word in fresh:
             body = word[1:] if word[:1] == " " else word
             parts = _PARTS.findall(body)
             if len(parts) > 1 and sum(map(len, parts)) == len(body) and "\n\n" not in body:
                 parts[0] = word[:len(word) - len(body)] + parts[0]
-                compound[i] = parts
-                fresh.update(dict.fromkeys(p for p in parts if p not in known))
-            elif word not in known:
-                fresh[word] = None
-        if fresh:
-            todo = list(fresh)
-            for word, e in zip(todo, self.tokenizer.encode_batch(todo, add_special_tokens=False),
-                               strict=True):
-                known[word] = self._add(np.array(e.ids, np.uint32))
-        kept = self.slots, self.used
-        for i, slot in enumerate(slots):
-            if slot < 0:
-                parts = compound.get(i)
-                slots[i] = self._add(np.concatenate([self._ids(known[p]) for p in parts])) \
-                    if parts else known[words[i]]
-        self._kept = kept
-        return np.array(slots, np.int64)
+                compound[word] = parts
+                single += parts
+            else:
+                single.append(word)
+        todo = self._recall(single)
+        if todo:
+            found = [e.ids for e in self.tokenizer.encode_batch(todo, add_special_tokens=False)]
+            self.new.add(todo, np.fromiter(chain.from_iterable(found), np.uint32),
+                         np.fromiter(map(len, found), np.int64, len(found)))
+        slot = self.new.known.__getitem__
+        if compound:
+            parts = list(compound.values())
+            ids, lengths = self.new.ids(np.array(list(map(slot, chain.from_iterable(parts))), np.int64))
+            firsts = np.cumsum([0, *map(len, parts[:-1])])
+            self.new.add(list(compound), ids, np.add.reduceat(lengths, firsts))
+        return np.array(list(map(slot, words)), np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has. No text is null."""
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if len(self.known) > self.max_words:
-            self._forget()
+        if len(self.new.known) > self.max_words:
+            self.new, self.old = Words(), self.new
         split = pc.split_pattern(texts, " ")
         limits = split.offsets.to_numpy().astype(np.int64)
         limits -= limits[0]
@@ -103,14 +137,12 @@ class Encoder:
         firsts = {w: i for i, w in enumerate(dict.fromkeys(
             words[c] for c in codes[limits[:-1]].tolist()))}
         codes[limits[:-1]] = [len(words) + firsts[words[c]] for c in codes[limits[:-1]].tolist()]
-        odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words]
-                       + [not w or w[-1].isspace() for w in firsts])
+        odd = np.concatenate([_white(coded.dictionary, words, True),
+                              _white(pa.array(list(firsts), texts.type), list(firsts), False)])
         slots = self._lookup([" " + w for w in words] + list(firsts))
-        counts, begins = self.length[slots][codes].astype(np.int64), self.start[slots][codes]
-        ends = np.cumsum(counts)
-        ids = self.flat[np.repeat(begins - ends + counts, counts) + np.arange(ends[-1])]
-        self.slots, self.used = self._kept
-        ends = np.concatenate([[0], ends])[limits]
+        table = self.new
+        ids, counts = table.ids(slots[codes])
+        ends = np.concatenate([[0], np.cumsum(counts)])[limits]
         lengths = np.diff(ends)
         whole = np.flatnonzero((np.diff(limits) > 1) & (np.add.reduceat(odd[codes], limits[:-1]) > 0))
         if len(whole):
