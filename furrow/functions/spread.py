@@ -1,10 +1,9 @@
-"""Ordered work over keys of any size.
+"""Ordered work over keys of any size, by ranges with a carried boundary.
 
-A window partitioned by a key puts all rows of the key into one task. The helpers here cut a key's
-time line into chunks first: a window then runs inside each (key, chunk), and what one chunk must
-know of those before it comes from a table with one row per chunk. A key's chunks are fixed
-stretches of time; for keys so busy that a stretch holds more than `target_rows` rows, the stretch
-is cut further. The stretches that need it number at most total rows / target_rows.
+A window partitioned by a key puts all rows of the key into one task. Here rows are dealt to ranges
+of (key, order) instead, so a key with most of the rows, or one instant of it, spreads over as many
+ranges as its rows need. Windows run inside a range; what a range must know of those before it is
+one row per range, since only the key it begins with can have come before.
 """
 
 from __future__ import annotations
@@ -13,71 +12,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from furrow.session import counted
+from furrow.session import work_dir
 
-CHUNK_SECONDS = 86_400
-TARGET_ROWS = 2_000_000
-# most crowded stretches a join broadcasts
-CROWDED_ROWS = 500_000
+RANGE = "_range"
 
 
-def with_chunk(df: DataFrame, keys: list[str], ts: str, seconds: int = CHUNK_SECONDS,
-               target_rows: int = TARGET_ROWS) -> DataFrame:
-    """Add `chunk`, a struct that orders the chunks of a key in time.
+def ranged(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
+    """The rows with the number of their range, ascending along `order`.
 
-    Rows of one instant always share a chunk. Keys must not be null. The crowded stretches are
-    counted first; they are broadcast if they are few enough, and joined by a shuffle if not.
+    They are written once below the shared folder: all later steps then see the same ranges, also
+    where tasks run again. Equal rows may fall to either side of a boundary.
     """
-    width = F.lit(seconds * 1_000_000)
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    slotted = df.withColumns({"_us": micros, "_slot": F.floor(micros / width).cast("bigint")})
-    crowded = (
-        slotted.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > target_rows)
-        .select(
-            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-            F.col("_slot").alias("_s"),
-            F.ceil(F.col("_n") / F.lit(target_rows)).cast("bigint").alias("_cuts"),
-        )
-    )
-    crowded, n = counted(crowded, CROWDED_ROWS)
-    if n == 0:
-        return slotted.withColumn(
-            "chunk", F.struct(F.col("_slot").alias("slot"), F.lit(0).cast("bigint").alias("part"))
-        ).drop("_us", "_slot")
-    same = F.col("_slot") == F.col("_s")
-    for i, k in enumerate(keys):
-        same = same & (F.col(k) == F.col(f"_k{i}"))
-    inside = F.col("_us") - F.col("_slot") * width
-    cut = F.floor(inside * F.coalesce("_cuts", F.lit(1)) / width).cast("bigint")
-    return (
-        slotted.join(crowded, same, "left")
-        .withColumn("chunk", F.struct(F.col("_slot").alias("slot"), cut.alias("part")))
-        .drop("_us", "_slot", "_s", "_cuts", *[f"_k{i}" for i in range(len(keys))])
-    )
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    path = work_dir(spark, "ranges")
+    marked = dealt.withColumn(RANGE, F.spark_partition_id())
+    marked.write.parquet(path)
+    return spark.read.schema(marked.schema).parquet(path)
 
 
-def carried(chunked: DataFrame, keys: list[str], last: Column, present: Column,
-            order: Column) -> DataFrame:
-    """Per key and chunk the last present value of the chunks before it (null for the first).
+def with_carry(rows: DataFrame, keys: list[str], last: Column, present: Column, order: Column,
+               name: str) -> DataFrame:
+    """Add the last present value of a row's key in the ranges before the row's own (null without).
 
-    The window here runs over one row per chunk.
+    The sums behind it have a row per key and range. Of these only the first key of each range can
+    have a value to carry, so the joined table has at most one row per range and is broadcast.
     """
-    per_chunk = chunked.groupBy(*keys, "chunk").agg(
-        F.max_by(F.when(present, last), F.when(present, order)).alias("_last"))
-    before = (
-        W.partitionBy(*keys).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))
-    return per_chunk.select(
-        *keys, "chunk", F.last("_last", ignorenulls=True).over(before).alias("carry"))
-
-
-def join_on_chunk(rows: DataFrame, per_chunk: DataFrame, keys: list[str]) -> DataFrame:
-    """Give every row its chunk's entry."""
-    renamed = per_chunk.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("chunk").alias("_c"),
-        *[c for c in per_chunk.columns if c not in (*keys, "chunk")],
-    )
-    same = F.col("chunk") == F.col("_c")
+    ends = rows.groupBy(*keys, RANGE).agg(F.max_by(F.when(present, last), F.when(present, order)).alias("_last"))
+    before = W.partitionBy(*keys).orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.withColumn("_carry", F.struct(F.last("_last", ignorenulls=True).over(before).alias("value"))) \
+        .filter(F.col("_carry.value").isNotNull()) \
+        .select(F.col(RANGE).alias("_at"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_carry")
+    same = F.col(RANGE) == F.col("_at")
     for i, k in enumerate(keys):
         same = same & (F.col(k) == F.col(f"_k{i}"))
-    return rows.join(renamed, same, "left").drop("_c", *[f"_k{i}" for i in range(len(keys))])
+    return rows.join(F.broadcast(carried), same, "left").withColumn(name, F.col("_carry.value")).drop(
+        "_at", "_carry", *[f"_k{i}" for i in range(len(keys))])

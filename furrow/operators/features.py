@@ -42,61 +42,59 @@ def windowed_join(events: DataFrame, plots: DataFrame) -> DataFrame:
     )
 
 
-def asof_weather(events: DataFrame, seconds: int = spread.CHUNK_SECONDS,
-                 target_rows: int = spread.TARGET_ROWS) -> DataFrame:
+def asof_weather(events: DataFrame, ranges: int | None = None) -> DataFrame:
     """Each satellite pass with the last weather reading of its plot at or before it.
 
-    No inequality join: both kinds of row lie on one time line per plot, cut into chunks; the last
-    reading inside the chunk wins, else the one carried over from earlier chunks.
+    No inequality join: both kinds of row lie on one time line per plot, cut into ranges of (plot,
+    time, kind, id); the last reading inside the range wins, else the one carried over from earlier
+    ranges. `ranges` fixes their number, which otherwise follows the size of the table.
     """
     both = events.filter(
         F.col("event_type").isin(C.SATELLITE, C.WEATHER) & F.col("plot_id").isNotNull()
     ).select(
         "plot_id", "ts", "event_uuid", "ndvi",
-        (F.col("event_type") == C.WEATHER).alias("is_weather"),
+        # at equal times the reading comes before the pass
+        F.when(F.col("event_type") == C.WEATHER, 0).otherwise(1).alias("side"),
         F.struct(F.col("ts").alias("at"), F.col("temperature_c").alias("temp")).alias("reading"),
     )
-    keys = ["plot_id"]
-    chunked = spread.with_chunk(both, keys, "ts", seconds, target_rows)
-    carry = spread.carried(
-        chunked, keys, F.col("reading"), F.col("is_weather"), F.struct("ts", "event_uuid"))
-    # at equal times the reading comes before the pass
+    keys, weather = ["plot_id"], F.col("side") == 0
+    rows = spread.with_carry(
+        spread.ranged(both, ["plot_id", "ts", "side", "event_uuid"], ranges), keys,
+        F.col("reading"), weather, F.struct("ts", "event_uuid"), "carry")
     order = (
-        W.partitionBy(*keys, "chunk").orderBy("ts", F.desc("is_weather"), "event_uuid")
+        W.partitionBy(*keys, spread.RANGE).orderBy("ts", "side", "event_uuid")
         .rowsBetween(W.unboundedPreceding, 0)
     )
-    inside = chunked.withColumn(
-        "seen", F.last(F.when(F.col("is_weather"), F.col("reading")), ignorenulls=True).over(order)
-    ).filter(~F.col("is_weather"))
     found = F.coalesce("seen", "carry")
-    return spread.join_on_chunk(inside, carry, keys).select(
+    return rows.withColumn(
+        "seen", F.last(F.when(weather, F.col("reading")), ignorenulls=True).over(order)
+    ).filter(~weather).select(
         "event_uuid", "plot_id", "ts", "ndvi",
         found["at"].alias("weather_ts"), found["temp"].alias("temperature_c"),
     )
 
 
-def price_change(events: DataFrame, seconds: int = spread.CHUNK_SECONDS,
-                 target_rows: int = spread.TARGET_ROWS) -> DataFrame:
+def price_change(events: DataFrame, ranges: int | None = None) -> DataFrame:
     """Each quote with the one before it in its crop and market, and the change in percent.
 
-    There are few (crop, market) pairs and any number of quotes, so the time line is chunked.
+    There are few (crop, market) pairs and any number of quotes, so the time line is cut into
+    ranges of (crop, market, time, id), also within one instant.
     """
     quotes = events.filter(F.col("event_type") == C.MARKET).select(
         "event_uuid", F.coalesce("crop", F.lit("unknown")).alias("crop"),
         F.coalesce("market_location", F.lit("unknown")).alias("market_location"), "ts",
-        F.col("price_per_quintal_inr").alias("price"))
+        # a quote without a price is a quote all the same
+        F.struct(F.col("price_per_quintal_inr").alias("price")).alias("quote"))
     keys = ["crop", "market_location"]
-    chunked = spread.with_chunk(quotes, keys, "ts", seconds, target_rows)
-    carry = spread.carried(
-        chunked, keys, F.col("price"), F.lit(True), F.struct("ts", "event_uuid"))
-    order = W.partitionBy(*keys, "chunk").orderBy("ts", "event_uuid")
-    inside = chunked.withColumns({
-        "_before": F.lag("price").over(order), "_first": F.row_number().over(order) == 1})
-    before = F.when(F.col("_first"), F.col("carry")).otherwise(F.col("_before"))
-    return spread.join_on_chunk(inside, carry, keys).select(
-        "event_uuid", "crop", "market_location", "ts", "price",
+    rows = spread.with_carry(
+        spread.ranged(quotes, [*keys, "ts", "event_uuid"], ranges), keys,
+        F.col("quote"), F.lit(True), F.struct("ts", "event_uuid"), "carry")
+    order = W.partitionBy(*keys, spread.RANGE).orderBy("ts", "event_uuid")
+    before, price = F.coalesce("before", "carry")["price"], F.col("quote.price")
+    return rows.withColumn("before", F.lag("quote").over(order)).select(
+        "event_uuid", "crop", "market_location", "ts", price.alias("price"),
         before.alias("previous_price"),
-        F.when(before != 0, (F.col("price") - before) / before * 100.0).alias("change_pct"),
+        F.when(before != 0, (price - before) / before * 100.0).alias("change_pct"),
     )
 
 

@@ -393,6 +393,9 @@ SELECT event_uuid, plot_id, event_type, ts, measure FROM twice t
 WHERE NOT EXISTS (SELECT 1 FROM ev s WHERE s.ts < TIMESTAMP '2024-01-16'
                   AND s.event_uuid = t.event_uuid AND s.plot_id IS NOT DISTINCT FROM t.plot_id)
 QUALIFY row_number() OVER (PARTITION BY event_uuid, plot_id ORDER BY ts DESC) = 1"""
+    out["stored_upsert"] = out["upsert_latest"]
+    out["stored_insert"] = f"""{BASE}
+SELECT event_uuid, plot_id, event_type, ts, measure FROM ev WHERE ts >= TIMESTAMP '2024-01-16'"""
     out["events_sorted"] = f"""{BASE}
 SELECT event_uuid, event_type, ts, plot_id, crop FROM ev ORDER BY ts, event_uuid"""
     out["per_plot_order"] = f"{BASE} SELECT plot_id, ts, event_uuid, event_type FROM ev"

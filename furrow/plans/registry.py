@@ -20,6 +20,7 @@ from furrow.sources import io, testbed
 from furrow.session import checkpoint_root, configure, work_dir, zoneless
 from furrow.streaming import jobs
 from furrow.streaming.changelog import ChangeLog
+from furrow.streaming.keyed import InsertLog, UpsertTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -163,6 +164,33 @@ def idempotent_insert(spark, sf):
     return events.insert_new(stored, arriving, events.EVENT_KEY)
 
 
+STORED_DDL = "event_uuid string, plot_id string, event_type string, ts timestamp, measure double"
+
+
+@query
+def stored_upsert(spark, sf):
+    """The merge into a stored table: events first, then updates in four batches by id."""
+    update = testbed.events(spark, sf).select(
+        "event_uuid", "plot_id", "event_type",
+        (F.col("ts") + F.when(F.col("event_type") == C.MARKET, F.expr("interval 1 hour")).otherwise(
+            F.expr("interval -1 hour"))).alias("ts"), (F.col("measure") + 1.0).alias("measure"))
+    table = UpsertTable(spark, work_dir(spark, "stored"), events.EVENT_KEY, STORED_DDL, ["ts", "event_uuid"])
+    table.upsert(testbed.events(spark, sf))
+    for part in range(4):
+        table.upsert(update.filter(F.pmod(F.xxhash64("event_uuid"), F.lit(4)) == part))
+    return table.current()
+
+
+@query
+def stored_insert(spark, sf):
+    """Idempotent insert into a stored log: what is stored first is asked for by key filters."""
+    sent = testbed.events(spark, sf)
+    log = InsertLog(spark, work_dir(spark, "stored"), events.EVENT_KEY, STORED_DDL)
+    log.insert(sent.filter(F.col("ts") < "2024-01-16"), 0)
+    log.insert(testbed.redelivered(sent), 1)
+    return log.rows().filter("batch_id = 1").drop("batch_id")
+
+
 @query
 def events_sorted(spark, sf):
     return events.sort_by_time(
@@ -642,8 +670,7 @@ def stream_dedup(spark, sf):
     path = work_dir(spark, "landing")
     twice.repartition(6, F.xxhash64("event_uuid", "copy")).drop("copy").write.parquet(path)
     stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    log = ChangeLog(spark, f"{root}/log", events.EVENT_KEY,
-                    "event_uuid string, plot_id string, event_type string, ts timestamp, measure double")
+    log = InsertLog(spark, f"{root}/log", events.EVENT_KEY, STORED_DDL)
     jobs.run_available(jobs.first_arrivals(stream, log, f"{root}/checkpoint"))
     return log.rows().drop("batch_id")
 

@@ -17,6 +17,7 @@ from furrow import contracts as C
 from furrow.functions import exact, text
 from furrow.operators import alerts, events, quality
 from furrow.streaming.changelog import ChangeLog
+from furrow.streaming.keyed import InsertLog
 
 SUMS_DDL = (
     "plot_id string, window_start timestamp, window_end timestamp, "
@@ -119,21 +120,12 @@ def current_alerts(sink: ChangeLog) -> DataFrame:
     return sink.current().select("plot_id", "window_end", F.inline("raised"))
 
 
-def first_arrivals(stream: DataFrame, log: ChangeLog, checkpoint: str) -> DataStreamWriter:
+def first_arrivals(stream: DataFrame, log: InsertLog, checkpoint: str) -> DataStreamWriter:
     """First arrival of each key, kept in a log for good; of copies in one batch the earliest stays.
 
-    A batch is reduced to a row per key first; the log's keys are then asked for those only.
+    A batch reads the stored buckets that may hold one of its keys, not the log.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rest = [c for c in batch.columns if c not in log.keys]
-        fresh = batch.groupBy(*log.keys).agg(
-            F.min_by(F.struct(*rest), F.struct("ts", *rest)).alias("row")).select(*log.keys, "row.*")
-        known = log.rows(before=batch_id).select(*[F.col(k).alias(f"known_{k}") for k in log.keys])
-        same = [F.col(k).eqNullSafe(F.col(f"known_{k}")) for k in log.keys]
-        log.write(fresh.join(known, same, "left_anti"), batch_id)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return stream.writeStream.foreachBatch(log.insert).option("checkpointLocation", checkpoint)
 
 
 def upserts(stream: DataFrame, log: ChangeLog, checkpoint: str) -> DataStreamWriter:

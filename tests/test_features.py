@@ -40,20 +40,31 @@ def _busy_plot(spark):
     ])
 
 
-def test_chunks_do_not_change_results(spark):
+def test_ranges_do_not_change_results(spark):
     df = _busy_plot(spark).cache()
-    whole = dict(seconds=10**8, target_rows=10**9)
     for fn in (features.asof_weather, features.price_change):
-        expected = sorted(map(str, fn(df, **whole).collect()))
-        for cut in (dict(seconds=3600, target_rows=10**9), dict(seconds=86400, target_rows=25),
-                    dict(seconds=600, target_rows=3)):
-            assert sorted(map(str, fn(df, **cut).collect())) == expected
+        expected = sorted(map(str, fn(df, ranges=1).collect()))
+        for ranges in (2, 7, 40, None):
+            assert sorted(map(str, fn(df, ranges=ranges).collect())) == expected
 
 
-def test_busy_stretch_is_cut(spark):
-    df = _busy_plot(spark).filter("plot_id = 'hot'")
-    sizes = spread.with_chunk(df, ["plot_id"], "ts", 86400, 100).groupBy("chunk").count()
-    assert sizes.agg(F.max("count")).first()[0] < 300
+def test_one_instant_spreads_over_ranges(spark):
+    df = event_rows(spark, *[
+        {"event_uuid": f"{i:05}", "event_type": C.SATELLITE if i % 9 else C.WEATHER, "temperature_c": float(i),
+         "ts": at(0) if i > 9 else at(-i)} for i in range(1000)])
+    rows = spread.ranged(df, ["plot_id", "ts", "event_uuid"], 10)
+    sizes = [r["count"] for r in rows.filter(F.col("ts") == at(0)).groupBy(spread.RANGE).count().collect()]
+    assert len(sizes) >= 8 and max(sizes) <= 300
+    found = features.asof_weather(df, ranges=10).collect()
+    # readings of an instant come before its passes, so the greatest id among them wins
+    assert {r.temperature_c for r in found if r.ts == at(0)} == {999.0}
+
+
+def test_carry_skips_ranges_without_the_value(spark):
+    df = event_rows(spark, {"event_uuid": "w", "ts": at(-1), "temperature_c": 7.0}, *[
+        {"event_uuid": f"{i:04}", "event_type": C.SATELLITE, "ts": at(i)} for i in range(200)])
+    found = features.asof_weather(df, ranges=9).collect()
+    assert len(found) == 200 and {r.temperature_c for r in found} == {7.0}
 
 
 def test_price_change(spark):

@@ -8,6 +8,7 @@ from furrow.operators import alerts, events
 from furrow.sources import testbed
 from furrow.streaming import jobs
 from furrow.streaming.changelog import ChangeLog
+from furrow.streaming.keyed import InsertLog
 from helpers import EVENT_DDL, at, event_rows
 
 
@@ -87,7 +88,7 @@ def test_a_replayed_batch_leaves_no_trace(spark, tmp_path):
 
 def test_dedup_stream_over_batches(spark, tmp_path):
     root = str(tmp_path)
-    log = ChangeLog(spark, f"{root}/log", events.EVENT_KEY, EVENT_DDL, compact_every=0)
+    log = InsertLog(spark, f"{root}/log", events.EVENT_KEY, EVENT_DDL)
     for i in range(2):
         land(event_rows(spark, {"event_uuid": "a", "ndvi": 0.1 * i}, {"event_uuid": "a", "plot_id": None},
                         {"event_uuid": f"new{i}", "ts": at(hours=-9 * i)},
