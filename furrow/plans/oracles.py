@@ -708,8 +708,7 @@ SELECT event_type, count(*) AS runs, count(*) FILTER (WHERE success) AS succeede
        CAST(count(*) FILTER (WHERE success) AS DOUBLE) / count(*) AS rate FROM runs GROUP BY 1"""
     out["data_drift"] = _drift()
     out["knn_topk"] = """
-WITH q AS (SELECT CAST(label AS BIGINT) AS query_id, min_by(embedding, vec_id) AS qe
-           FROM embeddings GROUP BY 1),
+WITH q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id,
              list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score
       FROM q CROSS JOIN embeddings),

@@ -614,7 +614,7 @@ def data_drift(spark, sf):
 @query
 def knn_topk(spark, sf):
     vectors = testbed.table(spark, sf, "embeddings")
-    found = similarity.knn(vectors, similarity.label_queries(vectors), 10)
+    found = similarity.knn(vectors, similarity.sampled_queries(vectors), 10)
     return found.withColumn("score", F.round("score", 6))
 
 

@@ -150,6 +150,22 @@ def test_knn_against_brute_force(spark, monkeypatch):
             assert [got[q, i + 1] for i in range(5)] == best.tolist()
 
 
+def test_knn_skips_clusters_that_cannot_matter(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_BYTES", 4096)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 16))
+    x = centres[rng.integers(0, 12, 900)] + 0.05 * rng.normal(size=(900, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    queries = similarity.sampled_queries(df, 30)
+    got = {(r.query_id, r.rank): r.vec_id for r in similarity.knn(df, queries, 4).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 900, 30):
+        best = np.lexsort((np.arange(900), -np.round(unit @ unit[q], 12)))[:4]
+        assert [got[q, i + 1] for i in range(4)] == best.tolist()
+    share = similarity.searched_share(df, queries, 4).first()
+    assert share.searched < share.pairs / 3
+
+
 def test_knn_without_queries(spark):
     df = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")
     none = df.filter("false").withColumnRenamed("vec_id", "query_id")
