@@ -56,11 +56,16 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Written once below the shared folder and read again: what several later steps need."""
+def stored(df: DataFrame, label: str, row_group: int | None = None) -> DataFrame:
+    """Written once below the shared folder and read again: what several later steps need.
+
+    A task that writes holds a row group of `row_group` bytes (by default the format's own size),
+    as does one that reads: tables of whole texts take a small one.
+    """
     spark = df.sparkSession
     path = work_dir(spark, label)
-    df.write.parquet(path)
+    writer = df.write.option("parquet.block.size", row_group) if row_group else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

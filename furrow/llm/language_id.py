@@ -208,7 +208,8 @@ def fit(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str
     # few rows of a frequent language are put in order
     part = F.least(F.lit(1.0), 4.0 * SAMPLE_PER_LANGUAGE / F.col("n"))
     ids = rows.select("id", "lang", F.xxhash64("id").alias("key"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # one row per language, counted before it is sent, so that the share is taken where rows lie
+    counts = broadcast_if_small(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), 100_000)
     first = Window.partitionBy("lang").orderBy("key", "id")
     chosen = broadcast_if_small(
         ids.join(counts, "lang").filter((F.col("key") / 2.0**64 + 0.5) <= part)
