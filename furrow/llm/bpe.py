@@ -71,7 +71,9 @@ class Words:
         ends = np.cumsum(counts)
         if not len(ends):
             return np.zeros(0, np.uint32), counts
-        return self.flat[np.repeat(self.start[slots] - ends + counts, counts) + np.arange(ends[-1])], counts
+        # places fit into 32 bits: a generation holds far fewer ids, as does a chunk of texts
+        first = (self.start[slots] - ends + counts).astype(np.int32)
+        return self.flat[np.repeat(first, counts) + np.arange(ends[-1], dtype=np.int32)], counts
 
 
 class Encoder:
@@ -89,7 +91,7 @@ class Encoder:
     def _recall(self, words: Iterable[str]) -> list[str]:
         """Takes words of the older generation along; returns those that neither holds."""
         new, old = self.new.known, self.old.known
-        missing = [w for w in dict.fromkeys(words) if w not in new]
+        missing = list(dict.fromkeys(w for w in words if w not in new))
         kept = [w for w in missing if w in old]
         self.new.add(kept, *self.old.ids(np.array([old[w] for w in kept], np.int64)))
         return [w for w in missing if w not in old] if kept else missing

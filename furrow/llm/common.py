@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -111,6 +112,17 @@ def in_chunks(
             first = last
     if held:
         yield _one(held)
+    held.clear()
+    release()
+
+
+def release() -> None:
+    """Gives memory that a task has freed back to the system: a Python worker lives on, idle or with
+    another stage's tasks, while the executor needs the room elsewhere."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:

@@ -235,6 +235,7 @@ def fit(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str
         texts = pdf["text"].sort_values().tolist()
         c = kmeans(weighted(grams(texts), idf), CENTROIDS).astype("<f4")
         floors = own_floors(texts, idf)
+        common.release()
         return pd.DataFrame({"lang": [key[0]], "c": [c.tobytes()], "floors": [floors.tobytes()]})
 
     fitted = sample.groupBy("lang").applyInPandas(
@@ -266,6 +267,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", name: str =
                 who, score[some], out[some] = m.predict([part.iloc[i] for i in some])
                 lang[some] = np.array(m.languages, object)[who]
             yield pd.DataFrame({"lang": lang, "score": score, "rejected": out})
+        common.release()
 
     return docs.select(*[common.col(c) for c in docs.columns if c != name],
                        judge(common.col(text_col)).alias(name))
