@@ -3,8 +3,11 @@
 A normalised vector is turned by a random rotation and coded by the signs of what comes out. With
 each code goes its correction factor, the cosine between the vector and its code. For another
 vector q, <code, q> divided by that factor is an unbiased estimate of the cosine, and its error
-stays within a bound that follows from the factor: a pair whose estimate plus bound is below the
-threshold is left out, all others are computed again exactly, in double precision.
+stays within a bound that follows from the factor. Codes (a bit per component) and factors are
+stored once per vector, beside the turned vector in bytes that stands for q; the bound covers what
+these bytes round off. Only codes, factors and bytes go to where vectors meet. A pair whose
+estimate plus bound is below the threshold, from either side, is left out; for those left open the
+vectors are fetched, and their cosines computed in double precision.
 
 Pairs come from an index over all rows: further rotations give more sign bits, cut into bands, and
 vectors that agree in a whole band meet. Bands grow with the logarithm of the number of vectors, so
@@ -37,6 +40,10 @@ BOUND = 5.0
 BLOCK = 256
 #: Pairs that are computed at a time.
 PAIRS = 20_000
+OPEN_DDL = "dim int, band int, key long, block long, other long, ids array<array<long>>, bits binary"
+OPEN = pa.schema([
+    ("dim", pa.int32()), ("band", pa.int32()), ("key", pa.int64()), ("block", pa.int64()),
+    ("other", pa.int64()), ("ids", pa.list_(pa.list_(pa.int64()))), ("bits", pa.binary())])
 
 
 @dataclasses.dataclass(frozen=True)
@@ -71,6 +78,13 @@ def factors(x: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return np.where(bits, turned, -turned).sum(axis=1) / math.sqrt(x.shape[1])
 
 
+def sketches(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Packed codes of unit vectors, their factors, the turned vectors in bytes, and the bytes' unit."""
+    bits, turned = codes(x), x @ rotation(x.shape[1], 0)
+    unit = np.abs(turned).max(axis=1) / 127
+    return np.packbits(bits, axis=1), factors(x, bits), np.rint(turned / unit[:, None]).astype(np.int8), unit
+
+
 def bands(x: np.ndarray, index: Index) -> np.ndarray:
     """A 64-bit key per vector and band."""
     dim = x.shape[1]
@@ -130,90 +144,155 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
-def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs with a cosine of at least the threshold.
+@dataclasses.dataclass(frozen=True)
+class Side:
+    """The stored sketches of a block's members."""
 
-    Estimates from the codes of `y` and their bounds leave out most pairs; the rest is exact.
-    """
-    dim = x.shape[1]
-    bits = codes(y)
-    factor = factors(y, bits)
-    signs = np.where(bits, 1.0, -1.0).astype(np.float32) / np.float32(math.sqrt(dim))
-    estimate = (x @ rotation(dim, 0)).astype(np.float32) @ signs.T / factor
-    error = BOUND * np.sqrt(np.maximum(1 - factor ** 2, 0)) / factor / math.sqrt(max(dim - 1, 1))
-    i, j = np.nonzero(estimate + error + 1e-5 >= threshold)
-    good = np.zeros(len(i), bool)
-    for at in range(0, len(i), PAIRS):
-        part = slice(at, at + PAIRS)
-        good[part] = np.einsum("ij,ij->i", x[i[part]], y[j[part]]) >= threshold
-    return i[good], j[good]
+    signs: np.ndarray
+    factor: np.ndarray
+    turned: np.ndarray
+    unit: np.ndarray
 
+    @staticmethod
+    def of(members: list[dict], dim: int) -> Side:
+        packed = np.frombuffer(b"".join(m["code"] for m in members), np.uint8).reshape(len(members), -1)
+        signs = np.unpackbits(packed, axis=1, count=dim).astype(np.float32) * 2 - 1
+        unit = np.array([m["unit"] for m in members])
+        bytes_ = np.frombuffer(b"".join(m["turned"] for m in members), np.int8).reshape(-1, dim)
+        return Side(signs / np.float32(math.sqrt(dim)), np.array([m["factor"] for m in members]),
+                    bytes_ * unit[:, None].astype(np.float32), unit)
+
+    def ceiling(self, other: Side) -> np.ndarray:
+        """Estimates of all cosines from the own turned vectors and the other's codes, plus bounds."""
+        dim = self.signs.shape[1]
+        spread = BOUND * np.sqrt(np.maximum(1 - other.factor ** 2, 0)) / math.sqrt(max(dim - 1, 1))
+        rounded = self.unit[:, None] / 2 * math.sqrt(dim)
+        return (self.turned @ other.signs.T + spread + rounded) / other.factor + 1e-5
+
+
+def undecided(x: Side, y: Side, threshold: float) -> np.ndarray:
+    """Which pairs the bounds leave open, by the codes of both sides."""
+    return (x.ceiling(y) >= threshold) & (y.ceiling(x).T >= threshold)
 
-def links(same: DataFrame, index: Index, threshold: float) -> DataFrame:
-    """same: id, dim, vec, copies. Rows (kind 0: id, number of linked vectors other than copies;
-    kind 1: a, b of a spanning forest)."""
-    keys = "id long, dim int, band int, key long, split long, vec binary, copies long, keys array<long>"
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sketched(same: DataFrame) -> DataFrame:
+    """id, code, factor, turned, unit per class: what is stored and sent instead of vectors."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims):
-                part = batch.filter(pa.array(dims == dim))
-                n = part.num_rows
-                own = bands(_unit(part.column("vec"), int(dim)), index)
-                row = np.repeat(np.arange(n), index.bands)
+            for dim, part in _by_dim(batch):
+                code, factor, turned, unit = sketches(_unit(part.column("vec"), dim))
                 yield pa.RecordBatch.from_arrays([
-                    part.column("id").take(pa.array(row)), part.column("dim").take(pa.array(row)),
-                    pa.array(np.tile(np.arange(index.bands), n), pa.int32()), pa.array(own.ravel())],
-                    names=["id", "dim", "band", "key"])
+                    part.column("id"), pa.array([c.tobytes() for c in code], pa.binary()),
+                    pa.array(factor), pa.array([t.tobytes() for t in turned], pa.binary()),
+                    pa.array(unit)], names=["id", "code", "factor", "turned", "unit"])
+
+    return same.select("id", "dim", "vec").mapInArrow(
+        run, "id long, code binary, factor double, turned binary, unit double")
+
 
-    spark = same.sparkSession
-    posted = common.stored(same.mapInArrow(post, "id long, dim int, band int, key long"), "bands")
+def posted(same: DataFrame, index: Index) -> DataFrame:
+    """id, dim, band, key: the bands under which each class may meet others."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, part in _by_dim(batch):
+                own = bands(_unit(part.column("vec"), dim), index)
+                row = pa.array(np.repeat(np.arange(part.num_rows), index.bands))
+                yield pa.RecordBatch.from_arrays([
+                    part.column("id").take(row), part.column("dim").take(row),
+                    pa.array(np.tile(np.arange(index.bands), part.num_rows), pa.int32()),
+                    pa.array(own.ravel())], names=["id", "dim", "band", "key"])
+
+    return same.select("id", "dim", "vec").mapInArrow(run, "id long, dim int, band int, key long")
+
+
+def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    dims = batch.column("dim").to_numpy()
+    for dim in np.unique(dims).tolist():
+        yield dim, batch.filter(pa.array(dims == dim))
+
+
+def links(same: DataFrame, index: Index, threshold: float) -> DataFrame:
+    """same: id, dim, vec, copies. Rows (kind 0: id, number of linked vectors other than copies;
+    kind 1: a, b of a spanning forest)."""
     by = ["dim", "band", "key"]
-    lists = common.stored(posted.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "lists")
-    # lists in blocks of members; a row per pair of blocks, with both blocks' vectors
-    met = posted.join(lists, by).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn(
+    postings = common.stored(posted(same, index), "bands")
+    sketch = common.stored(sketched(same), "codes")
+    lists = common.stored(postings.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "lists")
+    # lists in blocks of members; a row per pair of blocks, with both blocks' sketches
+    met = postings.join(lists, by).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    near = same.select("id", "vec", "copies")
-    blocks = common.stored(met.join(near, "id").groupBy(*by, "blocks", "block").agg(
-        F.collect_list(F.struct("id", "copies", "vec")).alias("members")), "blocks")
+    blocks = common.stored(met.join(sketch, "id").groupBy(*by, "blocks", "block").agg(
+        F.collect_list(F.struct("id", "code", "factor", "turned", "unit")).alias("members")), "blocks")
     one = blocks.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))) \
         .withColumnRenamed("members", "left")
     two = blocks.select(*by, F.col("block").alias("other"), F.col("members").alias("right"))
+    pair = [*by, "block", "other"]
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def leave_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each pair of blocks the members that are in open pairs, and these pairs as bits."""
+        for batch in batches:
+            rows = []
+            for at in range(batch.num_rows):
+                r, = batch.slice(at, 1).to_pylist()
+                x, y = (Side.of(r[side], r["dim"]) for side in ("left", "right"))
+                open_ = undecided(x, y, threshold)
+                if r["block"] == r["other"]:
+                    open_ = np.triu(open_, 1)
+                i, j = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+                if len(i):
+                    rows.append({**{k: r[k] for k in pair},
+                                 "ids": [[r["left"][k]["id"] for k in i], [r["right"][k]["id"] for k in j]],
+                                 "bits": np.packbits(open_[np.ix_(i, j)]).tobytes()})
+            yield pa.RecordBatch.from_pylist(rows, schema=OPEN)
+
+    opened = common.stored(one.join(two, [*by, "other"]).select(*pair, "left", "right").mapInArrow(
+        leave_open, OPEN_DDL), "open")
+    wanted = opened.select(*pair, "bits", F.posexplode("ids").alias("side", "of")).select(
+        *pair, "bits", "side", F.posexplode("of").alias("place", "id")).withColumn(
+            "bits", F.when((F.col("side") == 0) & (F.col("place") == 0), F.col("bits")))
+    fetched = wanted.join(same.select("id", "vec", "copies"), "id").groupBy(*pair).agg(
+        F.max("bits").alias("bits"),
+        F.collect_list(F.struct("side", "place", "id", "copies", "vec")).alias("members"))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind, a, b = [], [], []
-            for r in batch.to_pylist():
-                left, right = r["left"], r["right"]
+            for at in range(batch.num_rows):
+                r, = batch.slice(at, 1).to_pylist()
+                members = sorted(r["members"], key=lambda m: (m["side"], m["place"]))
+                left, right = ([m for m in members if m["side"] == side] for side in (0, 1))
                 x, y = (np.frombuffer(b"".join(m["vec"] for m in side), "<f8").reshape(-1, r["dim"])
                         for side in (left, right))
                 x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
-                i, j = linked(x, y, threshold)
-                if r["block"] == r["other"]:
-                    i, j = i[i < j], j[i < j]
+                i, j = np.divmod(np.flatnonzero(np.unpackbits(
+                    np.frombuffer(r["bits"], np.uint8), count=len(x) * len(y))), len(y))
+                good = np.concatenate([
+                    np.einsum("ij,ij->i", x[i[p:p + PAIRS]], y[j[p:p + PAIRS]]) >= threshold
+                    for p in range(0, len(i), PAIRS)])
+                i, j = i[good], j[good]
                 if not len(i):
                     continue
                 # a pair counts in the first band in which it meets
                 kx, ky = bands(x, index), bands(y, index)
                 first = np.concatenate([
-                    ~(kx[i[at:at + PAIRS], :r["band"]] == ky[j[at:at + PAIRS], :r["band"]]).any(axis=1)
-                    for at in range(0, len(i), PAIRS)])
+                    ~(kx[i[p:p + PAIRS], :r["band"]] == ky[j[p:p + PAIRS], :r["band"]]).any(axis=1)
+                    for p in range(0, len(i), PAIRS)])
                 i, j = i[first], j[first]
                 nx, ny = (np.array([m["copies"] for m in side]) for side in (left, right))
                 for side, n, m in ((left, np.bincount(i, ny[j], len(left)), i),
                                    (right, np.bincount(j, nx[i], len(right)), j)):
                     for k in np.unique(m).tolist():
                         kind.append(0), a.append(side[k]["id"]), b.append(int(n[k]))
-                for p, q in _forest(i, j + len(left)):
-                    kind.append(1), a.append(left[p]["id"]), b.append(right[q - len(left)]["id"])
+                # a vector of one block may stand on both sides
+                p, q = (np.array([m["id"] for m in side], np.int64)[m] for side, m in ((left, i), (right, j)))
+                ids, at_ = np.unique(np.concatenate([p, q]), return_inverse=True)
+                for p, q in _forest(at_[:len(i)], at_[len(i):]):
+                    kind.append(1), a.append(int(ids[p])), b.append(int(ids[q]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
                 names=["kind", "a", "b"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
-    return one.join(two, [*by, "other"]).select(
-        "dim", "band", "block", "other", "left", "right").mapInArrow(compare, "kind int, a long, b long")
+    return fetched.mapInArrow(exact, "kind int, a long, b long")
 
 
 def near_duplicates(

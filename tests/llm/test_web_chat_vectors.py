@@ -367,3 +367,21 @@ def test_run_over_tables(spark, sf_dir):
         own = np.array(t.encode(plain[r["doc_id"]], add_special_tokens=False).ids + [2], "<u4")
         assert r["ids_crc32"] == zlib.crc32(own[:r["length"]].tobytes())
     assert packing.Capacity().tokens == 1024
+
+
+@pytest.mark.parametrize("dim", [1, 2, 7, 64])
+def test_stored_codes_close_strangers_and_keep_links(dim):
+    rng = np.random.default_rng(dim)
+    x = rng.standard_normal((300, dim))
+    y = x + 0.2 * rng.standard_normal((300, dim))
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+
+    def side(v):
+        return embedding_dedup.Side.of([
+            {"code": c.tobytes(), "factor": f, "turned": t.tobytes(), "unit": u}
+            for c, f, t, u in zip(*embedding_dedup.sketches(v), strict=True)], dim)
+
+    left_open = embedding_dedup.undecided(side(x), side(y), 0.95)
+    assert left_open[x @ y.T >= 0.95].all()
+    if dim == 64:
+        assert left_open.mean() < 0.02
