@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +79,45 @@ def salted_metrics(events: DataFrame, salts: int = 16) -> DataFrame:
     return averages(_flat(merged))
 
 
+#: A plot-hour is hot with this share of all rows: no more than 100 can be.
+HOT_SHARE = 0.01
+
+
+def _hour_key() -> Column:
+    """One per plot and hour; null without a time. (Unlike `window`, it keeps rows without one.)"""
+    return F.concat(F.floor(F.unix_seconds("ts") / 3600).cast("string"), F.lit("@"),
+                    F.coalesce("plot_id", F.lit(C.UNKNOWN_PLOT)))
+
+
+def hot_hours(events: DataFrame, share: float = HOT_SHARE) -> DataFrame:
+    """hot (hour@plot), rows: plot-hours with at least that share of all rows, 1 / share at most.
+
+    From a frequent-items summary that tasks build and merge, so nothing is shuffled by key; its
+    counts are off by at most some hundredth of the share.
+    """
+    most = math.floor(1 / share)
+    summary = events.select(_hour_key().alias("key")).filter("key IS NOT NULL").agg(
+        F.expr(f"approx_top_k(key, {most}, {min(400 * most, 1_000_000)})").alias("top"),
+        F.count(F.lit(1)).alias("total"))
+    return summary.select("total", F.inline("top")).filter(F.col("count") >= F.col("total") * share) \
+        .select(F.col("item").alias("hot"), F.col("count").alias("rows"))
+
+
+def split_hot(events: DataFrame, share: float = HOT_SHARE) -> tuple[DataFrame, DataFrame]:
+    """Rows of hot plot-hours, and all others. The list of hot ones is short by its definition, so
+    it is broadcast."""
+    listed = F.broadcast(hot_hours(events, share).select("hot"))
+    keyed = events.withColumn("_key", F.coalesce(_hour_key(), F.lit("")))
+    same = F.col("_key") == F.col("hot")
+    return tuple(keyed.join(listed, same, how).drop("_key") for how in ("left_semi", "left_anti"))
+
+
+def hot_salted_metrics(events: DataFrame, salts: int = 16, share: float = HOT_SHARE) -> DataFrame:
+    """The same table with salts for hot plot-hours only; all others take one shuffle."""
+    hot, others = split_hot(events, share)
+    return salted_metrics(hot, salts).unionByName(hourly_metrics(others))
+
+
 def _alert(condition: Column, rule: tuple[str, str, float], message: Column) -> Column:
     return F.when(condition, F.struct(
         F.lit(rule[0]).alias("alert_type"), F.lit(rule[1]).alias("severity"),

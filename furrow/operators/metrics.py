@@ -205,6 +205,55 @@ def latency_p95(events: DataFrame, value: Column, keys: list[str], limit: float,
         "n_requests").withColumn("alarm", F.col("p95") > limit)
 
 
+#: Size of a sketch, and the error of its ranks that it stays within (some 7 standard deviations).
+SKETCH_K = 400
+RANK_ERROR = 0.02
+
+
+def latency_sketches(events: DataFrame, value: Column, keys: list[str]) -> DataFrame:
+    """A quantile sketch of the values of each key and minute, formed in the tasks that read them;
+    what is kept of the events for reports over any longer span. Nulls count nowhere."""
+    return events.select(*keys, "ts", value.cast("double").alias("x")).filter("x IS NOT NULL").groupBy(
+        *keys, F.date_trunc("minute", "ts").alias("start")).agg(
+            F.kll_sketch_agg_double("x", SKETCH_K).alias("sketch"))
+
+
+def rolled_up(sketches: DataFrame, keys: list[str], span: str) -> DataFrame:
+    """Sketches of longer spans merged from shorter ones, without the values."""
+    return sketches.groupBy(*keys, F.window("start", span)["start"].alias("start")).agg(
+        F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch"))
+
+
+def sketch_report(sketches: DataFrame, keys: list[str], limit: float, q: float = 0.95) -> DataFrame:
+    """Percentile, count and alarm per key and span. The alarm is `over` or `under` where the limit
+    is passed, or kept, at both ends of what the percentile may be, and `open` between them."""
+    at = lambda r: F.kll_sketch_get_quantile_double("sketch", F.lit(min(max(r, 0.0), 1.0)))
+    return sketches.select(
+        *keys, "start", at(q).alias("quantile"), F.kll_sketch_get_n_double("sketch").alias("n"),
+        F.when(at(q - RANK_ERROR) > limit, "over").when(at(q + RANK_ERROR) <= limit, "under")
+        .otherwise("open").alias("alarm"))
+
+
+def sketch_check(events: DataFrame, value: Column, report: DataFrame, keys: list[str], span: str,
+                 q: float = 0.95) -> DataFrame:
+    """Per key and span of a report: how many values there are, and whether the reported percentile's
+    true rank is within the error that sketches promise."""
+    x, quantile, n = F.col("x"), F.col("quantile"), F.count(F.lit(1))
+    rows = events.select(*keys, F.window("ts", span)["start"].alias("start"),
+                         value.cast("double").alias("x")).filter("x IS NOT NULL")
+    # equal values take one row, so a busy key spreads and shrinks before it meets its report
+    counts = rows.groupBy(*keys, "start", "x").agg(n.alias("copies"))
+    of = report.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("start").alias("_start"), "quantile")
+    same = F.col("start") == F.col("_start")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    share = lambda which: F.sum(F.when(which, F.col("copies")).otherwise(0)) / F.sum("copies")
+    return counts.join(of, same).groupBy(*keys, "start").agg(
+        F.sum("copies").alias("n"),
+        ((share(x < quantile) <= q + RANK_ERROR) & (share(x <= quantile) >= q - RANK_ERROR))
+        .alias("within"))
+
+
 def success_rate(runs: DataFrame, key: str = "event_type") -> DataFrame:
     return runs.groupBy(key).agg(
         F.count(F.lit(1)).alias("runs"), F.count_if("success").alias("succeeded"),

@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from furrow import contracts as C
 from furrow.operators.events import once
@@ -141,6 +142,78 @@ def contract_drift(records: DataFrame) -> DataFrame:
     )
 
 
+#: Levels of keys below `data` that are told apart.
+DRIFT_DEPTH = 3
+
+
+def _kind(value: Column) -> Column:
+    of = F.regexp_extract(F.schema_of_variant(value), "^[A-Z_]+", 0)
+    return F.when(of.isin("OBJECT", "ARRAY", "STRING", "BOOLEAN"), F.lower(of)) \
+        .when(of == "VOID", "null").otherwise("number")
+
+
+def _contract_paths(fields: StructType, above: str = "") -> list[tuple[str, str]]:
+    found = []
+    for field in fields:
+        kind = {"string": "string", "struct": "object"}.get(field.dataType.typeName(), "number")
+        found.append((above + field.name, kind))
+        if kind == "object":
+            found += _contract_paths(field.dataType, f"{above}{field.name}.")
+    return found
+
+
+def typed_drift(records: DataFrame) -> DataFrame:
+    """Every key below `data`, nested ones too, with its kind of value, against the contract.
+
+    event_type, path, kind, n (records), state, change. state: `known`; `null`; `changed` (another
+    kind than the contract's); `unknown` (not in the contract); `missing` (in the contract, never
+    seen). Changed and missing keys break readers, unknown and null ones do not. Texts that are not
+    JSON and records without an event type are counted as rows of their own, without a type. Keys
+    deeper than DRIFT_DEPTH are not entered; items of arrays have the path of their array and `[]`.
+    The text is parsed and read once, and each task sends one row per type, path and kind.
+    """
+    spark = records.sparkSession
+    explode = spark.tvf.variant_explode_outer
+    body = records.select(F.try_parse_json("value").alias("v")).select(
+        F.col("v").isNull().alias("undecodable"),
+        F.try_variant_get("v", "$.event_type", "string").alias("event_type"),
+        F.try_variant_get("v", "$.data", "variant").alias("v0"))
+    for level in range(1, DRIFT_DEPTH + 1):
+        inner = body.lateralJoin(explode(F.col(f"v{level - 1}").outer()))
+        body = inner.withColumnsRenamed({"pos": f"p{level}", "key": f"k{level}", "value": f"v{level}"})
+    path, first, at = F.lit(""), F.lit(True), []
+    for level in range(DRIFT_DEPTH, 0, -1):
+        # a key stands in a row for each key below it, and counts in the first of them
+        at.append((level, first))
+        first = first & (F.coalesce(F.col(f"p{level}"), F.lit(0)) == 0)
+    firsts = dict(at)
+    items = []
+    for level in range(1, DRIFT_DEPTH + 1):
+        step = F.coalesce(F.col(f"k{level}"), F.lit("[]"))
+        path = step if level == 1 else F.concat(
+            path, F.when(F.col(f"k{level}").isNull(), "[]").otherwise(F.concat(F.lit("."), f"k{level}")))
+        items.append(F.when(firsts[level] & F.col(f"v{level}").isNotNull(), F.struct(
+            path.alias("path"), _kind(F.col(f"v{level}")).alias("kind"))))
+    none = F.lit(None).cast("string").alias("path")
+    lost = F.when(first, F.array(F.struct(none, F.when(F.col("undecodable"), "undecodable")
+                                          .otherwise("untyped").alias("kind"))))
+    seen = body.select("event_type", F.inline(F.when(
+        F.col("event_type").isNull(), lost).otherwise(F.array_compact(F.array(*items))))).groupBy(
+            "event_type", "path", "kind").agg(F.count(F.lit(1)).alias("n"))
+    kinds = dict(_contract_paths(StructType.fromDDL(C.DATA_DDL)))
+    expected = spark.createDataFrame(
+        [(t, p, kind) for t, keys in C.DATA_KEYS.items() for p, kind in kinds.items()
+         if p.split(".")[0] in keys], "event_type string, path string, wanted string")
+    state = F.when(F.col("n").isNull(), "missing") \
+        .when(F.col("event_type").isNull(), F.col("kind")).when(F.col("wanted").isNull(), "unknown") \
+        .when(F.col("kind").isin("null"), "null").when(F.col("kind") == F.col("wanted"), "known") \
+        .otherwise("changed")
+    return seen.join(expected, ["event_type", "path"], "full_outer").select(
+        "event_type", "path", "kind", F.coalesce("n", F.lit(0)).alias("n"), state.alias("state")).withColumn(
+            "change", F.when(F.col("state") == "known", "none")
+            .when(F.col("state").isin("unknown", "null"), "compatible").otherwise("breaking"))
+
+
 def run_metrics(events: DataFrame, min_rows: int = 1) -> DataFrame:
     """Rows per run (one per event type and day) against the least number wanted."""
     return (

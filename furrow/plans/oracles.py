@@ -346,6 +346,44 @@ wide AS (SELECT reading, {', '.join(cols)} FROM items GROUP BY 1)
 SELECT wide.*, psi.psi FROM wide JOIN psi USING (reading)"""
 
 
+def _typed_drift(always: dict[str, list[str]]) -> str:
+    """Rows per type, path and kind of value, out of the events the texts were made of."""
+    number = "CAST(event_uuid AS BIGINT)"
+    as_text, untyped = f"{number} % 50 = 0", f"{number} % 97 = 0 AND {number} % 50 <> 0"
+    texts = {"report_type", "description", "language", "severity", "image_url", "market_location",
+             "band_combination"}
+    out = []
+
+    def add(kind_of, path, kind, state, change, cond, least=1):
+        of = f"'{kind_of}'" if kind_of else "CAST(NULL AS VARCHAR)"
+        path, kind = (f"'{x}'" if x else "CAST(NULL AS VARCHAR)" for x in (path, kind))
+        out.append(f"SELECT {of} AS event_type, {path} AS path, {kind} AS kind, count(*) AS n, "
+                   f"'{state}' AS state, '{change}' AS change FROM ev WHERE {cond} "
+                   f"HAVING count(*) >= {least}")
+
+    add(None, None, "undecodable", "undecodable", "breaking", "k IN (29, 30)")
+    add(None, None, "untyped", "untyped", "breaking", f"k NOT IN (29, 30) AND {untyped}")
+    for kind_of, keys in C.DATA_KEYS.items():
+        base = f"event_type = '{kind_of}' AND k NOT IN (29, 30) AND NOT ({untyped})"
+        for key in keys:
+            if key == "image_url":
+                add(kind_of, key, "string", "known", "none", f"{base} AND k % 2 = 0")
+            elif key == "humidity_pct":
+                add(kind_of, key, "number", "known", "none", f"{base} AND NOT ({as_text})")
+                add(kind_of, key, "string", "changed", "breaking", f"{base} AND {as_text}")
+            elif key == "forecast_3d":
+                add(kind_of, key, "object", "known", "none", base)
+                for inner in ("temp_max", "rain_probability"):
+                    add(kind_of, f"{key}.{inner}", "number", "known", "none", base)
+            elif key in always[kind_of]:
+                add(kind_of, key, "string" if key in texts else "number", "known", "none", base)
+            else:
+                add(kind_of, key, None, "missing", "breaking", "false", 0)
+    add(C.SOIL, "firmware", "number", "unknown", "compatible",
+        f"event_type = '{C.SOIL}' AND k < 10 AND NOT ({untyped})")
+    return f"{BASE} " + " UNION ALL ".join(out)
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     first_page = f"{BASE}, {SRC_ALL}, {HOURLY}"
@@ -428,6 +466,7 @@ SELECT plot_id, window_start, window_end, n_ndvi, n_moisture, n_temp, avg_ndvi,
        avg_temp FROM hm"""
     out["hourly_plot_metrics"] = hourly
     out["salted_metrics"] = hourly
+    out["hot_salted_metrics"] = hourly
     for key in ("plot_alerts", "stream_alerts", "stream_alert_sink"):
         out[key] = f"{ALERT_BASE} SELECT * FROM alerts"
     out["heat_air_only"] = f"""{BASE},
@@ -571,6 +610,7 @@ SELECT event_uuid, CASE WHEN reasons = '' THEN 'accepted' ELSE 'quarantined' END
         f"SELECT '{C.SOIL}', 'firmware', count(*), 'unknown' FROM ev "
         f"WHERE event_type = '{C.SOIL}' AND k < 10")
     out["contract_drift"] = f"{BASE} " + " UNION ALL ".join(per_key)
+    out["contract_typed_drift"] = _typed_drift(always)
     out["ingest_run_metrics"] = f"""{BASE}
 SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS run_day, count(*) AS records,
        count(DISTINCT coalesce(plot_id, crop)) AS sources, count(*) >= 20 AS enough
@@ -701,6 +741,11 @@ SELECT *, lag > 100 OR coalesce(growth, 0) > 50 AS alarm FROM g"""
 SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day,
        round(quantile_cont(measure, 0.95), 6) AS p95, count(*) AS n_requests,
        quantile_cont(measure, 0.95) > 150 AS alarm FROM ev GROUP BY 1, 2"""
+    out["latency_sketches"] = f"{BASE} " + " UNION ALL ".join(
+        f"SELECT '{span}' AS span, event_type, {start} AS start, count(measure) AS n, true AS within "
+        f"FROM ev WHERE measure IS NOT NULL GROUP BY 2, 3" for span, start in (
+            ("5 minutes", "time_bucket(INTERVAL 5 MINUTE, ts)"), ("1 hour", "date_trunc('hour', ts)"),
+            ("1 day", "CAST(date_trunc('day', ts) AS TIMESTAMP)")))
     out["run_success_rate"] = f"""{BASE},
 runs AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) % 2 = 0 AS success FROM ev
          GROUP BY 1, 2)

@@ -252,6 +252,11 @@ def salted_metrics(spark, sf):
     return alerts.salted_metrics(testbed.events(spark, sf, alerts.SOURCES))
 
 
+@query
+def hot_salted_metrics(spark, sf):
+    return alerts.hot_salted_metrics(testbed.events(spark, sf, alerts.SOURCES))
+
+
 @query
 def plot_alerts(spark, sf):
     return _alerts(spark, sf)
@@ -477,6 +482,17 @@ def contract_drift(spark, sf):
     return quality.contract_drift(_payloads(spark, sf))
 
 
+@query
+def contract_typed_drift(spark, sf):
+    """Every 50th record sends a number as text, every 97th has no event type."""
+    number = F.col("record_id").cast("long")
+    sent = F.when(number % 50 == 0, F.regexp_replace(
+        "value", '"humidity_pct":([0-9.]+)', '"humidity_pct":"$1"')).when(
+            number % 97 == 0, F.replace("value", F.lit('"event_type"'), F.lit('"kind"'))).otherwise(
+                F.col("value"))
+    return quality.typed_drift(_payloads(spark, sf).select(sent.alias("value")))
+
+
 @query
 def ingest_run_metrics(spark, sf):
     return quality.run_metrics(testbed.events(spark, sf), 20)
@@ -592,6 +608,20 @@ def latency_p95(spark, sf):
         ["event_type", "day"], 150.0).withColumn("p95", F.round("p95", 6))
 
 
+@query
+def latency_sketches(spark, sf):
+    """Percentiles from sketches per minute, merged step by step, against the ranks of all values."""
+    rows, keys = testbed.events(spark, sf), ["event_type"]
+    sketches = metrics.latency_sketches(rows, F.col("measure"), keys)
+    checked = []
+    for span in ("5 minutes", "1 hour", "1 day"):
+        sketches = metrics.rolled_up(sketches, keys, span)
+        report = metrics.sketch_report(sketches, keys, C.LATENCY_P95_LIMIT_MS)
+        checked.append(metrics.sketch_check(rows, F.col("measure"), report, keys, span).select(
+            F.lit(span).alias("span"), "event_type", "start", "n", "within"))
+    return events.union_all(*checked)
+
+
 @query
 def run_success_rate(spark, sf):
     runs = quality.run_metrics(testbed.events(spark, sf)).withColumn(
