@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +104,22 @@ def write(
     joined.select(record.alias("value")).write.option("lineSep", END).text(path)
 
 
+@contextmanager
+def _same_splits(spark: SparkSession) -> Iterator[None]:
+    """Scans inside cut their files alike, whether executors come or go between them: the size of a
+    split follows from a number that is set once, not from the cores there are at each scan."""
+    key = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(before or spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """What stands between magic lines, with the file and the split it was read in."""
     return spark.read.option("lineSep", MAGIC).text(path).select(
@@ -300,20 +317,29 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """file, at, header, payload_bytes, digest of every record of the archives below a folder.
 
     A file whose chain breaks gives its records up to the break; bytes no record covers give none.
-    An empty folder gives no rows.
+    An empty folder gives no rows. The archives are read a second time where payloads hold the magic;
+    a digest that this leaves out (the files have changed) is an error.
     """
+    with _same_splits(spark):
+        return _read(spark, path)
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
     index = common.stored(_index(spark, path), "warc-index")
     by_file = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     bases = index.groupBy("file", "split").agg(F.max(F.col("rel") + F.col("size")).alias("total")) \
         .select("file", "split", F.coalesce(F.sum("total").over(by_file), F.lit(0)).alias("base"))
     owned = common.stored(_owners(index, bases), "warc-pieces")
-    digests = _long_digests(spark, path, owned).withColumnRenamed("digest", "long_digest")
+    digests = common.stored(
+        _long_digests(spark, path, owned).withColumnRenamed("digest", "long_digest"), "warc-digests")
     return owned.filter("start").join(index.select("file", "split", "rel", "header", "digest"),
                                       ["file", "split", "rel"]) \
         .join(digests, ["file", "at"], "left").select(
             "file", "at", "header",
             field("Content-Length").cast("long").alias("payload_bytes"),
-            F.coalesce("digest", "long_digest").alias("digest"))
+            F.coalesce("digest", "long_digest", F.raise_error(F.concat(
+                F.lit("no digest of the record at "), F.col("at").cast("string"), F.lit(" of "), F.col("file"))))
+            .alias("digest"))
 
 
 def field(name: str) -> Column:

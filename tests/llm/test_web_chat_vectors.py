@@ -385,3 +385,22 @@ def test_stored_codes_close_strangers_and_keep_links(dim):
     assert left_open[x @ y.T >= 0.95].all()
     if dim == 64:
         assert left_open.mean() < 0.02
+
+
+def test_both_scans_of_archives_split_alike(spark, monkeypatch):
+    key, seen, lines = "spark.sql.files.minPartitionNum", [], warc._lines
+
+    def counted(session, path):
+        seen.append(session.conf.get(key))
+        return lines(session, path)
+
+    monkeypatch.setattr(warc, "_lines", counted)
+    path = work_dir(spark, "warc")
+    inner = "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 40
+    warc.write(spark.createDataFrame([(i, "u", f"{i}{inner}") for i in range(30)],
+                                     "page_id long, url string, html string"), path)
+    got = warc.page_records(warc.read(spark, path)).collect()
+    assert {r["page_id"]: r["payload_digest"] for r in got} == {
+        i: hashlib.sha1(f"{i}{inner}".encode()).hexdigest() for i in range(30)}
+    assert len(seen) == 2 and len(set(seen)) == 1
+    assert spark.conf.get(key, None) is None
