@@ -396,6 +396,7 @@ FROM ev WHERE k NOT IN (29, 30)"""
     out["json_roundtrip"] = f"""{BASE}
 SELECT event_uuid, event_type, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS "timestamp", plot_id, crop,
        ndvi, temperature_c, moisture_pct, price AS price_per_quintal_inr FROM ev"""
+    out["json_array_roundtrip"] = out["json_roundtrip"]
     out["topic_route"] = f"""{BASE}
 SELECT topic, coalesce(plot_id, crop) AS key,
        '{{"event_uuid":"' || event_uuid || '","event_type":"' || event_type || '","ts":"'

@@ -104,6 +104,19 @@ def json_roundtrip(spark, sf):
         "data.temperature_c", "data.moisture_pct", "data.price_per_quintal_inr")
 
 
+@query
+def json_array_roundtrip(spark, sf):
+    """The same through indented files of one array each, read in splits."""
+    path = work_dir(spark, "array")
+    io.write_json_array(testbed.events(spark, sf).select(
+        "event_uuid", "event_type", F.date_format("ts", events.ISO_MICROS).alias("timestamp"),
+        "plot_id", "crop",
+        F.struct("ndvi", "temperature_c", "moisture_pct", "price_per_quintal_inr").alias("data")), path)
+    return io.read_json_array(spark, path, 8 << 20).select(
+        "event_uuid", "event_type", "timestamp", "plot_id", "crop", "data.ndvi",
+        "data.temperature_c", "data.moisture_pct", "data.price_per_quintal_inr")
+
+
 @query
 def topic_route(spark, sf):
     return events.to_topic_records(

@@ -8,14 +8,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from furrow import contracts as C
+from furrow.operators.events import once
+from furrow.sources import json_array
 
 ROWS_PER_FILE = 5_000_000
 
 
-def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """Events from files that each hold one JSON array. Such a file cannot be split, so large
-    inputs should come as JSON lines."""
-    return spark.read.schema(C.EVENT_DDL).option("multiLine", True).json(path)
+def read_json_array(spark: SparkSession, path: str, split_bytes: int = json_array.SPLIT_BYTES) -> DataFrame:
+    """Events from files that each hold one JSON array, large ones in splits."""
+    texts = json_array.elements(spark, path, split_bytes)
+    return once(texts, "event", F.from_json("value", C.EVENT_DDL)).select("event.*")
+
+
+def write_json_array(events: DataFrame, path: str) -> None:
+    """Indented array files, one per partition."""
+    json_array.write(events.select(
+        F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")), path)
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
