@@ -468,6 +468,9 @@ SELECT plot_id, window_start, window_end, n_ndvi, n_moisture, n_temp, avg_ndvi,
     out["hourly_plot_metrics"] = hourly
     out["salted_metrics"] = hourly
     out["hot_salted_metrics"] = hourly
+    out["stream_closed_hours"] = hourly
+    out["stream_admission"] = """
+SELECT count(*) AS input_rows, true AS bytes_within_bound, true AS listener_agrees FROM events"""
     for key in ("plot_alerts", "stream_alerts", "stream_alert_sink"):
         out[key] = f"{ALERT_BASE} SELECT * FROM alerts"
     out["heat_air_only"] = f"""{BASE},

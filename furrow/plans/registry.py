@@ -18,7 +18,7 @@ from furrow.operators import (
 from furrow.functions import text
 from furrow.sources import io, testbed
 from furrow.session import checkpoint_root, configure, work_dir, zoneless
-from furrow.streaming import jobs
+from furrow.streaming import hours, jobs, progress
 from furrow.streaming.changelog import ChangeLog
 from furrow.streaming.keyed import InsertLog, UpsertTable
 
@@ -703,6 +703,51 @@ def stream_alert_sink(spark, sf):
     return jobs.current_alerts(sink)
 
 
+@query
+def stream_closed_hours(spark, sf):
+    """Hours closed once by their timers, late readings put back: all readings, over batches of no
+    order in time. A row far ahead, of no real plot, lets the last hours close."""
+    root = work_dir(spark, "hours")
+    rows = testbed.events(spark, sf, alerts.SOURCES).select("ts", "plot_id", "ndvi", "moisture_pct", "temperature_c")
+    landing = work_dir(spark, "landing")
+    rows.repartition(6, F.xxhash64("ts", "plot_id")).write.parquet(landing)
+    rows.agg(F.timestamp_add("DAY", F.lit(2), F.max("ts")).alias("ts")).filter("ts IS NOT NULL").select(
+        "ts", F.lit("end of stream").alias("plot_id"),
+        *[F.lit(None).cast("double").alias(name) for name in rows.columns[2:]]).coalesce(1).write.mode("append").parquet(landing)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    jobs.run_available(jobs.append_files(
+        hours.hour_stream(stream), f"{root}/out", f"{root}/checkpoint", "kind"))
+    return hours.corrected(spark.read.parquet(f"{root}/out")).filter(
+        F.col("plot_id") != "end of stream")
+
+
+@query
+def stream_admission(spark, sf):
+    """A landing of many files taken in batches of bounded bytes, and what the listener saw of it."""
+    root = work_dir(spark, "admission")
+    rows = testbed.events(spark, sf).select("event_uuid", "ts", "plot_id", "measure")
+    rows.repartition(24, "event_uuid").write.parquet(f"{root}/in")
+    sizes = spark.read.parquet(f"{root}/in").select("_metadata.file_path", "_metadata.file_size").distinct()
+    largest, total = sizes.agg(F.max("file_size"), F.sum("file_size")).first()
+    bound = max(largest or 1, (total or 0) // 5)
+    seen = progress.ProgressLog()
+    spark.streams.addListener(seen)
+    try:
+        run = jobs.run_available(progress.files_taken(
+            spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", bound).parquet(f"{root}/in"),
+            f"{root}/taken", f"{root}/checkpoint"))
+        told = seen.wait(spark, str(run.id))
+    finally:
+        spark.streams.removeListener(seen)
+    taken = spark.read.parquet(f"{root}/taken").groupBy("batch_id").agg(
+        F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
+    return taken.join(told, "batch_id", "left").agg(
+        F.coalesce(F.sum("input_rows"), F.lit(0)).alias("input_rows"),
+        F.coalesce(F.bool_and(F.col("bytes") <= bound), F.lit(True)).alias("bytes_within_bound"),
+        F.coalesce(F.bool_and(F.coalesce(F.col("rows") == F.col("input_rows"), F.lit(False))), F.lit(True))
+        .alias("listener_agrees"))
+
+
 @query
 def stream_dedup(spark, sf):
     """Of events of which every tenth is sent twice, the copies being equal, one stays."""
