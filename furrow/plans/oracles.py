@@ -778,6 +778,7 @@ SELECT g.event_uuid AS pass_id, g.plot_id, g.ts AS pass_ts, g.ndvi, w.event_uuid
 FROM ev g LEFT JOIN ev w ON g.plot_id = w.plot_id AND w.ts <= g.ts
   AND w.ts >= g.ts - INTERVAL 6 HOUR AND w.event_type = '{C.WEATHER}'
 WHERE g.event_type = '{C.SATELLITE}'"""
+    out["stream_engine_join"] = out["stream_interval_join"]
     out["late_events"] = f"""{BASE},
 a AS (SELECT event_uuid, plot_id, ts, CAST(date_diff('day', DATE '2024-01-01',
              CAST(ts + to_hours(k) AS DATE)) // 10 AS INT) AS instalment FROM ev),

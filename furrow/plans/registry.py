@@ -18,7 +18,7 @@ from furrow.operators import (
 from furrow.functions import text
 from furrow.sources import io, testbed
 from furrow.session import checkpoint_root, configure, work_dir, zoneless
-from furrow.streaming import hours, jobs, progress
+from furrow.streaming import hours, interval, jobs, progress
 from furrow.streaming.changelog import ChangeLog
 from furrow.streaming.keyed import InsertLog, UpsertTable
 
@@ -806,6 +806,28 @@ def stream_interval_join(spark, sf):
     return jobs.current_pairs(log)
 
 
+@query
+def stream_engine_join(spark, sf):
+    """The same in the engine's join state, in instalments of no order in time; rows far ahead, of no
+    real plot, let the last passes without a reading come out."""
+    root, end = work_dir(spark, "engine-join"), "end of stream"
+    join = interval.IntervalJoin(spark, f"{root}/join")
+    sides = {
+        "passes": testbed.events(spark, sf, [C.SATELLITE]).select("event_uuid", "plot_id", "ts", "ndvi"),
+        "readings": testbed.events(spark, sf, [C.WEATHER]).select("event_uuid", "plot_id", "ts", "temperature_c"),
+    }
+    ahead = testbed.events(spark, sf).agg(F.timestamp_add("DAY", F.lit(2), F.max("ts")).alias("ts"))
+    for n in range(4):
+        for name, rows in sides.items():
+            part = rows.filter(F.pmod(F.xxhash64("event_uuid"), F.lit(3)) == n) if n < 3 else ahead.select(
+                F.lit(end).alias("event_uuid"), F.lit(end).alias("plot_id"), "ts",
+                F.lit(0.0).alias(rows.columns[3]))
+            part.write.mode("append").parquet(f"{root}/{name}")
+        join.run(*(spark.readStream.schema(rows.schema).parquet(f"{root}/{name}")
+                   for name, rows in sides.items()))
+    return join.pairs().filter(F.col("pass_id") != end)
+
+
 @query
 def late_events(spark, sf):
     """Events arrive k hours after they happen, in instalments of ten days."""
