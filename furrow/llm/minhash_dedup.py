@@ -103,13 +103,14 @@ def sets(docs: DataFrame, n: int = shingles.SHINGLE) -> DataFrame:
 def posted(classes: DataFrame) -> DataFrame:
     """token, id, n_shingles, weight: what each class is posted under (see 2 and 3 above). A class
     weighs as much as its tokens are common: in a group of near copies, the one in their middle."""
-    tokens = classes.select("id", "n_shingles", F.posexplode("signature").alias("k", "value")).select(
-        "id", "n_shingles",
+    one = ["id", "n_shingles", "set_a", "set_b"]  # an id may stand for several classes
+    tokens = classes.select(*one, F.posexplode("signature").alias("k", "value")).select(
+        *one,
         F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(
             F.col("value").cast("long").bitwiseAND(0xFFFFFFFF)).alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
     long_ = F.col("f") > LONG_LIST
-    by_class = Window.partitionBy("id")
+    by_class = Window.partitionBy(*one)
     value = F.col("token").bitwiseAND(0xFFFFFFFF)
     ranked = tokens.join(shared, "token").withColumns({
         "from_end": F.row_number().over(by_class.orderBy(F.desc("f"), F.desc("token"))),
@@ -241,6 +242,16 @@ class _Block:
         return np.nonzero(likely & (100 * inter >= percent * total))
 
 
+def links_of_ids(usable: DataFrame, of_class: DataFrame, same: tuple[str, ...]) -> DataFrame:
+    """Links between an id and the classes of its texts, for ids that have different ones."""
+    key = F.struct(*same)
+    several = usable.groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")) \
+        .filter("low <> high").select("doc_id")
+    held = usable.join(several, "doc_id", "left_semi").select("doc_id", *same).distinct()
+    return held.join(of_class, list(same)).filter("id <> doc_id").select(
+        F.least("id", "doc_id").alias("a"), F.greatest("id", "doc_id").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, percent: int = 75, n: int = shingles.SHINGLE,
     id_col: str = "doc_id", text_col: str = "text",
@@ -249,8 +260,9 @@ def near_duplicates(
 
     Documents are linked when their sets of n-word shingles have a likeness of at least `percent`
     hundredths. Null and empty texts, and texts without words, have no shingles and are linked with
-    nothing. Rows with one id count as one document of several texts; rows without an id are linked
-    with nothing and kept. Other columns are ignored.
+    nothing. Rows with one id count as one document of several texts, linked with whatever one of
+    these is linked with; rows without an id are linked with nothing and kept. Other columns are
+    ignored.
     """
     narrow = docs.select(
         common.col(id_col).cast("long").alias("doc_id"), common.col(text_col).alias("text"))
@@ -262,8 +274,9 @@ def near_duplicates(
     classes = common.stored(
         usable.join(of_class.select("id", *(F.col(c).alias(f"own_{c}") for c in same)),
                     [F.col("doc_id") == F.col("id"), *(F.col(c) == F.col(f"own_{c}") for c in same)])
-        .select("id", "n_shingles", "signature").dropDuplicates(["id", "n_shingles"]), "classes")
-    part = components(links_between(classes, narrow, percent, n))
+        .select("id", *same, "signature").dropDuplicates(["id", *same]), "classes")
+    links = links_between(classes, narrow, percent, n).unionByName(links_of_ids(usable, of_class, same))
+    part = components(links)
     classes_of = of_class.filter("copies > 1").select(*same, F.col("id").alias("first"))
     labelled = every.join(classes_of, list(same), "left").withColumn(
         "first", F.when(F.col("n_shingles") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")))

@@ -303,6 +303,19 @@ def test_near_duplicates_in_long_lists(spark, monkeypatch):
     assert_components(docs_of(spark, texts))
 
 
+@pytest.mark.parametrize("other", [60, 58])
+def test_an_id_with_two_texts_joins_what_each_is_linked_with(spark, other):
+    rng = np.random.default_rng(other)
+    words = [f"w{k}" for k in range(2000)]
+    a, b, c = (" ".join(rng.choice(words, n)) for n in (60, other, 60))
+    near = lambda t: t + " one"
+    rows = [(5, a), (5, b), (2, near(a)), (3, near(b)), (9, a), (9, c), (8, c), (1, c), (5, a), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert_components(docs)
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert got == {**dict.fromkeys([1, 2, 3, 5, 8, 9], 1), 7: 7}
+
+
 # mixing ---------------------------------------------------------------------------------------
 
 
