@@ -34,3 +34,12 @@ def test_engine_join_in_any_order(spark, tmp_path):
     assert join.pairs().count() == len(got())
     op = query.lastProgress.stateOperators[0]
     assert op.numRowsDroppedByWatermark == 0 and op.numRowsTotal <= 4
+
+
+def test_engine_join_without_rows(spark, tmp_path):
+    root = str(tmp_path)
+    for name in ("sat", "rain"):
+        event_rows(spark).coalesce(1).write.parquet(f"{root}/{name}")
+    join = interval.IntervalJoin(spark, f"{root}/join")
+    join.run(*(spark.readStream.schema(EVENT_DDL).parquet(f"{root}/{n}") for n in ("sat", "rain")))
+    assert join.pairs().count() == 0
