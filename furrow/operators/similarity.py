@@ -23,11 +23,17 @@ from furrow.session import work_dir
 
 #: Bytes of a block's vectors: what one scoring step holds of either side.
 BLOCK_BYTES = 2 << 20
+#: Blocks that meet a cluster's queries in one place: what a task of the scoring join holds at a time.
+PLACE_BLOCKS = 32
+#: Queries scored against a block at a time.
+QUERY_ROWS = 512
 #: Vectors the centroids are fitted on, chosen by a hash of their ids, and the most centroids per
 #: length of vectors.
 SAMPLE, CENTROIDS, STEPS = 4096, 64, 8
 #: Margin on cosines, above the rounding of angles and sums.
 SLACK = 1e-6
+#: Margin on scores, above what rounding them to 12 digits moves them.
+ROUNDING = 1e-11
 
 
 def _unit_rows(batch: pa.RecordBatch, id_col: str) -> Iterator[tuple[object, np.ndarray]]:
@@ -150,18 +156,23 @@ def _met(blocks: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """The k best of each query in each block of its clusters: query_id, vec_id, score.
 
     asked: rows (query_id, dim, cluster, angle, data, floor); a query is there once per cluster to
-    look at, with its angle to that centroid and the score below which nothing matters. Blocks of a
-    cluster are dealt to several places, and its queries go to each, so a cluster with most of the
-    vectors is searched by many tasks.
+    look at, with its angle to that centroid and the score below which nothing matters. Some
+    PLACE_BLOCKS blocks of a cluster share a place and its queries go to each, so a cluster with
+    most of the vectors is searched by many tasks. Queries are sent to places by a shuffle, however
+    small their stored form looks: copied to all places they are too many for one process. The
+    queries of a place stream past its blocks.
     """
-    places = blocks.sparkSession.sparkContext.defaultParallelism
     id_kind = blocks.schema["ids"].dataType.elementType.simpleString()
     query_kind = asked.schema["query_id"].dataType.simpleString()
-    left = blocks.withColumn("place", F.pmod(F.xxhash64("block"), F.lit(places)))
-    right = _blocks(asked, "query_id", ["floor"]).select(
+    # at most CENTROIDS rows per length of vectors
+    places = F.broadcast(blocks.groupBy("dim", "cluster").agg(
+        F.ceil(F.count(F.lit(1)) / PLACE_BLOCKS).alias("places")))
+    right = blocks.join(places, ["dim", "cluster"]).withColumn(
+        "place", F.pmod(F.xxhash64("block"), F.col("places"))).drop("places")
+    left = _blocks(asked, "query_id", ["floor"]).join(places, ["dim", "cluster"]).select(
         "dim", "cluster", F.col("low").alias("query_low"), F.col("high").alias("query_high"),
         F.col("ids").alias("query_ids"), F.col("data").alias("query_data"), "floor",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(places - 1).cast("long"))).alias("place"))
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("places") - 1)).alias("place"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,24 +187,29 @@ def _met(blocks: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                 ids, query_ids = (batch.column(c)[i].as_py() for c in ("ids", "query_ids"))
                 x, q = (np.frombuffer(batch.column(c)[i].as_buffer(), "<f8").reshape(-1, n)
                         for c in ("data", "query_data"))
-                # equal vectors score alike wherever they stand in a block
-                scores, found = np.round(q @ x.T, 12), ([], [], [])
                 order = np.argsort(np.argsort(np.array(ids, object), kind="stable"), kind="stable")
-                for row, query in enumerate(query_ids):
-                    s = scores[row]
-                    least = floor[row]
-                    if len(s) > k:
-                        least = max(least, np.partition(s, len(s) - k)[len(s) - k])
-                    pool = np.flatnonzero(s >= least)
-                    top = pool[np.lexsort((order[pool], -s[pool]))[:k]]
-                    found[0].extend([query] * len(top))
-                    found[1].extend(ids[t] for t in top)
-                    found[2].extend(s[top].tolist())
+                found = ([], [], [])
+                for first in range(0, len(q), QUERY_ROWS):
+                    scores = q[first:first + QUERY_ROWS] @ x.T
+                    least = floor[first:first + QUERY_ROWS]
+                    if len(ids) > k and least.min() < -1:
+                        kth = len(ids) - k
+                        least = np.maximum(least, np.partition(scores, kth, axis=1)[:, kth])
+                    near = scores >= least[:, None] - ROUNDING
+                    for row in np.flatnonzero(near.any(axis=1)).tolist():
+                        pool = np.flatnonzero(near[row])
+                        # equal vectors score alike wherever they stand in a block
+                        s = np.round(scores[row, pool], 12)
+                        best = np.lexsort((order[pool], -s))
+                        best = best[s[best] >= floor[first + row]][:k]
+                        found[0].extend([query_ids[first + row]] * len(best))
+                        found[1].extend(ids[t] for t in pool[best])
+                        found[2].extend(s[best].tolist())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(found, (*kinds, pa.float64()), strict=True)],
                     names=["query_id", "vec_id", "score"])
 
-    return left.join(right, ["dim", "cluster", "place"]).select(
+    return left.hint("merge").join(right, ["dim", "cluster", "place"]).select(
         "dim", "low", "high", "ids", "data", "query_low", "query_high", "query_ids", "query_data", "floor"
     ).mapInArrow(score, f"query_id {query_kind}, vec_id {id_kind}, score double")
 

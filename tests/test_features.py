@@ -166,6 +166,27 @@ def test_knn_skips_clusters_that_cannot_matter(spark, monkeypatch):
     assert share.searched < share.pairs / 3
 
 
+def test_knn_sends_copied_queries_by_a_shuffle(spark, monkeypatch):
+    """Queries copied to the places of a cluster are never gathered for a broadcast, and several
+    places find what one does."""
+    monkeypatch.setattr(similarity, "BLOCK_BYTES", 1024)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 8))
+    x[600:900] = x[3]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    queries = similarity.sampled_queries(df)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(q, i + 1): v for q in range(0, 1200, 50)
+            for i, v in enumerate(np.lexsort((np.arange(1200), -np.round(unit @ unit[q], 12)))[:3].tolist())}
+    for blocks in (1, 32):
+        monkeypatch.setattr(similarity, "PLACE_BLOCKS", blocks, raising=False)
+        found = similarity.knn(df, queries, 3)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [dim" in plan
+        assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "place#" in line]
+        assert {(r.query_id, r.rank): r.vec_id for r in found.collect()} == want
+
+
 def test_knn_without_queries(spark):
     df = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")
     none = df.filter("false").withColumnRenamed("vec_id", "query_id")
