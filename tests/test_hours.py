@@ -52,6 +52,23 @@ def test_hours_close_once_and_late_readings_are_kept(spark, tmp_path):
         sorted(map(str, alerts.hourly_metrics(rows).select(columns).collect()))
 
 
+def test_plots_of_an_hour_share_state_and_timer(spark, tmp_path, monkeypatch):
+    """State grows with the open hours, not with their plots; still each plot closes on its own."""
+    monkeypatch.setattr(hours, "BUCKETS", 1, raising=False)
+    root = str(tmp_path)
+    for rows in ([{"ts": at(5), "plot_id": f"p{k}", "temperature_c": float(k)} for k in range(200)],
+                 [{"ts": at(hours=3)}],
+                 [{"ts": at(9), "plot_id": "p7", "temperature_c": 0.5}, {"ts": at(9), "plot_id": "new", "temperature_c": 2.0}]):
+        event_rows(spark, *rows).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        time.sleep(1.1)  # files are taken in the order of their times
+    source = spark.readStream.schema(EVENT_DDL).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    query = jobs.run_available(jobs.append_files(hours.hour_stream(source), f"{root}/out", f"{root}/ckpt", "kind"))
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) <= 6
+    out = {(r.kind, r.plot_id): (float(r.sum_temp), r.n_temp) for r in spark.read.parquet(f"{root}/out").collect()}
+    assert out == {**{("closed", f"p{k}"): (float(k), 1) for k in range(200)},
+                   ("closed", "p7"): (7.5, 2), ("late", "new"): (2.0, 1)}
+
+
 def test_listener_counts_batches(spark, tmp_path):
     root = str(tmp_path)
     for n in (3, 5):
