@@ -4,13 +4,14 @@
    its smallest id stands for; from here on there are classes only.
 2. Each coordinate and its value are a token. Tokens that only one class has can't join anything.
    Of two classes that agree in 30 of 64 coordinates, at least one agreement is among the 35 rarest
-   tokens of both, in one order of all tokens: only those are posted (prefix merging).
-3. A class with fewer than 30 tokens in long lists skips all of those: an agreement must lie
-   elsewhere. The others stay in the long lists of their 8 smallest minima, most of which a partner
-   has as well.
-4. A list's members are first compared with the one in their middle and with another: groups of
-   near copies fall into one component with as many comparisons as members. Only lists that then
-   still span components are compared throughout, long ones in blocks that give links, not pairs.
+   tokens of both, in one order of all tokens: the lists of those hold every such pair (prefix
+   merging). A class with fewer than 30 tokens in long lists is in none of these.
+3. A list's members are first compared with the one in their middle and with another: groups of
+   near copies fall into one component with as many comparisons as members. For this, a class takes
+   part in 8 long lists only, those of its smallest minima.
+4. All lists of the 35 rarest, long ones included, that then still span components are compared
+   throughout, long ones in blocks that give links, not pairs. A component with many members in a
+   list has blocks of its own, which are not compared with each other.
 5. Agreements are counted over the whole signatures; pairs with 30 or more go on, and the exact
    likeness of their full sets decides.
 
@@ -33,6 +34,7 @@ from furrow.session import broadcast_if_small
 COORDINATES = 64
 MATCHES = 30
 LONG_LIST = 500
+#: Long lists of a class in which it is compared with the members in their middle (see 3 above).
 KEPT_LONG = 8
 #: Lists up to this length give their pairs as rows; longer ones are compared in blocks.
 SHORT_LIST = 32
@@ -101,8 +103,9 @@ def sets(docs: DataFrame, n: int = shingles.SHINGLE) -> DataFrame:
 
 
 def posted(classes: DataFrame) -> DataFrame:
-    """token, id, n_shingles, weight: what each class is posted under (see 2 and 3 above). A class
-    weighs as much as its tokens are common: in a group of near copies, the one in their middle."""
+    """token, id, n_shingles, weight, first, rarest: what each class is posted under, for the first
+    comparisons and as one of its rarest tokens (see 2 and 3 above). A class weighs as much as its
+    tokens are common: in a group of near copies, the one in their middle."""
     one = ["id", "n_shingles", "set_a", "set_b"]  # an id may stand for several classes
     tokens = classes.select(*one, F.posexplode("signature").alias("k", "value")).select(
         *one,
@@ -118,9 +121,10 @@ def posted(classes: DataFrame) -> DataFrame:
         "n_long": F.sum(long_.cast("int")).over(by_class),
         "weight": F.sum("f").over(by_class),
     })
-    return ranked.filter(
-        F.when(long_, (F.col("n_long") >= MATCHES) & (F.col("long_rank") <= KEPT_LONG))
-        .otherwise(F.col("from_end") > MATCHES - 1)).select("token", "id", "n_shingles", "weight")
+    rarest = F.col("from_end") > MATCHES - 1
+    first = F.when(long_, (F.col("n_long") >= MATCHES) & (F.col("long_rank") <= KEPT_LONG)).otherwise(rarest)
+    return ranked.select("token", "id", "n_shingles", "weight", first.alias("first"), rarest.alias("rarest")) \
+        .filter("first OR rarest")
 
 
 def confirmed(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
@@ -140,6 +144,7 @@ def confirmed(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        common.release()
 
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long")
 
@@ -153,23 +158,23 @@ def links_between(classes: DataFrame, docs: DataFrame, percent: int, n: int) ->
     ratio = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     middle, other = (F.max(F.struct(*order, F.col("id").alias("a"), F.col("n_shingles").alias("na")))
                      for order in (("weight", F.xxhash64("id")), (F.xxhash64("id"),)))
-    lists = postings.groupBy("token").agg(
+    early = postings.filter("first").drop("first")
+    lists = early.groupBy("token").agg(
         middle.alias("middle"), other.alias("other"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = lists.select("token", F.explode(F.array_distinct(F.array(*(
         F.struct(f"{c}.a", f"{c}.na") for c in ("middle", "other"))))).alias("first")).select(
             "token", "first.a", "first.na")
-    pairs = postings.select("token", F.col("id").alias("b"), F.col("n_shingles").alias("nb")).join(
+    pairs = early.select("token", F.col("id").alias("b"), F.col("n_shingles").alias("nb")).join(
         first, "token").filter((F.col("a") != F.col("b")) & ratio) \
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = common.stored(confirmed(pairs, own, percent), "links")
     part = components(found)
     # lists within one component are done; the rest are seen with their components
-    seen = postings.join(part, postings["id"] == part["node"], "left").select(
+    seen = postings.filter("rarest").join(part, postings["id"] == part["node"], "left").select(
         "token", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
     sizes = seen.groupBy("token").agg(
         F.min("component").alias("low"), F.max("component").alias("high"),
-        F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")) \
-        .filter("low < high").drop("low", "high")
+        F.count(F.lit(1)).alias("n")).filter("low < high").drop("low", "high")
     listed = common.stored(seen.join(sizes, "token"), "open-lists")
     short = listed.filter(F.col("n") <= SHORT_LIST)
     one = short.select("token", F.col("id").alias("a"), F.col("n_shingles").alias("na"),
@@ -184,14 +189,26 @@ def links_between(classes: DataFrame, docs: DataFrame, percent: int, n: int) ->
 
 def in_blocks(members: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """Links between components in long lists: a list's members stand in blocks, and a row per pair
-    of blocks compares all of one with all of the other, giving links only."""
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES))
-    held = members.withColumn("blocks", blocks).withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(own, "id").groupBy(
-                "token", "blocks", "block").agg(F.collect_list(
-                    F.struct("id", "component", "signature", "hashes")).alias("left"))
+    of blocks compares all of one with all of the other, giving links only. Components with more than
+    a block of members in a list stand in blocks of their own; blocks of one component never meet."""
+    large = members.groupBy("token", "component").agg(F.count(F.lit(1)).alias("held")) \
+        .filter(F.col("held") > BLOCK).select("token", "component", F.col("component").alias("group"))
+    grouped = members.join(large, ["token", "component"], "left")
+    by_group = Window.partitionBy("token").orderBy(F.col("group").asc_nulls_first())
+    groups = grouped.groupBy("token", "group").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).alias("blocks")) \
+        .select(F.col("token").alias("list"), F.col("group").alias("of"), "blocks",
+                F.sum("blocks").over(by_group).alias("next"),
+                F.sum("blocks").over(Window.partitionBy("token")).alias("all"))
+    block = F.col("next") - F.col("blocks") + F.pmod(F.xxhash64("id"), F.col("blocks"))
+    held = grouped.join(groups, (F.col("token") == F.col("list")) & F.col("group").eqNullSafe(F.col("of"))) \
+        .select("token", "id", "component", "all", block.alias("block"),
+                F.when(F.col("group").isNull(), block).otherwise(F.col("next")).alias("from")) \
+        .join(own, "id").groupBy("token", "all", "block", "from").agg(F.collect_list(
+            F.struct("id", "component", "signature", "hashes")).alias("left"))
     held = common.stored(held, "blocks")
-    one = held.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
+    one = held.filter(F.col("from") < F.col("all")).withColumn(
+        "other", F.explode(F.sequence(F.col("from"), F.col("all") - 1)))
     two = held.select("token", F.col("block").alias("other"), F.col("left").alias("right"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,6 +219,7 @@ def in_blocks(members: DataFrame, own: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.minimum(x.ids[i], y.ids[j])), pa.array(np.maximum(x.ids[i], y.ids[j]))],
                     names=["a", "b"])
+        common.release()
 
     return one.join(two, ["token", "other"]).select("left", "right").mapInArrow(compare, "a long, b long")
 

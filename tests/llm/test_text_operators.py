@@ -303,6 +303,23 @@ def test_near_duplicates_in_long_lists(spark, monkeypatch):
     assert_components(docs_of(spark, texts))
 
 
+@pytest.mark.parametrize("short", [0, 32])
+def test_near_duplicates_that_share_long_lists_only(spark, monkeypatch, short):
+    """Every shared list counts as long, and a class may take part in few at first: no pair is lost."""
+    rng = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(5000)]
+    texts = []
+    for k in range(60):
+        base = list(rng.choice(words, 80))
+        for word in (f"x{k}", f"y{k}"):  # near copies, and a text each that shares what tells them apart
+            copy = [*base[:40], word, *base[41:]]
+            texts += [" ".join(copy), " ".join([*rng.choice(words, 40), *copy[30:60]])]
+    texts += [" ".join([*base[:at], "z", *base[at + 1:]]) for at in range(20)]
+    for name, value in (("LONG_LIST", 1), ("KEPT_LONG", 1), ("SHORT_LIST", short), ("BLOCK", 4)):
+        monkeypatch.setattr(minhash_dedup, name, value)
+    assert_components(docs_of(spark, texts))
+
+
 @pytest.mark.parametrize("other", [60, 58])
 def test_an_id_with_two_texts_joins_what_each_is_linked_with(spark, other):
     rng = np.random.default_rng(other)
