@@ -22,6 +22,10 @@ CONF = {
     "spark.sql.parquet.columnarReaderBatchSize": "512",
 }
 
+#: For the same reason the last stage encodes less text at a time than packing alone does, and a
+#: worker remembers fewer words: more of them are encoded again.
+PACK = {"chunk_bytes": 2 << 20, "max_words": 200_000}
+
 
 def configure(spark: SparkSession) -> None:
     common.configure(spark)
@@ -54,7 +58,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as pieces in sequences of 1024 tokens."""
     configure(spark)
-    return packing.pack(docs, tokenizer_path(), end=END)
+    return packing.pack(docs, tokenizer_path(), end=END, **PACK)
 
 
 STAGES = [

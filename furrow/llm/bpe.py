@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,9 @@ _ENCODERS: dict[str, Encoder] = {}
 #: older one, which is forgotten then; words met again move to the newer one.
 MAX_WORDS = 400_000
 
+#: Words looked up at a time: the library's results and the parts of words are held for these only.
+WORDS_AT_ONCE = 1 << 14
+
 
 def _white(words: pa.Array, texts: list[str], first: bool) -> np.ndarray:
     """Which words are empty or end (or begin, if `first`) with white space: looked at one by one
@@ -123,6 +126,12 @@ class Encoder:
             self.new.add(list(compound), ids, np.add.reduceat(lengths, firsts))
         return np.array(list(map(slot, words)), np.int64)
 
+    def _slots(self, words: Iterable[str]) -> np.ndarray:
+        """A slot per word, for any number of words."""
+        words = iter(words)
+        some = iter(lambda: list(islice(words, WORDS_AT_ONCE)), [])
+        return np.concatenate([np.zeros(0, np.int64), *map(self._lookup, some)])
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has. No text is null."""
         if not len(texts):
@@ -141,7 +150,7 @@ class Encoder:
         codes[limits[:-1]] = [len(words) + firsts[words[c]] for c in codes[limits[:-1]].tolist()]
         odd = np.concatenate([_white(coded.dictionary, words, True),
                               _white(pa.array(list(firsts), texts.type), list(firsts), False)])
-        slots = self._lookup([" " + w for w in words] + list(firsts))
+        slots = self._slots(chain((" " + w for w in words), firsts))
         table = self.new
         ids, counts = table.ids(slots[codes])
         ends = np.concatenate([[0], np.cumsum(counts)])[limits]
@@ -157,10 +166,11 @@ class Encoder:
         return ids, lengths
 
 
-def encoder(path: str) -> Encoder:
-    """The process's own encoder for a vocabulary file."""
+def encoder(path: str, max_words: int = MAX_WORDS) -> Encoder:
+    """The process's own encoder for a vocabulary file; from now on it remembers max_words words."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].max_words = max_words
     return _ENCODERS[path]
 
 

@@ -32,6 +32,7 @@ PIECE_DDL = ("doc_id long, piece int, start long, length long, ids_crc32 long, "
              "task int, nth long")
 PLACED_DDL = ("doc_id long, piece int, start long, length long, ids_crc32 long, "
               "sequence_id long, offset long")
+#: Text bytes encoded at a time.
 CHUNK_BYTES = 8 << 20
 
 
@@ -119,12 +120,14 @@ def plan(counts: dict[int, int], capacity: Capacity, score: str = "norm") -> lis
 
 def cut(
     docs: DataFrame, tokenizer: str, end: int, capacity: Capacity,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES,
+    max_words: int = bpe.MAX_WORDS,
 ) -> DataFrame:
     """Documents as pieces of at most `capacity.tokens`, the first of a long one the shorter.
 
     `nth` counts the pieces of equal length of a task; with `task` it numbers them without moving
-    a row.
+    a row. A worker encodes some chunk_bytes of text at a time and remembers max_words words in each
+    of the encoder's generations: both weigh memory against time, the pieces are the same.
     """
     most = capacity.tokens
     if not capacity.fits(most):
@@ -132,8 +135,8 @@ def cut(
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), np.zeros(most + 1, np.int64)
-        codec = bpe.encoder(tokenizer)
-        for batch in common.in_chunks(batches, CHUNK_BYTES):
+        codec = bpe.encoder(tokenizer, max_words)
+        for batch in common.in_chunks(batches, chunk_bytes):
             ids, lengths = bpe.with_end(
                 *codec.encode(common.texts_of(batch.column("text"))), end)
             many = -(-lengths // most)
@@ -201,6 +204,7 @@ def place(pieces: DataFrame, capacity: Capacity, score: str = "norm") -> DataFra
 def pack(
     docs: DataFrame, tokenizer: str, end: int, capacity: Capacity = Capacity(),
     score: str = "norm", id_col: str = "doc_id", text_col: str = "text",
+    chunk_bytes: int = CHUNK_BYTES, max_words: int = bpe.MAX_WORDS,
 ) -> DataFrame:
     """One row per piece: its span in the document, its sequence, its offset there.
 
@@ -209,5 +213,5 @@ def pack(
     without gaps from offset 0; an empty table has none. Which of several pieces of equal length
     gets which place is open.
     """
-    return place(common.stored(cut(docs, tokenizer, end, capacity, id_col, text_col), "pieces"),
-                 capacity, score)
+    pieces = cut(docs, tokenizer, end, capacity, id_col, text_col, chunk_bytes, max_words)
+    return place(common.stored(pieces, "pieces"), capacity, score)

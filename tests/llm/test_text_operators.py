@@ -14,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from furrow.llm import (
     bpe, common, fingerprints, language_id, minhash_dedup, mixing, packing, queries, shingles,
     token_files,
@@ -77,6 +78,40 @@ def test_encoder_forgets_and_stays_right():
         assert small.encode(pa.array([text]))[0].tolist() == plain_ids(text)
 
 
+class Recorded:
+    """A tokenizer that notes how many words are encoded at once."""
+
+    def __init__(self, inner):
+        self.inner, self.sizes = inner, []
+
+    def encode_batch(self, words, **kwargs):
+        self.sizes.append(len(words))
+        return self.inner.encode_batch(words, **kwargs)
+
+
+def test_encoder_holds_results_of_few_words_at_a_time():
+    codec = bpe.Encoder(queries.tokenizer_path())
+    codec.tokenizer = Recorded(codec.tokenizer)
+    digits = str.maketrans("0123456789", "abcdefghij")
+    text = " ".join(str(i).translate(digits) for i in range(100_000, 140_000))
+    assert codec.encode(pa.array([text]))[0].tolist() == plain_ids(text)
+    assert sum(codec.tokenizer.sizes) == 40_001  # the first word with and without a space
+    assert max(codec.tokenizer.sizes) <= 1 << 14
+
+
+def test_pipeline_packs_the_same_pieces_with_less_memory(spark, sf_dir, monkeypatch):
+    docs, asked = common.table(spark, sf_dir, "documents"), []
+    cut = packing.cut
+    monkeypatch.setattr(packing, "cut", lambda *a: asked.append(a[-2:]) or cut(*a))
+    found = corpus_pipeline.packed_sequences(spark, docs, sf_dir)
+    plain = packing.pack(docs, queries.tokenizer_path(), end=corpus_pipeline.END)
+    small, usual = asked
+    assert small[0] < usual[0] and small[1] < usual[1]
+    few = packing.pack(docs, queries.tokenizer_path(), corpus_pipeline.END, chunk_bytes=1000, max_words=10)
+    pieces = [Counter(tuple(r)[:5] for r in df.collect()) for df in (found, plain, few)]
+    assert pieces[0] == pieces[1] == pieces[2]
+
+
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=50))
 def test_coding_round_trip(values):
     control, data = token_files.pack(np.array(values, np.uint32))
