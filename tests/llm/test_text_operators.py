@@ -99,6 +99,32 @@ def test_encoder_holds_results_of_few_words_at_a_time():
     assert max(codec.tokenizer.sizes) <= 1 << 14
 
 
+def test_words_between_marks_and_white_space_are_encoded_once():
+    codec = bpe.Encoder(queries.tokenizer_path())
+    codec.tokenizer = Recorded(codec.tokenizer)
+    marks = [m + e for m in ",.;:!?)" for e in (" ", "  ", "\n", "\n\n", " \n", "1 ", "\" ")]
+    text = " (gamma delta" + "".join(m + a + m + b for m in marks for a, b in (
+        ("gamma", "delta"), ("(gamma", "delta"), ("gamma", "'delta'")))
+    ids, lengths = codec.encode(pa.array([text, "", text]))
+    assert ids.tolist() == 2 * plain_ids(text) and lengths.tolist() == [len(ids) // 2, 0, len(ids) // 2]
+    assert sum(codec.tokenizer.sizes) < 50  # each of 49 marks would make several words
+
+
+# white space in all its forms, what only looks like it, contractions, letters and digits of all kinds
+HARD = [*"abZé '.,!0 1\n  \t\r\v\f\x00\x1c\x1f\x7f\x85\xa0\u1680\u180e\u2003\u200a\u200b\u2019\u201d\u2028\u202f"
+        "\u205f\u2060\u3000\u3001\ufeff中文あ\u0301ªº×÷²½٣ÀÿſƀжЖ-_<>|()\"@", "😀", "'s", "'ll", "<|endoftext|>"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(HARD), max_size=12).map("".join), max_size=5))
+def test_pieces_never_cross_what_the_vocabulary_cuts(texts):
+    codec = bpe.encoder(queries.tokenizer_path())
+    ids, lengths = codec.encode(pa.array(texts, pa.string()))
+    parts = np.split(ids, np.cumsum(lengths)[:-1]) if texts else []
+    whole = [codec.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [p.tolist() for p in parts] == whole
+
+
 def test_pipeline_packs_the_same_pieces_with_less_memory(spark, sf_dir, monkeypatch):
     docs, asked = common.table(spark, sf_dir, "documents"), []
     cut = packing.cut
