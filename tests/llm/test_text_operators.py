@@ -138,6 +138,18 @@ def test_pipeline_packs_the_same_pieces_with_less_memory(spark, sf_dir, monkeypa
     assert pieces[0] == pieces[1] == pieces[2]
 
 
+def test_packing_encodes_no_text_whole():
+    class NoWhole(Recorded):
+        def encode(self, *args, **kwargs):
+            raise AssertionError("a whole text goes to the library")
+
+    codec = bpe.Encoder(queries.tokenizer_path())
+    texts = ["a  list\n  of (words), (words).\n\nend ", " a\tlist ", "", "of\u00a0words  \u3000 list"]
+    wanted = [plain_ids(t) + [2] for t in texts]
+    codec.tokenizer = NoWhole(codec.tokenizer)
+    assert bpe.with_end(*codec.encode(pa.array(texts)), 2)[0].tolist() == sum(wanted, [])
+
+
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=50))
 def test_coding_round_trip(values):
     control, data = token_files.pack(np.array(values, np.uint32))
