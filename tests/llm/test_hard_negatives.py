@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from furrow import session
 from furrow.llm import common, hard_negatives
 
 DDL = "vec_id long, embedding array<double>, label int"
@@ -118,3 +119,97 @@ def test_reach_of_a_block_holds_every_product(seed, dim):
         return hard_negatives.Block(hard_negatives._packed(rows, (dim, 0), 0))
     a, b = block(rng.standard_normal(dim)), block(rng.standard_normal(dim))
     assert (a.reach(b) >= (a.q @ b.q.T).max(axis=1)).all()
+
+
+def packed(rows, dim, label, block, size, **extra):
+    """Blocks as they come to a task; `extra`: a column of longs by id."""
+    out = []
+    for first in range(0, len(rows), size):
+        part = sorted(rows[first:first + size])
+        kept = [{"vec_id": i, "square": sum(x * x for x in q), "q": np.array(q, "<i4").tobytes(),
+                 "angles": hard_negatives.angles_of(np.array([q], float)).astype("<f4").tobytes()} for i, q in part]
+        row = hard_negatives._packed(kept, (dim, label), block + first)
+        out.append(row | {n: np.array([f[i] for i, _ in part], "<i8").tobytes() for n, f in extra.items()})
+    return out
+
+
+@pytest.mark.parametrize("size", [40, 1500, 40_000])
+@pytest.mark.parametrize("settings_", [{}, {"DENSE": 0.0, "ASIDE": 5}, {"DENSE": 9.0, "ASIDE": 0}, {"LONG": 0},
+                                       {"ANCHOR_BLOCK": 7, "SINGLE": 1 << 20}])
+def test_held_anchors_keep_the_best_of_each_window(monkeypatch, size, settings_):
+    for name, value in settings_.items():
+        monkeypatch.setattr(hard_negatives, name, value)
+    rng = np.random.default_rng(size)
+    dim, k = 6, 3
+    centre = rng.standard_normal(dim)
+    draw = lambda i: (int(i), tuple(int(x) for x in np.floor(size * (centre + rng.standard_normal(dim)))))
+    anchors, vectors = [draw(i) for i in range(60)], [draw(i) for i in range(20, 420)]
+    vectors += [(i + 1000, q) for i, q in vectors[:90]] + [(i + 2000, (0,) * dim) for i in range(9)]
+    vectors = [vectors[i] for i in rng.permutation(len(vectors))]
+    score = lambda a, b: sum(x * y for x, y in zip(a, b))
+    windows = {i: [(0, s), (s // 2, s), (s, s), (1 << 60, -(1 << 60)), (-(1 << 60), 1 << 60)]
+               for i, q in anchors for s in [sorted(score(q, v) for _, v in vectors)[-5]]}
+    limits = {f"{n}{p}": {i: w[p][j] for i, w in windows.items()} for p in range(5) for j, n in enumerate(("low", "high"))}
+
+    def of(row):
+        return tuple(np.stack([np.frombuffer(row[f"{n}{p}"], "<i8") for p in range(5)], axis=1).astype(float)
+                     for n in ("low", "high"))
+
+    held = hard_negatives.Held(
+        packed(anchors, dim, 1, 0, 25, **limits, anchor={i: i for i, _ in anchors}), of, k)
+    for row in packed(vectors, dim, 2, 0, 80):
+        held.meet(hard_negatives.Block(row), np.empty(3000, np.float32))
+    found = {}
+    for row in held.out():
+        names = np.frombuffer(row["anchor"], "<i8")
+        for key, s, who in zip(*(np.frombuffer(row[c], kind).tolist() for c, kind in
+                                 (("key", "<i4"), ("score", "<i8"), ("who", "<i8")))):
+            found.setdefault((int(names[key // 5]), key % 5), []).append((-s, who))
+    expected = {}
+    for i, q in anchors:
+        scores = sorted((-score(q, v), j) for j, v in vectors if j != i)
+        for p, (low, high) in enumerate(windows[i]):
+            if best := [x for x in scores if low <= -x[0] <= high][:k]:
+                expected[i, p] = best
+    assert {key: sorted(x) for key, x in found.items()} == expected
+
+
+def test_scores_beyond_single_floats(spark):
+    rows = clustered(8, 200, 5)
+    for scale in (2e4, 1e6):
+        found = ours(spark.createDataFrame([(i, [x * scale / 256 for x in v], label) for i, v, label in rows], DDL), every=10)
+        assert found == plain([(i, [x * scale / 256 for x in v], label) for i, v, label in rows], every=10)
+        assert found
+
+
+def test_vectors_of_different_width_in_one_block(spark):
+    rows = [(i, [x * (300 if i % 3 else 1) for x in v], label) for i, v, label in clustered(9, 150, 4)]
+    rows += [(400, [1.0, 2.0], 1), (400, [500.0], 1), (401, [1.0], 1), (402, [1.0, 1.9], 2)]
+    assert ours(spark.createDataFrame(rows + rows[:40], DDL), every=10) == plain(rows, every=10)
+
+
+def test_blocks_go_to_python_once_a_place(spark, capsys):
+    """No join makes a row of every two blocks: anchors are held while the blocks pass by."""
+    rows = clustered(10, 300, 4)
+    blocks = hard_negatives.blocked(hard_negatives.usable(spark.createDataFrame(rows, DDL), 256.0, relabel), 20)
+    at_home = hard_negatives.first_bounds(blocks, 10, 5)
+    anchors = hard_negatives.blocked(at_home, 5, "floor long, anchor long")
+    hard_negatives.positives(anchors, blocks, 5).explain()
+    assert "Join" not in capsys.readouterr().out
+
+
+def test_grid_keeps_copies_small(spark):
+    """Rows by what a task can hold, at most some 64 copies of the anchors."""
+    def frame(n, dim=64):
+        return spark.createDataFrame([(n // 1000, dim)] * 1000, "n int, dim int")
+
+    for n, partitions in ((10_000, 12), (600_000, 25), (15_000_000, 600), (75_000_000, 3000)):
+        with session.settings(spark, {"spark.sql.shuffle.partitions": str(partitions)}):
+            rows, columns = hard_negatives.grid(frame(n // 50), frame(n))
+        assert rows == max(1, math.ceil(n / 50 / hard_negatives.HELD))
+        assert min(2 * partitions, 34) <= columns <= max(64, n * 256 // (128 << 20) + 1)
+    assert hard_negatives.grid(frame(100_000, 1536), frame(5_000_000, 1536))[0] >= 9
+    with session.settings(spark, {"spark.sql.shuffle.partitions": "600"}):
+        rows, columns = hard_negatives.grid(frame(1_000_000), frame(1_000_000))
+    assert rows * columns >= 64 and rows + columns < 80
+    assert hard_negatives.grid(frame(0), frame(0)) >= (1, 1)
