@@ -10,9 +10,10 @@ and of long vectors single pairs. All others are scored, exactly, in whole numbe
 single ones where the norms say that every partial sum fits, else doubles.
 
 Vectors of one label and neighbouring angles lie in blocks. Anchors are scored within the block
-they lie in, which gives each a first bound for its positives. Then all anchors meet all blocks of
+they lie in and those beside it, which gives each a first bound for its positives. Then all anchors meet all blocks of
 vectors in a grid of tasks: positives of one label first, then negatives of others. A task holds
-its anchors and passes its blocks by them; the k best so far of an anchor and window narrow it.
+its anchors and passes its blocks by them; the k best so far of an anchor and window narrow it, as
+do, before, those among a few blocks that all anchors meet.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from furrow.llm import common
 
@@ -37,6 +39,8 @@ BLOCK, ANCHOR_BLOCK = 1024, 512
 MAX_SQUARE = 1 << 53
 #: Margin on angles, above the rounding of the arc cosine and of the stored single-precision value.
 ANGLE_SLACK = 1e-5
+#: Components of blocks that give anchors a first bound: of those beside them, and of a few others.
+NEAR, FEW = 1 << 20, 64
 #: Whole numbers up to twice this are exact in single floats.
 SINGLE = 1 << 23
 #: Anchors that a task holds, about, and bytes of their components; columns of the grid of tasks,
@@ -243,27 +247,40 @@ def merged(a: tuple, b: tuple, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def first_bounds(blocks: DataFrame, every: int, k: int) -> DataFrame:
-    """The anchors, each with its k-th best score within its own block (`floor`; the least long
-    where that has fewer) and a number of its own (`anchor`)."""
+    """The anchors, each with its k-th best score within its own block and its neighbours (`floor`;
+    the least long where they have fewer) and a number of its own (`anchor`)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, size = [], 0
         for batch in batches:
             for row in batch.to_pylist():
-                own = Block(row)
-                at = np.flatnonzero(own.ids % every == 0)
-                if not len(at):
-                    continue
-                scores = products(own, own, at)
-                values, _ = best(scores, own.ids[at][:, None] != own.ids[None, :], own.ids, k)
-                last = np.where(np.isfinite(values[:, -1]), values[:, -1], -2.0 ** 62).astype("<i8")
-                squares = np.frombuffer(row["squares"], "<i8")
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(own.ids[at]), pa.array(np.full(len(at), row["label"])),
-                    pa.array(np.full(len(at), row["dim"], np.int32)), pa.array(squares[at]),
-                    pa.array([own.q[i].astype("<i4").tobytes() for i in at], pa.binary()),
-                    pa.array([own.angles[i].tobytes() for i in at], pa.binary()),
-                    pa.array(own.angles[at, 0], pa.float32()), pa.array(last),
-                    pa.array(row["block"] * BLOCK + at)],
-                    names=[*(c.split()[0] for c in ROW.split(", ")), "floor", "anchor"])
+                if some and (size > NEAR or (row["dim"], row["label"]) != (some[0]["dim"], some[0]["label"])):
+                    yield from out(some)
+                    some, size = [], 0
+                some.append(row)
+                size += row["n"] * row["dim"]
+        if some:
+            yield from out(some)
+
+    def out(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        near = [Block(row) for row in rows]
+        for row, own in zip(rows, near, strict=True):
+            at = np.flatnonzero(own.ids % every == 0)
+            if not len(at):
+                continue
+            values = np.full((len(at), k), -np.inf)
+            who = np.zeros(values.shape, np.int64)
+            for b in near:
+                scores = products(own, b, at)
+                values, who = merged((values, who), best(scores, own.ids[at][:, None] != b.ids, b.ids, k), k)
+            last = np.where(np.isfinite(values[:, -1]), values[:, -1], -2.0 ** 62).astype("<i8")
+            kind = "<i2" if np.abs(own.q[at]).max() < 1 << 15 else "<i4"
+            yield pa.RecordBatch.from_arrays([
+                pa.array(own.ids[at]), pa.array(np.full(len(at), row["label"])),
+                pa.array(np.full(len(at), row["dim"], np.int32)),
+                pa.array(np.frombuffer(row["squares"], "<i8")[at]), binaries(own.q[at].astype(kind)),
+                binaries(own.angles[at]), pa.array(own.angles[at, 0], pa.float32()), pa.array(last),
+                pa.array(row["block"] * BLOCK + at)],
+                names=[*(c.split()[0] for c in ROW.split(", ")), "floor", "anchor"])
 
     return blocks.mapInArrow(run, f"{ROW}, floor long, anchor long")
 
@@ -337,8 +354,11 @@ class Held:
             open_ = scores >= low[:, None]
             if fits is not None:
                 open_ &= fits[some]
-            if np.count_nonzero(open_) > DENSE * self.places * scores.size:
+            many = DENSE * self.places * scores.size
+            if np.count_nonzero(open_) > many:  # copies of an anchor may be many, and above its windows
+                open_ &= scores <= narrowed(self.top[first + rows], scores.dtype)[:, None]
                 open_ &= a.ids[rows][:, None] != ids
+            if np.count_nonzero(open_) > many:
                 self.search(first + rows, scores, open_, ids)
             else:
                 self.pick(first + rows, a.ids[rows], scores, open_, ids)
@@ -499,6 +519,36 @@ def positives(anchors: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
         F.col("rank").alias("place"))
 
 
+def raised(anchors: DataFrame, blocks: DataFrame, k: int, places: int, windows: Callable) -> DataFrame:
+    """The anchors, each with the least score that still counts in each window (`floor1` and so on)
+    after it met a few blocks of other labels, which are sent to all tasks as they are."""
+    first, size = [], 0
+    for row in blocks.select("block", "n", "dim").orderBy(F.xxhash64("block")).limit(FEW).collect():
+        size += row["n"] * row["dim"]
+        if not first or size <= NEAR:
+            first.append(row["block"])
+    few = [row.asDict() for row in blocks.filter(F.col("block").isin(first)).collect()]
+    names = [f"floor{p}" for p in range(1, places + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = [(row["dim"], row["label"], Block(row)) for row in few]
+        room = np.empty(BLOCK * ANCHOR_BLOCK, np.float32)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row, = batch.slice(i, 1).to_pylist()
+                held = Held([row], windows, k)
+                for dim, label, block in near:
+                    if dim == row["dim"] and label != row["label"]:
+                        held.meet(block, room)
+                held.settle()
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.slice(i, 1).columns, *(pa.array([x.astype("<i8").tobytes()]) for x in held.floor.T)],
+                    names=[*batch.schema.names, *names])
+
+    schema = T.StructType([*anchors.schema.fields, *(T.StructField(n, T.BinaryType()) for n in names)])
+    return common.stored(anchors.mapInArrow(run, schema), "raised")
+
+
 def negatives(anchors: DataFrame, blocks: DataFrame, k: int, places: int, low: int, high: int) -> DataFrame:
     """anchor, place, negative_id, negative_score, rank: per anchor and place of a positive, the k
     best of other labels with low * positive <= 100 * score <= high * positive.
@@ -506,15 +556,21 @@ def negatives(anchors: DataFrame, blocks: DataFrame, k: int, places: int, low: i
     anchors: with the scores of their positives in columns score1 and so on; places without a
     positive hold the least long.
     """
+    def longs(row: dict, name: str) -> np.ndarray:
+        return np.stack([np.frombuffer(row[f"{name}{p}"], "<i8") for p in range(1, places + 1)], axis=1)
+
     def windows(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        scores = np.stack([np.frombuffer(row[f"score{p}"], "<i8") for p in range(1, places + 1)], axis=1)
+        scores = longs(row, "score")
         there = scores > -(1 << 62)
         safe = np.where(there, scores, 0)
         # the least and the greatest whole score in the window; none fits below a negative score
         return (np.where(there, -(-low * safe // 100), 1 << 60).astype(float),
                 np.where(there, high * safe // 100, -(1 << 60)).astype(float))
 
-    return met(anchors, blocks, False, k, places, windows).select(
+    def narrower(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        return longs(row, "floor").astype(float), windows(row)[1]
+
+    return met(raised(anchors, blocks, k, places, windows), blocks, False, k, places, narrower).select(
         "anchor", "place", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"), "rank")
 
 
