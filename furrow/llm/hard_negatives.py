@@ -305,11 +305,13 @@ def highest(key: np.ndarray, score: np.ndarray, who: np.ndarray, k: int) -> tupl
 
 
 class Held:
-    """Anchors of one dimension and label in a task, in tiles, with the k best scores so far of each
+    """Anchors of one dimension in a task, in tiles by label, with the k best scores so far of each
     anchor and window and their ids: a row per anchor, in it one per window."""
 
     def __init__(self, rows: list[dict], windows: Callable, k: int):
+        rows.sort(key=lambda row: row["label"])
         least, self.most = (np.concatenate(x) for x in zip(*map(windows, rows), strict=True))
+        self.labels = np.repeat([row["label"] for row in rows], [row["n"] for row in rows])
         self.parts = [(row["block"], row["anchor"], row["n"]) for row in rows]
         blocks = [Block(row) for row in rows]
         rows.clear()
@@ -326,11 +328,19 @@ class Held:
             tile.hold(*(x[first:first + ANCHOR_BLOCK] for x in arrays))
             self.tiles.append((first, tile))
 
-    def meet(self, b: Block, room: np.ndarray) -> None:
-        """Scores a block of vectors against all anchors that it may matter to."""
+    def meet(self, b: Block, label: int, same: bool, room: np.ndarray) -> None:
+        """Scores a block of vectors of one label against all anchors of that label, or of others,
+        that it may matter to."""
         for first, a in self.tiles:
+            labels = self.labels[first:first + a.n]
+            inside, alone = labels[0] <= label <= labels[-1], labels[0] == labels[-1]
+            if inside and alone and not same or not inside and same:
+                continue
             low = self.low[first:first + a.n]
-            rows = np.flatnonzero(a.reach(b) >= low)
+            wanted = a.reach(b) >= low
+            if inside and not alone:
+                wanted &= (labels == label) == same
+            rows = np.flatnonzero(wanted)
             if not len(rows):
                 continue
             cols, fits = slice(None), None
@@ -468,14 +478,12 @@ def met(anchors: DataFrame, blocks: DataFrame, same: bool, k: int, places: int,
                     yield from out()
                     cell, rows, held = row["cell"], {}, {}
                 if row["side"] == 0:
-                    rows.setdefault((row["dim"], row["label"]), []).append(row)
+                    rows.setdefault(row["dim"], []).append(row)
                     continue
                 if rows:
-                    held = {own: Held(rows.pop(own), windows, k) for own in list(rows)}
-                block = Block(row)
-                for (dim, label), own in held.items():
-                    if dim == row["dim"] and (label == row["label"]) == same:
-                        own.meet(block, room)
+                    held = {dim: Held(rows.pop(dim), windows, k) for dim in list(rows)}
+                if row["dim"] in held:
+                    held[row["dim"]].meet(Block(row), row["label"], same, room)
         yield from out()
         common.release()
 
@@ -531,15 +539,15 @@ def raised(anchors: DataFrame, blocks: DataFrame, k: int, places: int, windows:
     names = [f"floor{p}" for p in range(1, places + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = [(row["dim"], row["label"], Block(row)) for row in few]
+        near = [(Block(row), row["label"]) for row in few]
         room = np.empty(BLOCK * ANCHOR_BLOCK, np.float32)
         for batch in batches:
             for i in range(batch.num_rows):
                 row, = batch.slice(i, 1).to_pylist()
                 held = Held([row], windows, k)
-                for dim, label, block in near:
-                    if dim == row["dim"] and label != row["label"]:
-                        held.meet(block, room)
+                for block, label in near:
+                    if block.dim == row["dim"]:
+                        held.meet(block, label, False, room)
                 held.settle()
                 yield pa.RecordBatch.from_arrays(
                     [*batch.slice(i, 1).columns, *(pa.array([x.astype("<i8").tobytes()]) for x in held.floor.T)],

@@ -136,7 +136,8 @@ def packed(rows, dim, label, block, size, **extra):
 @pytest.mark.parametrize("size", [40, 1500, 40_000])
 @pytest.mark.parametrize("settings_", [{}, {"DENSE": 0.0, "ASIDE": 5}, {"DENSE": 9.0, "ASIDE": 0}, {"LONG": 0},
                                        {"ANCHOR_BLOCK": 7, "SINGLE": 1 << 20}])
-def test_held_anchors_keep_the_best_of_each_window(monkeypatch, size, settings_):
+@pytest.mark.parametrize("same", [True, False])
+def test_held_anchors_keep_the_best_of_each_window(monkeypatch, size, settings_, same):
     for name, value in settings_.items():
         monkeypatch.setattr(hard_negatives, name, value)
     rng = np.random.default_rng(size)
@@ -155,10 +156,12 @@ def test_held_anchors_keep_the_best_of_each_window(monkeypatch, size, settings_)
         return tuple(np.stack([np.frombuffer(row[f"{n}{p}"], "<i8") for p in range(5)], axis=1).astype(float)
                      for n in ("low", "high"))
 
-    held = hard_negatives.Held(
-        packed(anchors, dim, 1, 0, 25, **limits, anchor={i: i for i, _ in anchors}), of, k)
-    for row in packed(vectors, dim, 2, 0, 80):
-        held.meet(hard_negatives.Block(row), np.empty(3000, np.float32))
+    own = {i: i // 15 for i, _ in anchors}
+    held = hard_negatives.Held([row for o in (2, 0, 3, 1) for row in packed(
+        [x for x in anchors if own[x[0]] == o], dim, o, 100 * o, 9, **limits, anchor={i: i for i, _ in anchors})], of, k)
+    for o in (4, 1, 0, 3, 2):
+        for row in packed([x for n, x in enumerate(vectors) if n % 5 == o], dim, o, 0, 30):
+            held.meet(hard_negatives.Block(row), o, same, np.empty(3000, np.float32))
     found = {}
     for row in held.out():
         names = np.frombuffer(row["anchor"], "<i8")
@@ -167,7 +170,7 @@ def test_held_anchors_keep_the_best_of_each_window(monkeypatch, size, settings_)
             found.setdefault((int(names[key // 5]), key % 5), []).append((-s, who))
     expected = {}
     for i, q in anchors:
-        scores = sorted((-score(q, v), j) for j, v in vectors if j != i)
+        scores = sorted((-score(q, v), j) for n, (j, v) in enumerate(vectors) if j != i and (n % 5 == own[i]) == same)
         for p, (low, high) in enumerate(windows[i]):
             if best := [x for x in scores if low <= -x[0] <= high][:k]:
                 expected[i, p] = best
@@ -213,3 +216,10 @@ def test_grid_keeps_copies_small(spark):
         rows, columns = hard_negatives.grid(frame(1_000_000), frame(1_000_000))
     assert rows * columns >= 64 and rows + columns < 80
     assert hard_negatives.grid(frame(0), frame(0)) >= (1, 1)
+
+
+def test_many_labels(spark):
+    rows = [(i, v, i % 120) for i, v, _ in clustered(11, 600, 4)]
+    found = ours(spark.createDataFrame(rows, DDL), every=5)
+    assert found == plain(rows, every=5)
+    assert found
